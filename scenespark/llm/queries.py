@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitsliced, mixing, packing, sketch, token_files
+from . import bitsliced, mixing, packing, simhash, sketch, token_files
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
     "op2_token_files": token_files.op2_token_files,
+    "op3_simhash": simhash.op3_simhash,
     "op5_mix": mixing.op5_mix,
     "op9_topk": bitsliced.op9_topk,
     "op10_sketch": sketch.op10_sketch,
