@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bitsliced, mixing, packing, simhash, sketch, token_files
+from . import bitsliced, language, mixing, packing, quality, simhash, sketch, token_files
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
     "op2_token_files": token_files.op2_token_files,
     "op3_simhash": simhash.op3_simhash,
+    "op4_quality": quality.op4_quality,
     "op5_mix": mixing.op5_mix,
+    "op7_language": language.op7_language,
     "op9_topk": bitsliced.op9_topk,
     "op10_sketch": sketch.op10_sketch,
 }
