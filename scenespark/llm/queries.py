@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, kneser_ney, language, mixing, packing, quality, simhash, sketch, token_files
+from . import bitsliced, kneser_ney, language, mixing, packing, pii, quality, simhash, sketch, token_files
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op6_kneser_ney": kneser_ney.op6_kneser_ney,
     "op7_language": language.op7_language,
+    "op8_pii": pii.op8_pii,
     "op9_topk": bitsliced.op9_topk,
     "op10_sketch": sketch.op10_sketch,
 }
