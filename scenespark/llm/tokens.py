@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 
-import numpy as np
-
-#: Distinct pieces a worker remembers; beyond it the memory is emptied and filled anew.
-CACHE_PIECES, CACHED_LENGTH = 400_000, 48
+#: Distinct pieces and stems a worker remembers; beyond it the memory is emptied and filled anew.
+CACHE_PIECES, CACHE_STEMS, CACHED_LENGTH = 500_000, 1_000_000, 48
 _SPACE_AFTER_SPACE, _WORD_THEN_SPACE = re.compile(r"\s "), re.compile(r"(?<=\S) ")
 _encoders: dict = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the rest follow U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does with add_special_tokens=False.
 
     Both vocabularies split a text before every space that follows a character other than white
     space, so the pieces between such spaces can be encoded on their own.  ``keep_space``: the space
-    belongs to the piece after it (byte-level vocabularies); else white space is dropped.
+    belongs to the piece after it (byte-level vocabularies); else white space is dropped and letters
+    are lowered.  A piece of Latin letters and closing ASCII punctuation is further split between the
+    two, as both vocabularies do; its letters go straight to the library's model.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -26,23 +38,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.space = " " if keep_space else ""
         self.first: dict[str, bytes] = {}
         self.later = {} if keep_space else self.first
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, known: dict, pieces, prefix: str) -> dict:
-        """Encode what is not known; long pieces are returned apart and not remembered."""
-        new = [p for p in pieces if p not in known]
-        if not new:
-            return {}
-        found = dict(zip(new, self._raw([prefix + p for p in new]), strict=True))
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _stem(self, stem: str) -> bytes:
+        text = stem if self.space else stem.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize("\u0120" + text if self.space else text)]).tobytes()
+
+    def _learn(self, known: dict[str, bytes], pieces: set[str], stems: bool, prefix: str) -> list[str]:
+        """Encode the pieces not known; gives the long ones, to be forgotten after use."""
         if len(known) > CACHE_PIECES:
             known.clear()
-        known.update((p, b) for p, b in found.items() if len(p) <= CACHED_LENGTH)
-        return found
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
+        other = []
+        for p in pieces.difference(known):
+            stem = p.rstrip(string.punctuation)
+            if stems and stem.isalpha() and max(stem) < "\u0100":
+                ids = self.stems.get(stem)
+                if ids is None:
+                    ids = self._stem(stem)
+                    if len(stem) <= CACHED_LENGTH:
+                        self.stems[stem] = ids
+                tail = p[len(stem) :]
+                end = self.tails.get(tail)
+                if end is None:
+                    end = self._raw([tail])[0]
+                    if len(tail) <= 4:
+                        self.tails[tail] = end
+                known[p] = ids + end
+            else:
+                other.append(p)
+        known.update(zip(other, self._raw([prefix + p for p in other]), strict=True))
+        return [p for p in pieces if len(p) > CACHED_LENGTH]
 
     def split(self, text: str) -> list[str]:
         if self.space and _SPACE_AFTER_SPACE.search(text):
@@ -56,16 +93,20 @@ class Encoder:
             split = [self.split(t) for t in texts[at : at + 256]]
             later: set[str] = set()
             for p in split:
-                later.update(p[1:])
-            first = {p[0] for p in split}
-            if not self.space:
-                later |= first
-            extra = self._learn(self.later, later, self.space)
-            extra_first = self._learn(self.first, first, "") if self.space else extra
-            more = (self.later | extra) if any(p not in self.later for p in later) else self.later
-            for p in split:
-                head = extra_first.get(p[0])
-                out.append((self.first[p[0]] if head is None else head) + b"".join([more[x] for x in p[1:]]))
+                later.update(p[1:] if self.space else p)
+            long = self._learn(self.later, later, True, self.space)
+            if self.space:
+                first = {p[0] for p in split}
+                long_first = self._learn(self.first, first, False, "")
+                get = self.later.__getitem__
+                out += [self.first[p[0]] + b"".join(map(get, p[1:])) for p in split]
+                for x in long_first:
+                    del self.first[x]
+            else:
+                get = self.later.__getitem__
+                out += [b"".join(map(get, p)) for p in split]
+            for x in long:
+                del self.later[x]
         return out
 
 
