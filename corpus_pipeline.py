@@ -1,10 +1,67 @@
-"""Training-corpus pipeline (stages are added as their operators land)."""
+"""Training-corpus pipeline: language, near duplicates, personal data, mixing, packing.
+
+``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns a DataFrame
+that is written as Parquet and reread as the next one's docs.  All but the last return the columns of
+``documents``.  No stage is limited to a part of its input.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from scenespark.llm import language, mixing, packing, pii, simhash
+from scenespark.llm.common import cut, table, tokenizer_path
+
+#: Below this share of its own mixture no language counts as the document's.
+LEAST_SHARE = 0.3
+
+
+def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no language reaches LEAST_SHARE, go."""
+    model = language.train(docs.filter(~language.held_out()))
+    found = language.identify(docs, model)
+    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates stays, once; rows without an id stay."""
+    groups = simhash.near_duplicates(docs, ngram=5, lanes=4, similarity=0.8)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return kept.filter("_copy = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def personal_data_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data is replaced by the name of its kind; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document."""
+    taken = mixing.mixed(docs).filter("times > 0")
+    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+
+
+def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their places in the training sequences."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", personal_data_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Trees, expectation-maximisation and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -156,16 +156,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def run(batches):
         langs, logp = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             pred, sure = [], []
             for s in chunks(texts):
                 best, share = infer(*trigrams(texts[s]), logp)
                 pred += [langs[b] if b >= 0 else UNDETERMINED for b in best]
                 sure += share.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
-    return docs.withColumn("_text", F.col("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(fold: int = 2):

@@ -78,28 +78,32 @@ def thresholds(sizes: DataFrame, targets: DataFrame, n_sources: int) -> DataFram
     return level.select("source", F.when(F.col("words") - F.col("need") <= F.col("need"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last_hash"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, size: Column | None = None) -> DataFrame:
-    """docs(doc_id, source, text) -> doc_id, source, size, source_size, target, repeats, taken.
-
-    ``size`` defaults to the number of words.  ``taken`` is ``size`` times the number of times the mix
-    takes the document; together a source's documents come within one document of its target, and no
-    document is taken more than ``max_repeat`` times.  Null texts have size 0, null sources form a
-    source of their own (last), rows with equal ids are taken together.  An empty table gives an empty
-    result; further columns are ignored.
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, size: Column | None = None) -> DataFrame:
+    """docs(doc_id, source, text, ...) -> the same rows with source_size, target and times (how often the mix takes the row).
+
+    ``size`` defaults to the number of words.  Together a source's documents come within one document of
+    its target, and none is taken more than ``max_repeat`` times.  Null texts have size 0, null sources
+    form a source of their own (last), rows with equal ids are taken together.  An empty table gives an
+    empty result; further columns are kept, and columns named like the new ones are replaced.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
-    sizes = cut(docs.select("doc_id", "source", size.alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+    docs = docs.drop("source_size", "target", "times")
+    sizes = cut(docs.select("source", _size(size).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
     targets = cut(source_targets(sizes, weights, max_repeat), "mix-targets")
     n_sources = targets.count()
     last = thresholds(sizes, targets, n_sources).withColumnRenamed("source", "_s")
     targets = targets.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "budget")
-    out = per_source(sizes, targets, n_sources)
-    times = F.col("repeats") + F.when(F.col("hash") <= F.coalesce(F.col("last_hash"), F.lit(-1)), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+    out = per_source(docs, targets, n_sources)
+    times = F.col("repeats") + F.when(id_hash(F.col("doc_id")) <= F.coalesce(F.col("last_hash"), F.lit(-1)), 1).otherwise(0)
+    return out.withColumn("times", times).drop("repeats", "last_hash")
+
+
+def _size(size: Column | None = None) -> Column:
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
 
 
 def op5_mix(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("size", _size())
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 ORACLE = r"""
