@@ -1,16 +1,18 @@
 """Best-fit packing of documents into sequences of fixed capacity, in bulk-synchronous rounds.
 
 Pieces are taken by falling size class.  A round range-sorts the class's pieces together with the gaps
-of the open sequences, largest first.  Each range is swept once: a piece takes the nearest gap above it
-(its successor), and when several pieces want one gap the rank in the sweep decides, so the next piece
-gets the next larger gap.  What a range cannot match is matched between ranges by rank: only the counts
-left over by each range go to the driver.  Gaps are then updated and the round repeats; pieces that no
-gap can hold open new sequences.
+of the open sequences, largest first.  Each range is swept once: a piece takes the smallest gap that
+holds it (its successor), and when several pieces want one gap their rank in the sweep decides, so the
+next piece takes the next larger gap; what remains of a gap rejoins the sweep where it belongs.  What a
+range cannot match is matched between ranges by rank: only the counts left over by each range go to the
+driver.  Gaps are then updated and the round repeats; pieces that no gap can hold open new sequences.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import insort
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,56 +24,86 @@ from .tokens import encoder
 
 CAPACITY = 2048
 #: Lower ends of the size classes as shares of the capacity, and rows that one range holds.
-CLASSES, RANGE_ROWS = (1 / 2, 1 / 3, 1 / 4, 1 / 6, 1 / 10, 1 / 20, 1 / 64, 0), 200_000
-GAP, PIECE, MATCH = 0, 1, 2
-SWEPT = "part int, kind int, rank long, id long, size int, seq long, gap int"
+CLASSES, RANGE_ROWS = (1 / 2, 1 / 3, 1 / 6, 1 / 20, 0), 500_000
+GAP, PIECE, PLACED, SUMMARY = 0, 1, 2, 3
+#: GAP: seq, size left, rank among the gaps that later ranges may take (else -1).  PIECE: id, size, rank.
+#: PLACED: id, seq, offset.  SUMMARY: pieces left, gaps that later ranges may take, smallest piece, largest gap, placed.
+SWEPT = "part int, kind int, rank long, id long, size int, seq long, offset int"
 
 
-def _sweep(batches):
-    """Rows (kind, id, size), larger sizes first and gaps before pieces -> matches, and ranked left-overs of this range."""
-    part, open_gaps, left, matches = TaskContext.get().partitionId(), [], [], []
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    fields = [pa.field(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+
+
+def _events(batches, *names):
     for batch in batches:
-        for kind, key, size in zip(*(batch.column(c).to_pylist() for c in ("kind", "id", "size")), strict=True):
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+
+def _sweep(capacity: int):
+    """Sweep of one range: rows (kind, id, size), larger sizes first and gaps before pieces."""
+
+    def run(batches):
+        part, placed, left, low = TaskContext.get().partitionId(), [], [], capacity
+        usable: list[tuple[int, int]] = []  # (-gap, seq) of gaps that hold the current size, smallest last
+        waiting: list[tuple[int, int]] = []  # heap of (-gap, seq) of what remains of taken gaps
+        for kind, key, size in _events(batches, "kind", "id", "size"):
+            low = size
+            while waiting and -waiting[0][0] >= size:
+                insort(usable, heappop(waiting))
             if kind == GAP:
-                open_gaps.append((key, size))
-            elif open_gaps:
-                matches.append((key, size, *open_gaps.pop()))
+                insort(usable, (-size, key))
+            elif usable:
+                gap, seq = usable.pop()
+                placed.append((key, seq, capacity + gap))
+                if gap + size < 0:
+                    heappush(waiting, (gap + size, seq))
             else:
                 left.append((key, size))
-    rows = [(part, MATCH, 0, *m) for m in matches]
-    rows += [(part, PIECE, r, *x, None, None) for r, x in enumerate(left)]
-    rows += [(part, GAP, r, *x, None, None) for r, x in enumerate(open_gaps)]
-    yield _batch(rows, SWEPT)
+        while waiting and -waiting[0][0] >= low:
+            insort(usable, heappop(waiting))
+        rows = [(part, PLACED, 0, key, 0, seq, offset) for key, seq, offset in placed]
+        rows += [(part, PIECE, r, key, size, 0, 0) for r, (key, size) in enumerate(left)]
+        rows += [(part, GAP, r, 0, -gap, seq, 0) for r, (gap, seq) in enumerate(usable)]
+        rows += [(part, GAP, -1, 0, -gap, seq, 0) for gap, seq in waiting]
+        largest = max((-g for g, _ in [*usable[:1], *waiting[:1]]), default=0)
+        if rows:
+            rows.append((part, SUMMARY, len(left), len(usable), left[-1][1] if left else capacity, largest, len(placed)))
+        yield _batch(rows, SWEPT)
 
+    return run
 
-def _fill(batches):
-    """Pieces (id, size) in falling order -> pieces placed one after another in new sequences, each named by its first piece."""
-    rows, seq, used = [], None, 0
-    for batch in batches:
-        capacity = batch.column("capacity").to_pylist()
-        for key, size, most in zip(batch.column("id").to_pylist(), batch.column("size").to_pylist(), capacity, strict=True):
-            if seq is None or used + size > most:
+
+def _fill(capacity: int):
+    """Pieces (id, size) in falling order, placed one after another in new sequences, each named by its first piece."""
+
+    def run(batches):
+        rows, seq, used = [], None, 0
+        for key, size in _events(batches, "id", "size"):
+            if seq is None or used + size > capacity:
+                if seq is not None and used < capacity:
+                    rows.append((0, GAP, -1, 0, capacity - used, seq, 0))
                 seq, used = key, 0
-            rows.append((key, size, seq, used))
+            rows.append((0, PLACED, 0, key, 0, seq, used))
             used += size
-    yield _batch(rows, "id long, size int, seq long, offset int")
-
+        if seq is not None and used < capacity:
+            rows.append((0, GAP, -1, 0, capacity - used, seq, 0))
+        yield _batch(rows, SWEPT)
 
-def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64()}
-    fields = [pa.field(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))]
-    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
+    return run
 
 
-def _between_ranges(left: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
-    """Counts {(range, kind): left over} -> (piece range, from rank, to rank, gap range, gap rank of the first).
+def _between_ranges(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(range, pieces left, gaps left) -> (range of the pieces, from rank, to rank, range of the gaps, gap rank of the first).
 
     Ranges come largest first.  A range's pieces take the gaps left by earlier ranges, nearest first.
     """
     stack, out = [], []
-    for part in sorted({p for p, _ in left}):
-        done, want = 0, left.get((part, PIECE), 0)
+    for part, want, gaps in sorted(left):
+        done = 0
         while done < want and stack:
             gap_part, free = stack.pop()
             take = min(free, want - done)
@@ -79,32 +111,39 @@ def _between_ranges(left: dict[tuple[int, int], int]) -> list[tuple[int, int, in
             if free > take:
                 stack.append((gap_part, free - take))
             done += take
-        if left.get((part, GAP), 0):
-            stack.append((part, left[part, GAP]))
+        if gaps:
+            stack.append((part, gaps))
     return out
 
 
-def _ranges(df: DataFrame, rows: int) -> DataFrame:
+def _ranges(df: DataFrame, ranges: int) -> DataFrame:
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    return df.repartitionByRange(max(1, -(-rows // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    return df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
 
-def _round(pieces: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """One sweep.  pieces(id, size), gaps(seq, gap) -> pieces with seq and gap (null: no gap), gaps after it."""
+def _round(pieces: DataFrame, gaps: DataFrame, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """One round.  pieces(id, size), gaps(seq, gap) -> placed(id, seq, offset), pieces left, gaps after it, and totals."""
     spark = pieces.sparkSession
     both = pieces.select(F.lit(PIECE).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(GAP).alias("kind"), F.col("seq").alias("id"), F.col("gap").alias("size")))
-    swept = cut(_ranges(both, rows).mapInArrow(_sweep, SWEPT), "pack-sweep")
-    counts = swept.filter(F.col("kind") < MATCH).groupBy("part", "kind").count().collect()  # two rows a range
-    links = _between_ranges({(r["part"], r["kind"]): r["count"] for r in counts})
-    links = spark.createDataFrame(links or [(-1, 0, 0, -1, 0)], "part int, lo long, hi long, gap_part int, top long")
+    swept = cut(_ranges(both, ranges).mapInArrow(_sweep(capacity), SWEPT), "pack-sweep")
+    told = swept.filter(F.col("kind") == SUMMARY).collect()  # a row a range
+    links = _between_ranges([(r["part"], r["rank"], r["id"]) for r in told])
+    totals = {"left": sum(r["rank"] for r in told), "linked": sum(hi - lo for _, lo, hi, _, _ in links), "placed": sum(r["offset"] for r in told)}
+    totals |= {"smallest": min((r["size"] for r in told), default=0), "largest": max((r["seq"] for r in told), default=0), "ranges": len(told)}
+    placed = swept.filter(F.col("kind") == PLACED).select("id", "seq", "offset")
     left = swept.filter(F.col("kind") == PIECE).select("part", "rank", "id", "size")
-    links = F.broadcast(links.withColumnRenamed("part", "_part"))  # at most two rows a range
+    free = swept.filter(F.col("kind") == GAP).select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), "seq", F.col("size").alias("gap"))
+    if not links:
+        return placed, left.select("id", "size"), free.select("seq", "gap"), totals
+    links = F.broadcast(spark.createDataFrame(links, "_part int, lo long, hi long, gap_part int, top long"))  # at most two rows a range
     left = left.join(links, (F.col("part") == F.col("_part")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
     left = left.select("id", "size", "gap_part", (F.col("top") - (F.col("rank") - F.col("lo"))).alias("gap_rank"))
-    free = swept.filter(F.col("kind") == GAP).select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("id").alias("seq"), F.col("size").alias("gap"))
-    met = cut(left.join(free, ["gap_part", "gap_rank"], "full").select("id", "size", "seq", "gap"), "pack-met")
-    met = met.unionByName(swept.filter(F.col("kind") == MATCH).select("id", "size", "seq", "gap"))
-    return met.filter("id is not null"), met.filter("seq is not null").select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).cast("int").alias("gap"))
+    met = left.filter("gap_part is not null").join(free.filter("gap_rank >= 0"), ["gap_part", "gap_rank"])
+    met = cut(met.select("id", "size", "gap_part", "gap_rank", "seq", "gap"), "pack-met")
+    after = free.join(met.select("gap_part", "gap_rank", "size"), ["gap_part", "gap_rank"], "left")
+    after = after.select("seq", (F.col("gap") - F.coalesce("size", F.lit(0))).cast("int").alias("gap")).filter("gap > 0")
+    placed = placed.unionByName(met.select("id", "seq", (F.lit(capacity) - F.col("gap")).cast("int").alias("offset")))
+    return placed, left.filter("gap_part is null").select("id", "size"), after, totals
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -113,33 +152,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Sequences are named by the piece that opened them; offsets are gapless from 0 and no sequence holds
     more than ``capacity``.  An empty table gives an empty result.
     """
-    full = pieces.filter(F.col("size") == capacity).select("id", F.col("id").alias("seq"), F.lit(0).alias("offset"))
-    placed, gaps, rest = [full], None, pieces.filter(F.col("size") < capacity)
-    upper = capacity
-    for share in CLASSES:
-        lower = int(capacity * share)
-        todo = rest.filter((F.col("size") > lower) & (F.col("size") <= upper))
-        n = todo.count()
-        upper = lower
-        while n and gaps is not None:
-            least = todo.agg(F.min("size")).first()[0]
-            usable, small = gaps.filter(F.col("gap") >= least), gaps.filter(F.col("gap") < least)
-            held = usable.count()
-            if not held:
+    lower = [int(capacity * share) for share in CLASSES]
+    which = F.size(F.filter(F.array(*map(F.lit, lower)), lambda x: x >= F.col("size")))
+    counts = {r["class"]: r["count"] for r in pieces.groupBy(which.alias("class")).count().collect()}  # a row a class
+    # two pieces of the first class never meet: each opens a sequence
+    first = pieces.filter(which == 0)
+    out = first.select("id", F.col("id").alias("seq"), F.lit(0).alias("offset"))
+    gaps = first.filter(F.col("size") < capacity).select(F.col("id").alias("seq"), (F.lit(capacity) - F.col("size")).cast("int").alias("gap"))
+    held = counts.get(0, 0)
+    for level in range(1, len(lower)):
+        todo, n = pieces.filter(which == level).select("id", "size"), counts.get(level, 0)
+        while n:
+            ranges = max(1, -(-(n + held) // RANGE_ROWS))
+            placed, todo, gaps, totals = _round(todo, gaps, ranges, capacity)
+            out, n = out.unionByName(placed), totals["left"] - totals["linked"]
+            # one range is swept to the end; several may still hold what another needs
+            if totals["ranges"] <= 1 or not totals["linked"] + totals["placed"] or totals["smallest"] > totals["largest"]:
                 break
-            met, after = _round(todo, usable, n + held)
-            placed.append(met.filter("seq is not null").select("id", "seq", (F.lit(capacity) - F.col("gap")).cast("int").alias("offset")))
-            todo, gaps = met.filter("seq is null").select("id", "size"), cut(after.unionByName(small), "pack-gaps")
-            n = todo.count()
         if n:
-            order = todo.withColumn("kind", F.lit(PIECE)).withColumn("capacity", F.lit(capacity))
-            opened = cut(_ranges(order, n).mapInArrow(_fill, "id long, size int, seq long, offset int"), "pack-open")
-            placed.append(opened.select("id", "seq", "offset"))
-            fresh = opened.groupBy("seq").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("gap"))
-            gaps = cut(fresh if gaps is None else gaps.unionByName(fresh), "pack-gaps")
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
+            order = todo.withColumn("kind", F.lit(PIECE))
+            opened = cut(_ranges(order, max(1, -(-n // RANGE_ROWS))).mapInArrow(_fill(capacity), SWEPT), "pack-open")
+            out = out.unionByName(opened.filter(F.col("kind") == PLACED).select("id", "seq", "offset"))
+            gaps = gaps.unionByName(opened.filter(F.col("kind") == GAP).select("seq", F.col("size").alias("gap")))
+            held += n
     return out
 
 
