@@ -1,6 +1,144 @@
-"""x"""
+"""Keyframe schedules, rankings and run metrics."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def every_n(df, column, n):
+def every_n(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Rows at multiples of ``n``; none for 0."""
     return df.filter(F.col(column) % n == 0) if n else df.limit(0)
+
+
+def top_loss(keyframes: DataFrame, divisor: int = 4) -> DataFrame:
+    """Keyframes with the highest losses of each chunk: max(1, count div divisor) of them; ties to the smaller id."""
+    w = Window.partitionBy("chunk_id")
+    rank = F.row_number().over(w.orderBy(F.desc("loss"), "fid"))
+    return keyframes.withColumns({"_r": rank, "_n": F.count("*").over(w)}).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") / divisor))).drop("_r", "_n")
+
+
+def refill_uses(keyframes: DataFrame, divisor: int = 4) -> DataFrame:
+    """Where no keyframe of a chunk has uses left, each gets one more, and the high-loss ones another."""
+    left = keyframes.groupBy("chunk_id").agg(F.max("remaining").alias("_left"))
+    high = top_loss(keyframes, divisor).select("fid", F.lit(1).alias("_high"))
+    both = keyframes.join(left, "chunk_id").join(high, "fid", "left")
+    more = F.when(F.col("_left") <= 0, 1 + F.coalesce("_high", F.lit(0))).otherwise(0)
+    return both.withColumn("remaining", F.col("remaining") + more).drop("_left", "_high")
+
+
+def weighted_pick(keyframes: DataFrame, seed: int) -> DataFrame:
+    """One keyframe a chunk, drawn with weight max(1, remaining): the smallest of -ln(u) / weight, u from a hash of id and seed."""
+    u = (F.pmod(F.xxhash64("fid", F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    key = -F.log(u) / F.greatest(F.lit(1), F.col("remaining"))
+    return keyframes.groupBy("chunk_id").agg(F.min_by("fid", F.struct(key, "fid")).alias("fid"))
+
+
+def recent_distinct(log: DataFrame, key: str, t: str, k: int) -> DataFrame:
+    """The k ids used last, with their last time; ties to the larger id."""
+    return log.groupBy(key).agg(F.max(t).alias("last_used")).orderBy(F.desc("last_used"), F.desc(key)).limit(k)
+
+
+def last_n(df: DataFrame, run: str, t: str, key: str, n: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(run).orderBy(F.desc(t), F.desc(key)))
+    return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+
+
+def top_k(df: DataFrame, column: str, k: int, key: str) -> DataFrame:
+    return df.orderBy(F.desc(column), key).limit(k)
+
+
+def nearest_n(df: DataFrame, point: tuple[float, float, float], n: int, key: str) -> DataFrame:
+    dist = F.sqrt(sum((F.col(a) - p) * (F.col(a) - p) for a, p in zip("xyz", point, strict=True)))
+    return df.withColumn("dist", dist).orderBy("dist", key).limit(n)
+
+
+def frame_order(df: DataFrame, path: str = "path") -> DataFrame:
+    """Frame index by name, from 0."""
+    from .chunks import assign_ids
+
+    return assign_ids(df, [path], 0, "frame_index")
+
+
+def oldest_first(chunks: DataFrame) -> DataFrame:
+    return chunks.orderBy(F.coalesce("last_access", F.lit(0.0)), "chunk_id")
+
+
+def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.4) -> DataFrame:
+    """Exponential moving average of each run, from 0: out = alpha x + (1 - alpha) out."""
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        out, now = [], 0.0
+        for x in pdf[value]:
+            now = alpha * x + (1 - alpha) * now
+            out.append(now)
+        return pdf.assign(ema=out)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(run, order, value).schema)
+    return df.select(run, order, value).groupBy(run).applyInPandas(smooth, f"{schema}, ema double")
+
+
+def ema_window(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.4, horizon: int = 80) -> DataFrame:
+    """The same within (1 - alpha)^horizon, as a weighted sum over the last rows: no Python."""
+    w = Window.partitionBy(run).orderBy(order).rowsBetween(-horizon, 0)
+    seen = F.collect_list(F.col(value).cast("double")).over(w)
+    total = F.aggregate(seen, F.lit(0.0), lambda acc, x: acc * (1 - alpha) + alpha * x)
+    return df.select(run, order, value, total.alias("ema"))
+
+
+def pyramid_level(use_no: Column, levels: int, budget: int) -> Column:
+    """Level trained at the n-th use of a keyframe: the coarsest with budget left, then 0."""
+    return F.greatest(F.lit(0), F.lit(levels - 1) - F.floor((use_no - 1) / budget)).cast("int")
+
+
+def pyramid_schedule(log: DataFrame, levels: int, budget: int, key: str = "fid", t: str = "t") -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(key).orderBy(t))
+    return log.withColumn("level", pyramid_level(n, levels, budget))
+
+
+def used_counts(log: DataFrame, key: str = "fid") -> DataFrame:
+    return log.groupBy(key).agg(F.count("*").alias("used"))
+
+
+def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """A row a metric: mean, population deviation, min, max, exact median."""
+    long = df.select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
+    v = F.col("value")
+    return long.groupBy("metric").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"))
+
+
+def render_fps(df: DataFrame, run: str, ms: str) -> DataFrame:
+    return df.groupBy(run).agg(F.avg(ms).alias("mean_ms")).withColumn("fps", F.try_divide(F.lit(1000.0), F.col("mean_ms")))
+
+
+def tracking_fps(lines: DataFrame, run: str, line: str, seconds: str) -> DataFrame:
+    """1 / mean of all but the last three lines; 0 for three lines or fewer, or a mean of 0."""
+    ends = lines.groupBy(run).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(run).orderBy(F.desc(line)))
+    kept = lines.withColumn("_r", rank).filter("_r > 3").groupBy(run).agg(F.avg(seconds).alias("_mean"))
+    return ends.join(kept, run, "left").select(run, F.coalesce(F.try_divide(F.lit(1.0), F.col("_mean")), F.lit(0.0)).alias("tracking_fps"))
+
+
+def timing_stats(df: DataFrame, name: str, ms: str) -> DataFrame:
+    return df.groupBy(name).agg(F.avg(ms).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.sum(ms).alias("total_ms"), F.count("*").alias("calls"))
+
+
+def training_rate(df: DataFrame, run: str, iteration: str, seconds: str) -> DataFrame:
+    """Iterations a second since the snapshot before."""
+    w = Window.partitionBy(run).orderBy(iteration)
+    return df.withColumn("rate", F.try_divide((F.col(iteration) - F.lag(iteration).over(w)).cast("double"), F.col(seconds) - F.lag(seconds).over(w)))
+
+
+def training_schedule(keyframes: DataFrame, seed: int, divisor: int = 4) -> DataFrame:
+    """Refilled budgets, a pick a chunk and its remaining uses after it: the schedule of every chunk."""
+    full = refill_uses(keyframes, divisor)
+    pick = weighted_pick(full, seed).withColumnRenamed("fid", "picked")
+    return full.join(pick, "chunk_id").withColumn("remaining", F.col("remaining") - F.when((F.col("fid") == F.col("picked")) & (F.col("remaining") > 0), 1).otherwise(0))
+
+
+def sample_by_probability(df: DataFrame, p: Column, penalty: Column, k: float, key: list[str], seed: int = 0) -> DataFrame:
+    """Rows kept where a uniform below k (p - penalty); the uniform is a hash of the key and seed, so reruns agree."""
+    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return df.filter(u < k * (p - penalty))

@@ -1 +1,175 @@
-"""Queries (to come)."""
+"""Queries of view, time, neighbour and merge joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..operators import frustum as V
+from ..operators import joins as J
+from .fixtures import fixture, r6, tables
+from .geometry_queries import SIZE, chunked, r
+from .registry import query
+
+FOV_X, FOV_Y, ZFAR, ZNEAR = 1.5707963267948966, 1.032126, 30.0, 0.01
+_FACES = [float(x) for x in V.projection(ZNEAR, ZFAR, FOV_X, FOV_Y)]
+_PLANES = V.frustum_planes(_FACES)
+
+
+def _plane_tests() -> tuple[str, str]:
+    far, near = [], []
+    for a, b, c, d in _PLANES:
+        side = lambda flip: " + ".join(f"({float(n)!r}::DOUBLE) * (v{x} {'+' if (n >= 0) != flip else '-'} h{x})" for n, x in zip((a, b, c), "xyz", strict=True))  # noqa: E731, B023
+        far.append(f"{side(False)} + ({float(d)!r}::DOUBLE) < 0")
+        near.append(f"{side(True)} + ({float(d)!r}::DOUBLE) < 0")
+    return " OR ".join(far), " OR ".join(near)
+
+
+# yaw-only views: rotation [[c, -s, 0], [s, c, 0], [0, 0, 1]] with c = 1 - 2 qz^2, s = 2 qw qz
+_VIEW = f"""(SELECT * FROM (SELECT fid, chunk_id, c * mx - s * my + tx AS vx, s * mx + c * my + ty AS vy, mz + tz AS vz, (abs(c) + abs(s)) * 5 AS hx, (abs(c) + abs(s)) * 5 AS hy, 5e0 AS hz,
+  sqrt((mx - ccx) * (mx - ccx) + (my - ccy) * (my - ccy) + (mz + tz) * (mz + tz)) AS dist
+  FROM (SELECT *, -(c * tx + s * ty) AS ccx, -(-s * tx + c * ty) AS ccy FROM (SELECT fid, tx, ty, tz, 1 - 2 * qz * qz AS c, 2 * qw * qz AS s FROM {{keyframes}})) k,
+       (SELECT DISTINCT chunk_id, cx * 1e1 AS mx, cy * 1e1 AS my, cz * 1e1 AS mz FROM {{chunked}}) m) WHERE dist <= {ZFAR} + 1732e-3 * 10)"""
+_SEEN = f"(SELECT fid, chunk_id, CASE WHEN {_plane_tests()[0]} THEN 'OUTSIDE' WHEN {_plane_tests()[1]} THEN 'INTERSECT' ELSE 'INSIDE' END AS state FROM {_VIEW})"
+
+
+def seen(spark, sf_dir):
+    return V.visible_chunks(fixture(spark, sf_dir, "keyframes"), chunked(spark, sf_dir).select("chunk_id").distinct(), SIZE, ZFAR, FOV_X, FOV_Y, ZNEAR)
+
+
+@query("f1_frustum_planes", tables(f"SELECT fid, {r6('a')} AS a, {r6('d')} AS d FROM (SELECT fid, 1 / sqrt(2e0) * (1 + 0 * tx) AS a, 0e0 AS d FROM {{keyframes}})"))
+def f1(spark, sf_dir):
+    m = [F.lit(x) for x in _FACES]
+    left = V.frustum_planes(m)[0]
+    return fixture(spark, sf_dir, "keyframes").select("fid", r(left[0], "a"), r(left[3], "d"))
+
+
+@query("f2_boxes_in_view", tables(f"SELECT state, count(*) AS n FROM {_SEEN} WHERE state <> 'OUTSIDE' GROUP BY state"))
+def f2(spark, sf_dir):
+    return seen(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("f3_chunks_in_range", tables(f"SELECT fid, count(*) AS n FROM {_VIEW} GROUP BY fid"))
+def f3(spark, sf_dir):
+    near = V.chunks_in_range(fixture(spark, sf_dir, "keyframes"), chunked(spark, sf_dir).select("chunk_id").distinct(), SIZE, ZFAR)
+    return near.groupBy("fid").agg(F.count("*").alias("n"))
+
+
+@query("f4_points_in_front", tables(f"SELECT s.fid, count(*) AS n FROM {_SEEN} s JOIN {{chunked}} p USING (chunk_id) JOIN {{keyframes}} k ON k.fid = s.fid WHERE state <> 'OUTSIDE' AND p.z + k.tz > 2e-1 GROUP BY s.fid"))
+def f4(spark, sf_dir):
+    points = V.visible_points(chunked(spark, sf_dir), seen(spark, sf_dir)).select("fid", "x", "y", "z")
+    both = points.join(fixture(spark, sf_dir, "keyframes").select("fid", "qw", "qx", "qy", "qz", "tx", "ty", "tz"), "fid")
+    return both.filter(V.point_visible(G.pose_of(), "x", "y", "z")).groupBy("fid").agg(F.count("*").alias("n"))
+
+
+@query("j1_asof_nearest", tables("SELECT l_id, r_id, round(gap, 4) AS gap FROM (SELECT e.frame_id AS l_id, p.frame_id AS r_id, abs(e.t - p.t) AS gap, row_number() OVER (PARTITION BY e.frame_id ORDER BY abs(e.t - p.t), p.frame_id) AS n FROM {poses_est} e JOIN {poses} p ON p.run_id = e.run_id AND abs(e.t - p.t) < 1e-1) WHERE n = 1"))
+def j1(spark, sf_dir):
+    est, ref = fixture(spark, sf_dir, "poses_est"), fixture(spark, sf_dir, "poses")
+    out = J.asof_nearest(est.select("run_id", "t", F.col("frame_id").alias("l_id")), ref.select("run_id", "t", F.col("frame_id").alias("r_id")), "t", 0.1, ["run_id"], True, "l_id", "r_id")
+    return out.select("l_id", "r_id", F.round("gap", 4).alias("gap"))
+
+
+@query("j2_associated", tables("SELECT run_id, ref_id, est_id FROM (SELECT e.run_id, p.frame_id AS ref_id, e.frame_id AS est_id, row_number() OVER (PARTITION BY e.frame_id ORDER BY abs(e.t - p.t), p.frame_id) AS n FROM {poses_est} e JOIN {poses} p ON p.run_id = e.run_id AND abs(e.t - p.t) <= 1e-1) WHERE n = 1"))
+def j2(spark, sf_dir):
+    return J.associate_trajectories(fixture(spark, sf_dir, "poses"), fixture(spark, sf_dir, "poses_est"), 0.1).select("run_id", "ref_id", "est_id")
+
+
+_TOPIC_A, _TOPIC_B = "SELECT frame_id AS id, t FROM {poses} WHERE frame_id % 2 = 0", "SELECT frame_id AS id, t + ((frame_id % 9) - 4) * 1e-2 AS t FROM {poses} WHERE frame_id % 2 = 0 AND frame_id % 14 <> 0"
+
+
+def topics(spark, sf_dir):
+    p = fixture(spark, sf_dir, "poses")
+    a = p.filter("frame_id % 2 = 0").selectExpr("frame_id AS id", "t")
+    return a, p.filter("frame_id % 2 = 0 and frame_id % 14 <> 0").selectExpr("frame_id AS id", "t + ((frame_id % 9) - 4) * 1e-2 AS t")
+
+
+@query("j3_synced_topics", tables(f"SELECT a_id, b_id FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.t - b.t), b.id) AS n FROM ({_TOPIC_A}) a JOIN ({_TOPIC_B}) b ON abs(a.t - b.t) <= 5e-2) WHERE n = 1"))
+def j3(spark, sf_dir):
+    return J.sync_topics(*topics(spark, sf_dir), 0.05).select("a_id", "b_id")
+
+
+@query("j4_interpolated_poses", tables("SELECT e.run_id, e.frame_id, round(a.tx + (b.tx - a.tx) * (e.t - a.t) / (b.t - a.t), 4) AS tx, round(a.tz + (b.tz - a.tz) * (e.t - a.t) / (b.t - a.t), 4) AS tz FROM {poses_est} e JOIN (SELECT *, lead(t) OVER (PARTITION BY run_id ORDER BY t) AS t_next, lead(frame_id) OVER (PARTITION BY run_id ORDER BY t) AS next_id FROM {poses}) a ON a.run_id = e.run_id AND a.t <= e.t AND e.t < a.t_next JOIN {poses} b ON b.frame_id = a.next_id WHERE b.t - e.t <= 20000"))
+def j4(spark, sf_dir):
+    out = J.interpolate_pose(fixture(spark, sf_dir, "poses_est").select("run_id", "t", "frame_id"), fixture(spark, sf_dir, "poses"), 20000.0)
+    return out.select("run_id", "frame_id", F.round("tx", 4).alias("tx"), F.round("tz", 4).alias("tz"))
+
+
+@query("j5_normalized_poses", tables(f"SELECT frame_id, {r6('abs(w)')} AS w, {r6('-tz + fz')} AS tz FROM (SELECT frame_id, tz, qw * first_value(qw) OVER o + qz * first_value(qz) OVER o AS w, first_value(tz) OVER o AS fz FROM {{poses}} WINDOW o AS (PARTITION BY run_id ORDER BY t, frame_id))"))
+def j5(spark, sf_dir):
+    out = J.normalize_to_first(fixture(spark, sf_dir, "poses"))
+    return out.select("frame_id", r(F.abs("qw"), "w"), r(F.col("tz"), "tz"))
+
+
+@query("j7_visible_chunks", tables(f"SELECT fid, chunk_id, state FROM {_SEEN} WHERE state <> 'OUTSIDE'"))
+def j7(spark, sf_dir):
+    return seen(spark, sf_dir)
+
+
+@query("j8_visible_points", tables(f"SELECT fid, count(*) AS n_points FROM {_SEEN} s JOIN {{chunked}} p USING (chunk_id) WHERE state <> 'OUTSIDE' GROUP BY fid"))
+def j8(spark, sf_dir):
+    return V.visible_points(chunked(spark, sf_dir), seen(spark, sf_dir)).groupBy("fid").agg(F.count("*").alias("n_points"))
+
+
+@query("j10_keyframe_chunks", tables("SELECT fid, chunk_id FROM {kf_chunked}"))
+def j10(spark, sf_dir):
+    return fixture(spark, sf_dir, "keyframes").select("fid", G.chunk_id("tx", "ty", "tz", SIZE).alias("chunk_id"))
+
+
+_NEAR = "(SELECT q.fid, o.fid AS other, row_number() OVER (PARTITION BY q.fid ORDER BY sqrt((q.tx - o.tx) * (q.tx - o.tx) + (q.ty - o.ty) * (q.ty - o.ty) + (q.tz - o.tz) * (q.tz - o.tz)), o.fid) AS rank FROM {keyframes} q JOIN {keyframes} o ON o.fid <> q.fid)"
+
+
+@query("j11_closest_keyframes", tables(f"SELECT fid, pick, other AS neighbour FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY CASE WHEN (rank - 1) % 2 = 0 AND rank <= 6 THEN 0 ELSE 1 END, rank) AS pick FROM {_NEAR}) WHERE pick <= 3"))
+def j11(spark, sf_dir):
+    kf = fixture(spark, sf_dir, "keyframes")
+    return J.closest_keyframes(kf, kf, 3, 2)
+
+
+@query("j12_with_camera", tables("SELECT fid, c_nationkey AS camera_id, fx FROM (SELECT fid, fid % 5 AS c_nationkey FROM {keyframes}) k JOIN (SELECT n_nationkey, 600e0 + n_nationkey AS fx FROM nation) n ON n.n_nationkey = k.c_nationkey"))
+def j12(spark, sf_dir):
+    cameras = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("CAST(n_nationkey AS BIGINT) AS camera_id", "600e0 + n_nationkey AS fx")
+    return J.with_camera(fixture(spark, sf_dir, "keyframes").selectExpr("fid", "fid % 5 AS camera_id"), cameras).select("fid", "camera_id", "fx")
+
+
+@query("j16_pose_updates", tables(f"SELECT k.fid, {r6('coalesce(u.tx, k.tx)')} AS tx, {r6('coalesce(u.qz, k.qz)')} AS qz, CASE WHEN u.fid IS NULL THEN 'kept' ELSE 'updated' END AS state FROM {{keyframes}} k LEFT JOIN {{pose_updates}} u ON u.fid = k.fid"))
+def j16(spark, sf_dir):
+    out = J.apply_pose_updates(fixture(spark, sf_dir, "keyframes"), fixture(spark, sf_dir, "pose_updates"), 0.001)
+    return out.select("fid", r(F.col("tx"), "tx"), r(F.col("qz"), "qz"), "state")
+
+
+@query("j19_linked_keypoints", "SELECT p_partkey AS keypoint_id, o_totalprice FROM part LEFT JOIN orders ON o_orderkey = CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey END")
+def j19(spark, sf_dir):
+    kp = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS keypoint_id", "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey END AS point_id")
+    return J.link_keypoints(kp, spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS point_id", "o_totalprice")).select("keypoint_id", "o_totalprice")
+
+
+@query("j20_covisibility", tables("SELECT x.fid AS a, y.fid AS b, count(*) AS weight FROM {observations} x JOIN {observations} y ON x.point_id = y.point_id AND x.fid < y.fid GROUP BY x.fid, y.fid HAVING count(*) >= 8"))
+def j20(spark, sf_dir):
+    return J.covisibility(fixture(spark, sf_dir, "observations"), 8).select("a", "b", "weight")
+
+
+@query("u10_remapped_keyframes", tables("SELECT fid, chunk_id FROM {kf_chunked} WHERE fid NOT IN (SELECT fid FROM {pose_updates}) UNION ALL SELECT fid, (CAST(floor((tx + 5) / 10) AS BIGINT) + 1048576) * 4398046511104 + (CAST(floor((ty + 5) / 10) AS BIGINT) + 1048576) * 2097152 + (CAST(floor((tz + 5) / 10) AS BIGINT) + 1048576) FROM {pose_updates}"))
+def u10(spark, sf_dir):
+    old = j10(spark, sf_dir)
+    return J.remap_keyframes(old, fixture(spark, sf_dir, "pose_updates"), SIZE)
+
+
+@query("u11_moved_keyframes", tables(f"SELECT fid, {r6('2 * tx + 1')} AS tx, {r6('2 * ty - 1')} AS ty, {r6('2 * tz')} AS tz, {r6('qw')} AS qw FROM {{keyframes}}"))
+def u11(spark, sf_dir):
+    out = J.transform_keyframes(fixture(spark, sf_dir, "keyframes"), G.quat(1.0, 0.0, 0.0, 0.0), G.vec(1.0, -1.0, 0.0), 2.0)
+    return out.select("fid", *[r(F.col(c), c) for c in ("tx", "ty", "tz", "qw")])
+
+
+@query("u12_map_points", tables("SELECT point_id, CASE WHEN point_id IN (SELECT point_id FROM {observations} WHERE fid % 2 = 0) THEN 'reference' ELSE 'current' END AS part FROM (SELECT DISTINCT point_id FROM {observations}) WHERE point_id % 7 <> 0"))
+def u12(spark, sf_dir):
+    obs = fixture(spark, sf_dir, "observations")
+    points = obs.select("point_id").distinct().withColumn("bad", F.col("point_id") % 7 == 0)
+    current, reference = J.split_map_points(points, obs.filter("fid % 2 = 0"))
+    return current.select("point_id", F.lit("current").alias("part")).union(reference.select("point_id", F.lit("reference")))
+
+
+@query("w10_loop_closure", tables(f"SELECT gaussian_id, moved_by FROM (SELECT p.gaussian_id, k.fid AS moved_by, row_number() OVER (PARTITION BY p.gaussian_id ORDER BY k.seq) AS n FROM {{chunked}} p JOIN (SELECT k.fid, k.seq, k.creation_iter, k.tz, s.chunk_id FROM {{keyframes}} k JOIN {{pose_updates}} u ON u.fid = k.fid JOIN {_SEEN} s ON s.fid = k.fid AND s.state <> 'OUTSIDE') k ON k.chunk_id = p.chunk_id WHERE abs(p.exist_since - k.creation_iter) < 200 AND p.z + k.tz > 2e-1) WHERE n = 1"))
+def w10(spark, sf_dir):
+    kf = fixture(spark, sf_dir, "keyframes").select("fid", "seq", "creation_iter", "qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    new = fixture(spark, sf_dir, "pose_updates").select("fid", *[F.col(c).alias("n_" + c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
+    kf = kf.join(new, "fid").join(seen(spark, sf_dir).select("fid", "chunk_id"), "fid")
+    return J.apply_loop_closure(chunked(spark, sf_dir), kf, 200, SIZE).filter("moved_by is not null").select("gaussian_id", "moved_by")

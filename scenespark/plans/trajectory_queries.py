@@ -1 +1,64 @@
-"""Queries (to come)."""
+"""Queries of trajectory evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import trajectory as T
+from .fixtures import fixture, r6, tables
+from .geometry_queries import r
+from .registry import query
+
+_PAIRS = "(SELECT e.run_id, p.frame_id, p.tx AS rx, p.ty AS ry, p.tz AS rz, e.tx AS ex, e.ty AS ey, e.tz AS ez FROM {poses_est} e JOIN {poses} p ON p.frame_id = e.frame_id)"
+
+
+def pairs(spark, sf_dir):
+    ref, est = fixture(spark, sf_dir, "poses"), fixture(spark, sf_dir, "poses_est")
+    ref = ref.select(F.col("frame_id").alias("ref_id"), *[F.col(f"t{a}").alias(f"r{a}") for a in "xyz"], *[F.col(f"q{a}").alias(f"rq{a}") for a in "wxyz"])
+    got = est.select(F.col("frame_id").alias("est_id"), *[F.col(f"t{a}").alias(f"e{a}") for a in "xyz"], *[F.col(f"q{a}").alias(f"eq{a}") for a in "wxyz"])
+    links = J.associate_trajectories(fixture(spark, sf_dir, "poses"), est, 0.1)
+    return links.select("run_id", "ref_id", "est_id").join(ref, "ref_id").join(got, "est_id")
+
+
+@query("w7_frame_interval", tables("SELECT frame_id, round(coalesce(lead(t) OVER w - t, t - lag(t) OVER w), 3) AS gap FROM {poses} WINDOW w AS (PARTITION BY run_id ORDER BY t)"))
+def w7(spark, sf_dir):
+    return T.frame_interval(fixture(spark, sf_dir, "poses"), "run_id", "t").select("frame_id", F.round("interval", 3).alias("gap"))
+
+
+@query("w11_relative_motion", tables(f"SELECT frame_id, {r6('sqrt((tx - px) * (tx - px) + (ty - py) * (ty - py) + (tz - pz) * (tz - pz))')} AS distance FROM (SELECT *, lag(tx) OVER w AS px, lag(ty) OVER w AS py, lag(tz) OVER w AS pz FROM {{poses}} WINDOW w AS (PARTITION BY run_id ORDER BY t, frame_id)) WHERE px IS NOT NULL"))
+def w11(spark, sf_dir):
+    return T.relative_motion(fixture(spark, sf_dir, "poses")).select("frame_id", r(F.col("distance"), "distance"))
+
+
+@query("a8_alignment")
+def a8(spark, sf_dir):
+    return T.umeyama(pairs(spark, sf_dir), True)
+
+
+@query("a9_pose_error", tables(f"SELECT run_id, {r6('sqrt(avg(e * e))')} AS rmse, {r6('avg(e)')} AS mean, {r6('median(e)')} AS median, {r6('stddev_pop(e)')} AS std, {r6('min(e)')} AS min, {r6('max(e)')} AS max, {r6('sum(e * e)')} AS sse FROM (SELECT run_id, sqrt((ex - rx) * (ex - rx) + (ey - ry) * (ey - ry) + (ez - rz) * (ez - rz)) AS e FROM {_PAIRS}) GROUP BY run_id"))
+def a9(spark, sf_dir):
+    return T.ape(pairs(spark, sf_dir)).select("run_id", *[r(F.col(c), c) for c in ("rmse", "mean", "median", "std", "min", "max", "sse")])
+
+
+@query("a9_rotation_error", tables("SELECT run_id, 0e0 AS rmse FROM {poses_est} GROUP BY run_id"))
+def a9_rotation(spark, sf_dir):
+    return T.ape(pairs(spark, sf_dir), "rotation").select("run_id", r(F.col("rmse"), "rmse"))
+
+
+@query("a9_aligned_error")
+def a9_aligned(spark, sf_dir):
+    return T.ape(pairs(spark, sf_dir), "translation", "similarity")
+
+
+_CENTRE = "(SELECT run_id, -((1 - 2 * qz * qz) * tx + 2 * qw * qz * ty) AS x, -(-2 * qw * qz * tx + (1 - 2 * qz * qz) * ty) AS y, -tz AS z FROM {poses})"
+
+
+@query("a10_scene_norm", tables(f"SELECT run_id, {r6('-mx')} AS x, {r6('-my')} AS y, {r6('-mz')} AS z, {r6('1.1::DOUBLE * max(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)))')} AS radius FROM (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM {_CENTRE} WINDOW w AS (PARTITION BY run_id)) GROUP BY run_id, mx, my, mz"))
+def a10(spark, sf_dir):
+    return T.scene_norm(fixture(spark, sf_dir, "poses")).select("run_id", *[r(F.col(c), c) for c in ("x", "y", "z", "radius")])
+
+
+@query("a11_trajectory_bounds", tables(f"SELECT run_id, {r6('min(tx)')} AS min_tx, {r6('max(tz)')} AS max_tz, {r6('CASE WHEN max(tx) - min(tx) < 1e-3 THEN 1e0 ELSE max(tx) - min(tx) END')} AS range_x FROM {{poses}} GROUP BY run_id"))
+def a11(spark, sf_dir):
+    return T.trajectory_bounds(fixture(spark, sf_dir, "poses")).select("run_id", *[r(F.col(c), c) for c in ("min_tx", "max_tz", "range_x")])
