@@ -1 +1,119 @@
-"""Queries (to come)."""
+"""Queries of stream operators in batch form, file names and run reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import reports as R
+from ..sources import readers
+from ..streaming import frames as S
+from .fixtures import fixture, r6, tables
+from .geometry_queries import SIZE, r
+from .join_queries import topics
+from .registry import query
+
+
+@query("t1_admitted", tables("SELECT frame_id FROM (SELECT frame_id, row_number() OVER (PARTITION BY run_id ORDER BY frame_id) AS n FROM {poses}) WHERE n <= 20"))
+def t1(spark, sf_dir):
+    return S.admit(fixture(spark, sf_dir, "poses"), "run_id", "frame_id", 20).select("frame_id")
+
+
+def slow(spark, sf_dir):
+    return fixture(spark, sf_dir, "poses").withColumn("t", F.col("t") / 1e5)
+
+
+@query("t2_keyframe_gate", tables("""WITH RECURSIVE p AS (SELECT run_id, frame_id, t / 1e5 AS t, tx, ty, tz, qw, qz, row_number() OVER (PARTITION BY run_id ORDER BY t, frame_id) AS n FROM {poses}),
+g AS (SELECT run_id, frame_id, n, true AS kept, t, tx, ty, tz, qw, qz FROM p WHERE n = 1 UNION ALL
+SELECT run_id, frame_id, n, ok, CASE WHEN ok THEN t ELSE lt END, CASE WHEN ok THEN tx ELSE lx END, CASE WHEN ok THEN ty ELSE ly END, CASE WHEN ok THEN tz ELSE lz END, CASE WHEN ok THEN qw ELSE lw END, CASE WHEN ok THEN qz ELSE lq END
+FROM (SELECT p.*, g.t AS lt, g.tx AS lx, g.ty AS ly, g.tz AS lz, g.qw AS lw, g.qz AS lq, p.t - g.t >= 5e-1 AND (sqrt((p.tx - g.tx) * (p.tx - g.tx) + (p.ty - g.ty) * (p.ty - g.ty) + (p.tz - g.tz) * (p.tz - g.tz)) > 4 OR 2 * acos(least(1e0, abs(p.qw * g.qw + p.qz * g.qz))) > 1) AS ok FROM g JOIN p ON p.run_id = g.run_id AND p.n = g.n + 1))
+SELECT run_id, frame_id FROM g WHERE kept"""))
+def t2(spark, sf_dir):
+    return S.select_keyframes(slow(spark, sf_dir), min_trans=4.0, min_rot=1.0).select("run_id", "frame_id")
+
+
+@query("t3_synced", tables("SELECT a_id, b_id FROM (SELECT a.frame_id AS a_id, b.frame_id AS b_id, row_number() OVER (PARTITION BY a.frame_id ORDER BY abs(a.t - b.t), b.frame_id) AS n FROM {poses} a JOIN (SELECT frame_id, t + ((frame_id % 9) - 4) * 1e-2 AS t FROM {poses} WHERE frame_id % 2 = 0 AND frame_id % 14 <> 0) b ON abs(a.t - b.t) <= 5e-2 WHERE a.frame_id % 2 = 0) WHERE n = 1"))
+def t3(spark, sf_dir):
+    return J.sync_topics(*topics(spark, sf_dir), 0.05).select("a_id", "b_id")
+
+
+@query("t5_stream_stops", tables("SELECT run_id, count(*) AS frames FROM (SELECT run_id, sum(CASE WHEN gap IS NULL OR gap > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY t) AS session FROM (SELECT run_id, t, t - lag(t) OVER (PARTITION BY run_id ORDER BY t) AS gap FROM {poses})) GROUP BY run_id, session"))
+def t5(spark, sf_dir):
+    frames = fixture(spark, sf_dir, "poses").select("run_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("event_time"))
+    return S.stream_stop(frames, "run_id", "20000 seconds").select("run_id", "frames")
+
+
+@query("t6_latest_frame", tables("SELECT run_id, max_by(frame_id, t) AS frame_id FROM {poses} GROUP BY run_id"))
+def t6(spark, sf_dir):
+    return S.latest_frame(fixture(spark, sf_dir, "poses"), "run_id", "t", "frame_id").select("run_id", "frame_id")
+
+
+@query("t7_applied_operations", tables(f"SELECT k.fid, {r6('coalesce(u.tx, k.tx)')} AS tx FROM {{keyframes}} k LEFT JOIN {{pose_updates}} u ON u.fid = k.fid"))
+def t7(spark, sf_dir):
+    return S.apply_operations(fixture(spark, sf_dir, "keyframes"), fixture(spark, sf_dir, "pose_updates")).select("fid", r(F.col("tx"), "tx"))
+
+
+@query("t8_snapshots", tables("SELECT kfid FROM {frame_metrics} WHERE kfid % 1000 = 0"))
+def t8(spark, sf_dir):
+    return S.snapshot_metrics(fixture(spark, sf_dir, "frame_metrics"), "kfid").select("kfid")
+
+
+@query("z5_keyframe_chunks")
+def z5(spark, sf_dir):
+    return S.keyframe_stream(slow(spark, sf_dir), SIZE, min_trans=4.0, min_rot=1.0).select("run_id", "frame_id", "chunk_id")
+
+
+_NAMES = "CASE WHEN event_id % 50 = 0 THEN 'broken' WHEN event_id % 3 = 0 THEN event_id || '_' || regexp_extract(props, '([0-9]+)', 1) || '_' || event_type || '.jpg' ELSE event_id || '_' || regexp_extract(props, '([0-9]+)', 1) || '.jpg' END"
+
+
+@query("s9_render_names", f"SELECT CAST(regexp_extract(n, '^([0-9]+)_([0-9]+)', 1) AS BIGINT) AS iteration, CAST(regexp_extract(n, '^([0-9]+)_([0-9]+)', 2) AS BIGINT) AS kfid, regexp_extract(n, '^[0-9]+_[0-9]+_([a-z]+)', 1) AS suffix FROM (SELECT {_NAMES} AS n FROM events) WHERE n <> 'broken'")
+def s9(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(f"{_NAMES} AS n")
+    return names.select(readers.parse_render_name(F.col("n")).alias("p")).filter("p is not null").select("p.*")
+
+
+@query("j6_paired_renders", f"SELECT event_id AS iteration, count(*) AS n FROM events WHERE event_id % 50 <> 0 AND event_id % 2 = 0 GROUP BY event_id")
+def j6(spark, sf_dir):
+    renders = s9(spark, sf_dir)
+    return J.pair_renders(renders, renders.filter("iteration % 2 = 0").distinct()).groupBy("iteration").agg(F.count("*").alias("n"))
+
+
+@query("s14_manifest_json", tables("SELECT chunk_id, n_points FROM {manifest}"))
+def s14(spark, sf_dir):
+    m = fixture(spark, sf_dir, "manifest")
+    docs = m.groupBy((F.col("chunk_id") % 7).alias("part")).agg(F.collect_list("chunk_id").alias("chunks_on_disk"), F.collect_list("n_points").alias("chunk_gaussian_counts"))
+    docs = docs.select(F.to_json(F.struct("chunks_on_disk", "chunk_gaussian_counts")).alias("doc"))
+    return docs.select(F.explode(readers.manifest_rows(F.col("doc"))).alias("m")).select("m.*")
+
+
+@query("s18_discovered_runs", tables("SELECT DISTINCT event_type AS dataset, 'cam' || (run_id % 3) AS camera, CAST(run_id % 5 AS VARCHAR) AS trial, 'scene' || (run_id % 4) AS scene FROM {frame_metrics} WHERE event_type <> 'error'"))
+def s18(spark, sf_dir):
+    m = fixture(spark, sf_dir, "frame_metrics")
+    paths = m.selectExpr("'/data/' || upper(event_type) || '_cam' || (run_id % 3) || '_' || (run_id % 5) || '/scene' || (run_id % 4) || '/eval.txt' AS path")
+    return readers.discover_runs(paths, m.filter("event_type <> 'error'").selectExpr("event_type AS dataset").distinct())
+
+
+@query("j18_run_report", tables(f"SELECT run_id, {r6('avg(psnr)')} AS psnr, {r6('avg(ssim)')} AS ssim, CASE WHEN run_id % 4 = 0 THEN NULL ELSE {r6('avg(render_ms)')} END AS time FROM {{frame_metrics}} GROUP BY run_id"))
+def j18(spark, sf_dir):
+    m = fixture(spark, sf_dir, "frame_metrics")
+    quality = m.groupBy("run_id").agg(r(F.avg("psnr"), "psnr"), r(F.avg("ssim"), "ssim"))
+    time = m.filter("run_id % 4 <> 0").groupBy("run_id").agg(r(F.avg("render_ms"), "time"))
+    return R.run_report(m.select("run_id").distinct(), [quality, time], ["run_id"])
+
+
+@query("z2_evaluated_runs", tables(f"SELECT run_id, {r6('avg(psnr)')} AS psnr, {r6('1000 / avg(render_ms)')} AS fps, (SELECT count(*) FROM {{poses_est}} e WHERE e.run_id = m.run_id) AS pairs FROM {{frame_metrics}} m GROUP BY run_id"))
+def z2(spark, sf_dir):
+    out = R.evaluate_runs(fixture(spark, sf_dir, "poses"), fixture(spark, sf_dir, "poses_est"), fixture(spark, sf_dir, "frame_metrics"))
+    return out.select("run_id", r(F.col("psnr"), "psnr"), r(F.col("fps"), "fps"), "pairs")
+
+
+@query("z8_keyframe_results", tables(f"SELECT kfid, {r6('render_ms')} AS render_ms, {r6('(1 - ssim) / 2')} AS dssim, {r6('psnr')} AS psnr FROM {{frame_metrics}}"))
+def z8(spark, sf_dir):
+    return R.keyframe_results(fixture(spark, sf_dir, "frame_metrics")).select("kfid", *[r(F.col(c), c) for c in ("render_ms", "dssim", "psnr")])
+
+
+@query("k8_point_lines", tables("SELECT printf('%.6f %.6f %.6f %d %d %d', x, y, z, CAST(floor(opacity * 255) AS INTEGER), CAST(floor(opacity * 255) AS INTEGER), CAST(floor(opacity * 255) AS INTEGER)) AS value FROM {points}"))
+def k8(spark, sf_dir):
+    from ..sources.writers import point_lines
+
+    return point_lines(fixture(spark, sf_dir, "points").withColumns({c: F.col("opacity") for c in "rgb"}))
