@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import WORD, ascii_lower, cut, table
 
 NGRAM, SCALE = 5, 8
+#: Stands for a null id while rows are joined.
+NO_ID = -(2**63)
 
 
 def _let(value: Column, body) -> Column:
@@ -53,13 +55,13 @@ def as_text(s: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """keys(doc_id, tie, n, copies), one row per key -> the same with next_* and prev_* in (doc_id, tie) order, as a ring.
+    """keys(key, tie, n, copies), one row per key -> the same with next_* and prev_* in (key, tie) order, as a ring.
 
     Range partitions are ordered on their own; only the first and last key of each goes through the
     windows without a key (as many rows as there are partitions).
     """
-    keys = cut(keys.repartitionByRange("doc_id", "tie").withColumn("part", F.spark_partition_id()), "ring")
-    key, inside = F.struct("doc_id", "tie", "n"), Window.partitionBy("part").orderBy("doc_id", "tie")
+    keys = cut(keys.repartitionByRange("key", "tie").withColumn("part", F.spark_partition_id()), "ring")
+    key, inside = F.struct("key", "tie", "n"), Window.partitionBy("part").orderBy("key", "tie")
     ends = keys.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
     along = Window.orderBy("part")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -71,7 +73,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     keys = keys.join(ends, "part")
     nxt = F.coalesce(F.lead(key).over(inside), F.col("after"))
     prev = F.coalesce(F.lag(key).over(inside), F.col("before"))
-    return keys.select("doc_id", "tie", "copies", nxt.alias("next"), prev.alias("prev"))
+    return keys.select("key", "tie", "copies", nxt.alias("next"), prev.alias("prev"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -80,21 +82,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows that agree in id and text are each other's next, and the last of them has the following row.
     Null texts are empty; null ids come first.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    keys = rows.select("doc_id", "tie", F.char_length("text").cast("long").alias("n")).groupBy("doc_id", "tie").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
-    ring = cut(neighbours(keys), "ring-next").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "copies", "prev")
-    rows = rows.join(ring, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))).drop("_d", "_t")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(1))))
+    # Plain equality on keys without nulls, and no column that only one branch needs: the join, the
+    # window, the second join and what is sent share one shuffle of the texts.
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit(""))
+    rows = docs.select(key.alias("key"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    keys = rows.select("key", "tie", F.char_length("text").cast("long").alias("n")).groupBy("key", "tie").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    ring = cut(neighbours(keys).select("key", "tie", "copies", "prev"), "ring-next")
+    rows = rows.join(ring, ["key", "tie"])
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key", "tie").orderBy(F.lit(1))))
     sent = rows.filter("copy = 1").select(
-        F.col("prev.doc_id").alias("_d"), F.col("prev.tie").alias("_t"),
+        F.col("prev.key").alias("key"), F.col("prev.tie").alias("tie"),
         F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("next_head"), sketch(F.col("text")).alias("sent_sketch"),
     )
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    rows = rows.join(sent, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t")), "left")
+    rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).drop("prev")
+    rows = rows.join(sent, ["key", "tie"], "left")
     last = F.col("copy") == F.col("copies")
     own_head = F.expr("substring(text, 1, cast(n_chars div 2 as int))")
-    return rows.select("doc_id", "text", "n_chars", F.when(last, F.col("next_head")).otherwise(own_head).alias("head"), F.when(last, F.col("sent_sketch")).alias("next_sketch"))
+    return rows.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "n_chars", F.when(last, F.col("next_head")).otherwise(own_head).alias("head"), F.when(last, F.col("sent_sketch")).alias("next_sketch"))
 
 
 def document_sketches(docs: DataFrame, ngram: int = NGRAM, scale: int = SCALE) -> DataFrame:
