@@ -213,7 +213,7 @@ def read_documents(keys: DataFrame, path: str) -> DataFrame:
         """One row a copy, with the place of the shard in the list."""
         for pdf in batches:
             pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
-            nth = pdf.groupby("record", sort=False).cumcount().to_numpy() if (pdf["copies"] > 1).any() else 0
+            nth = pdf.groupby(["shard", "record"], sort=False).cumcount().to_numpy() if (pdf["copies"] > 1).any() else 0
             place = pdf["shard"].map(by_shard).to_numpy()
             whole = firsts[place] + pdf["record"].to_numpy() + nth
             place = np.searchsorted(firsts, whole, "right") - 1
