@@ -122,7 +122,7 @@ def test_logs_and_artifacts(spark, tmp_path):
     assert rows == {"psnr": 20.5, "ssim": 0.75}
     (tmp_path / "frames").mkdir()
     for n in ("frame000012.jpg", "1305031102.175304.png"):
-        (tmp_path / "frames" / n).write_bytes(b"")
+        (tmp_path / "frames" / n).write_bytes(b"x")
     assert sorted(r.ts for r in readers.list_frames(spark, str(tmp_path / "frames"), "tum").collect()) == [12.0, 1305031102.175304]
 
 
