@@ -24,6 +24,8 @@ TREES, DEPTH, RATE, RIDGE = 30, 3, 0.3, 1.0
 #: Precision a kind's threshold must keep on the documents apart.
 PRECISION = 0.95
 MARK, OTHER = "\x01", "\x02"
+#: Column of a table's candidates while spans are decided; no column of the input may have this name.
+HELD = "__pii_candidates"
 
 # Possessive forms and start conditions keep each pattern linear; they match what the plain forms match.
 PATTERNS = {
@@ -77,6 +79,11 @@ def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
+def _mixed(s: Column) -> Column:
+    """Letters and digits: two linear tests."""
+    return s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+
+
 def is_base(kind: str, match: Column) -> Column:
     """Whether a match of a base pattern stands."""
     n = F.length(_digits(match))
@@ -99,7 +106,7 @@ FEATURES = {
     "check_digit": lambda g, s: F.when(F.length(_digits(s["match"])).between(12, 19), F.call_function("luhn_check", _digits(s["match"]))).otherwise(False),
     "phone_length": lambda g, s: F.length(_digits(s["match"])).between(8, 15),
     "hex": lambda g, s: s["match"].rlike(r"^[0-9A-Fa-f]{24,}$"),
-    "mixed": lambda g, s: s["match"].rlike(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"),
+    "mixed": lambda g, s: _mixed(s["match"]),
     "long": lambda g, s: (s["end"] - s["start"]) >= 32,
     "cue": lambda g, s: s["before"].rlike(CUES),
     "contact": lambda g, s: s["before"].rlike(CONTACT),
@@ -114,14 +121,14 @@ def _label(generator: str, s: Column) -> Column:
     """What the validators and cues say of a candidate of this generator: 1, 0, or nothing."""
     if generator in ("email", "ip", "card", "phone"):
         return is_base(generator, s["match"]).cast("int")
-    mixed, cue = s["match"].rlike(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"), s["before"].rlike(CUES)
+    mixed, cue = _mixed(s["match"]), s["before"].rlike(CUES)
     if generator == "secret":
         return F.when(mixed & cue, 1).when(~mixed | ~s["before"].rlike(r"[=:]\s?[\"']?$"), 0)
     return F.when(s["before"].rlike(CONTACT), 1)
 
 
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs(text, ...) -> ``keep`` and spans array<struct(generator, kind, start, end, base, label, bits)> in one scan."""
+    """docs(text, ...) -> ``keep`` and HELD: array<struct(generator, kind, start, end, base, label, bits)>, in one scan."""
     text = F.translate(F.coalesce("text", F.lit("")), MARK, OTHER)
 
     def candidate(name: str):
@@ -143,7 +150,7 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     # no generator matches without a digit, an at sign, or a run of twenty
     some = text.rlike(r"[0-9@]|[\(\[\{](?:at|AT)[\)\]\}]|[A-Za-z_+/=-]{20}")
     empty = F.array().cast("array<struct<generator:string,kind:int,start:int,end:int,base:boolean,label:int,bits:int>>")
-    return docs.select(*keep, F.when(some, _let(text, spans)).otherwise(empty).alias("spans"))
+    return docs.select(*keep, F.when(some, _let(text, spans)).otherwise(empty).alias(HELD))
 
 
 def boost(counts: list[tuple[int, float, float]]) -> list:
@@ -194,11 +201,11 @@ def margin_of(model: list, bits: int) -> float:
 
 
 def train(spans: DataFrame) -> dict[tuple[int, int], float]:
-    """spans(doc_id, spans) -> {(kind, feature bits): margin} of the sets whose margin passes the kind's threshold.
+    """Candidates of candidates() with doc_id -> {(kind, feature bits): margin} of the sets whose margin passes the kind's threshold.
 
     The driver sees one row for each kind and set of features that occurs (at most 2^18, in practice tens).
     """
-    each = spans.select((id_crc(F.col("doc_id")) % 4 == 2).alias("apart"), F.explode("spans").alias("s"))
+    each = spans.select((id_crc(F.col("doc_id")) % 4 == 2).alias("apart"), F.explode(HELD).alias("s"))
     rows = each.groupBy("apart", "s.kind", "s.bits").agg(F.count(F.when(F.col("s.label") == 0, 1)).alias("n"), F.count(F.when(F.col("s.label") == 1, 1)).alias("p")).collect()
     fit: dict[int, list[float]] = {}
     for r in sorted((r for r in rows if not r["apart"]), key=lambda r: (r["bits"], r["kind"])):
@@ -250,24 +257,24 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFr
     """docs(doc_id, text) -> doc_id, base and spans: array<struct(kind int, start int, end int)> (index in KINDS; code points, end exclusive).
 
     Trains on the table itself and decides every span in it.  Null and empty texts have no spans; null
-    ids are kept; repeated rows are treated alike; ``keep`` names further columns to carry.
+    ids are kept; repeated rows are treated alike; ``keep`` names further columns to carry, but for
+    those named base or spans.
     """
-    keep = ["doc_id", *(keep or [])]
+    keep = ["doc_id", *(c for c in keep or [] if c not in ("base", "spans"))]
     found = cut(candidates(docs, keep), "pii-candidates")
     chosen = train(found)
-    base = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return found.select(*keep, base.alias("base"), select(F.col("spans"), chosen).alias("spans"))
+    base = F.array_sort(F.transform(F.filter(HELD, lambda s: s["base"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    return found.select(*keep, base.alias("base"), select(F.col(HELD), chosen).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> the same columns with every span of the text replaced by ``<KIND>``.
 
-    The texts ride along with their candidates, so nothing is joined; overlapping base spans are merged.
+    The texts ride along with their candidates, so nothing is joined; overlapping spans are merged.
     """
-    others = [c for c in docs.columns if c != "doc_id"]
-    found = find_personal_data(docs, others)
+    found = cut(candidates(docs, docs.columns), "pii-candidates")
+    spans = select(F.col(HELD), train(found))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def body(text: Column) -> Column:
@@ -276,10 +283,10 @@ def redact(docs: DataFrame) -> DataFrame:
             name = F.when(s["start"] >= acc["at"], F.get(names, s["kind"])).otherwise("")
             return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], clear, name).alias("text"))
 
-        done = F.aggregate(by_start, zero, step)
-        return _let(done, lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.lit(2**31 - 1))))
+        by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return _let(F.aggregate(by_start, zero, step), lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.lit(2**31 - 1))))
 
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(_let(F.col("text"), body))
+    text = F.when(F.size(HELD) == 0, F.col("text")).otherwise(_let(F.col("text"), body))
     return found.withColumn("text", text).select(*docs.columns)
 
 
