@@ -26,6 +26,8 @@ from .components import connected_components
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Reference fingerprints of a pivot table, and rows of a bucket that one task takes at most twice of.
 PIVOTS, CHUNK = 24, 2048
+#: Links that one task thins out to a forest.
+EDGES = 500_000
 _WORDS_PER_STEP = 1 << 15
 
 
@@ -121,20 +123,47 @@ def bucket_trees(group: np.ndarray, fps: np.ndarray, reference: np.ndarray, radi
             keep = np.abs(tables[a, lo : lo + 8] - tables[b, lo : lo + 8]).max(axis=1, initial=0) <= radius
             a, b = a[keep], b[keep]
         keep = hamming(fps[a], fps[b]) <= radius
+        parent = _joined(parent, a[keep], b[keep])
+    child, above = _trees(parent)
+    return order[child], order[above]
+
+
+def _joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the links (a, b)."""
+    while len(a):
+        x, y = parent[a], parent[b]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        parent = _roots(parent)
+        keep = parent[a] != parent[b]
         a, b = a[keep], b[keep]
-        while len(a):
-            x, y = parent[a], parent[b]
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-            parent = _roots(parent)
-            keep = parent[a] != parent[b]
-            a, b = a[keep], b[keep]
+    return parent
+
+
+def _trees(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(child, above) edges of a tree of four branches over each root's members."""
+    n = len(parent)
     members = np.lexsort((np.arange(n), parent))
     own = parent[members]
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if n else np.zeros(0, int)
     rank = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
     child = np.flatnonzero(rank > 0)
     above = child - rank[child] + (rank[child] - 1) // 4
-    return order[members[child]], order[members[above]]
+    return members[child], members[above]
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Links (a, b) -> fewer links with the same components: each task keeps a forest of the EDGES it reads at most."""
+    tasks = max(1, -(-edges.count() // EDGES))
+
+    def run(batches):
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if held:
+            nodes, place = np.unique(np.concatenate([x for pair in zip(*held, strict=True) for x in pair]), return_inverse=True)
+            half = len(place) // 2
+            child, above = _trees(_joined(np.arange(len(nodes)), place[:half], place[half:]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[above])], names=["a", "b"])
+
+    return edges.coalesce(tasks).mapInArrow(run, "a long, b long")
 
 
 def links(fps: DataFrame, lanes: int, radius: int, masks: list[list[int]]) -> DataFrame:
@@ -213,7 +242,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, lanes: int = 4, similarity:
     found = cut(fingerprints(docs, ngram, lanes), "simhash")
     ids = found.filter("doc_id is not null")
     nodes = cut(ids.groupBy(*names).agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    edges = cut(links(nodes, lanes, radius, masks), "simhash-links")
+    edges = forest(cut(links(nodes, lanes, radius, masks), "simhash-links"))
     # an id with several texts is one document
     several = ids.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("lo"), F.max(F.struct(*names)).alias("hi")).filter("lo <> hi").select("doc_id")
     across = ids.join(several, "doc_id").join(nodes, names).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
