@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenespark.llm import language, mixing, packing, pii, simhash
+from scenespark.llm import language, mixing, near_copies, packing, pii
 from scenespark.llm.common import cut, table, tokenizer_path
 
 #: Below this share of its own mixture no language counts as the document's.
@@ -26,7 +26,7 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates stays, once; rows without an id stay."""
-    groups = simhash.near_duplicates(docs, ngram=5, lanes=4, similarity=0.8)
+    groups = near_copies.near_copies(docs, ngram=5, least=0.8)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     return kept.filter("_copy = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

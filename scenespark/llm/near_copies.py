@@ -1,0 +1,307 @@
+"""Groups of texts linked by the Jaccard similarity of their sets of word shingles, none of the links left out.
+
+Shingles are put in one order, the frequent ones last.  Two sets of similarity ``least`` or more share a shingle
+among the first ``n - ceil(least * n) + 1`` of each, so the rows that share such a shingle hold every link.  All
+candidates are verified on the whole sets.  The first round verifies only the links to the smallest node of each
+shingle, the second the candidates that the first has not joined: a large group of copies costs a star, not its
+pairs.  Shingles of many sets are cut into chunks and every two chunks meet in a task of their own.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, new_path
+from .components import connected_components
+from .kneser_ney import words_of
+from .simhash import forest
+from .token_files import _mix, _read, _write
+
+#: Rows of a shingle that one task takes at most twice of, and pairs it sends at once.
+CHUNK, SENT = 2048, 1 << 19
+#: Words and sets a task remembers, hashes it counts at once.
+REMEMBERED, SETS, COUNTED = 500_000, 500, 4_000_000
+#: Shingles put last in the order: counted LOCAL times at once by a task, at most FREQUENT of them.
+LOCAL, FREQUENT = 3, 200_000
+_ROWS = "token long, node long, size int, place int"
+
+
+class Shingles:
+    """Sorted distinct 64-bit hashes of a text's n-word shingles; a shorter text is one shingle, no words none."""
+
+    def __init__(self, ngram: int):
+        self.ngram, self.known = ngram, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for w in set(words).difference(self.known):
+            self.known[w] = xxhash.xxh64_intdigest(w, 42)
+        hashes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        k = min(self.ngram, len(words))
+        out = np.full(len(words) - k + 1 if k else 0, k, np.uint64)
+        for i in range(k):
+            out = _mix(out, i) ^ hashes[i : i + len(out)]
+        return np.unique(_mix(out, k))
+
+
+def needed(size, least: float):
+    """Smallest overlap of a set of this size with one of similarity ``least``."""
+    return np.ceil(least * size - 1e-9).astype(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least ``least``; two empty ones have."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def possible(size_a, place_a, size_b, place_b, least: float):
+    """Whether sets that share a shingle at these places of the order can be similar enough."""
+    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
+    return most >= np.ceil(least / (1 + least) * (size_a + size_b) - 1e-9)
+
+
+def _digest(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.astype("<u8").tobytes())
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.asarray(values, np.uint64).view(np.int64))
+
+
+def sets(docs: DataFrame, ngram: int) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, node (digest of the shingle set)."""
+
+    def run(batches):
+        shingles = Shingles(ngram)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            known = {t: _digest(shingles(t)) for t in dict.fromkeys(texts)}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _signed([known[t] for t in texts])], names=["doc_id", "node"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long")
+
+
+def frequent_shingles(docs: DataFrame, ngram: int) -> str:
+    """Path of the hashes that tasks meet often, in order, and their ranks by frequency."""
+
+    def run(batches):
+        shingles = Shingles(ngram)
+        held, count = [], 0
+
+        def send():
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= LOCAL
+            yield pa.RecordBatch.from_arrays([_signed(keys[often]), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.append(shingles(text))
+                count += len(held[-1])
+                if count > COUNTED:
+                    yield from send()
+                    held, count = [], 0
+        if held:
+            yield from send()
+
+    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    keys = found["token"].to_numpy(np.int64).view(np.uint64)
+    rank = np.argsort(np.argsort(found["n"].to_numpy(np.int64), kind="stable")) + 1
+    order, path = np.argsort(keys), new_path(docs.sparkSession, "frequent-shingles")
+    _write(path, [keys[order].astype("<u8").tobytes(), rank[order].astype("<u8").tobytes()])
+    return path
+
+
+@functools.lru_cache(2)
+def _ranks(path: str) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(_read(path), "<u8")
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
+def prefixes(docs: DataFrame, ngram: int, least: float, path: str) -> DataFrame:
+    """docs(text) -> a row (token, node, size, place) for each of the first shingles of a set."""
+
+    def run(batches):
+        shingles, (often, ranks) = Shingles(ngram), _ranks(path)
+        for batch in batches:
+            tokens, nodes, sizes, places = [], [], [], []
+            for text in dict.fromkeys(batch.column("text").to_pylist()):
+                own = shingles(text)
+                if not len(own):
+                    continue
+                rank = np.zeros(len(own), np.uint64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    rank = np.where(often[at] == own, ranks[at], rank)
+                n = len(own) - int(needed(len(own), least)) + 1
+                tokens.append(own[np.argsort(rank, kind="stable")[:n]])
+                nodes.append(np.full(n, _digest(own), np.uint64))
+                sizes.append(np.full(n, len(own), np.int32))
+                places.append(np.arange(n, dtype=np.int32))
+            if tokens:
+                columns = [_signed(np.concatenate(tokens)), _signed(np.concatenate(nodes)), *(pa.array(np.concatenate(x)) for x in (sizes, places))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "node", "size", "place"])
+
+    return docs.select("text").mapInArrow(run, _ROWS)
+
+
+def _whole_groups(batches, key: str):
+    """Tables cut at the borders of the sorted key, of bounded size unless one group is larger."""
+    held: list[pa.Table] = []
+    rows = 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        rows += len(batch)
+        if rows < 1 << 16:
+            continue
+        t = pa.concat_tables(held)
+        b = t.column(key).to_numpy()
+        at = int(np.searchsorted(b, b[-1]))
+        if at:
+            yield t.slice(0, at)
+        held, rows = [t.slice(at)], len(b) - at
+    if rows:
+        yield pa.concat_tables(held)
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows whose token another node has too, with the token's smallest node (hub) and number of rows (n)."""
+    names = ["token", "node", "size", "place"]
+
+    def run(batches):
+        for t in _whole_groups(batches, "token"):
+            token, node, size, place = (t.column(c).to_numpy() for c in names)
+            once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # copies have the same rows
+            token, node, size, place = token[once], node[once], size[once], place[once]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            n = np.diff(np.r_[first, len(token)])
+            several = node[first] != node[first + n - 1]  # nodes of a token are in order
+            at, keep = np.repeat(first, n), np.repeat(several, n)
+            columns = [token, node, size, place, node[at], size[at], place[at], np.repeat(n, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=[*names, "hub", "hub_size", "hub_place", "n"])
+
+    spread = rows.repartition("token").sortWithinPartitions("token", "node")
+    return spread.mapInArrow(run, _ROWS + ", hub long, hub_size int, hub_place int, n long")
+
+
+def hub_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """shared rows -> distinct candidates (a, b) of each token's hub."""
+
+    def run(batches):
+        for batch in batches:
+            node, size, place, hub, hub_size, hub_place = (batch.column(c).to_numpy() for c in ("node", "size", "place", "hub", "hub_size", "hub_place"))
+            keep = (node != hub) & possible(size, place, hub_size, hub_place, least)
+            yield pa.RecordBatch.from_arrays([pa.array(hub[keep]), pa.array(node[keep])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def pairs_apart(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """shared rows, labels(node, component) -> distinct candidates (a, b) of different components, without those of hubs."""
+    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    chunks, mine = F.ceil(F.col("n") / CHUNK).cast("int"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, mine).alias("i"), F.greatest(c, mine).alias("j")))
+    rows = rows.withColumn("pair", F.explode(meets))
+    keyed = rows.select(F.xxhash64("token", "pair.i", "pair.j").alias("bucket"), "token", "node", "size", "place", "hub", "component")
+
+    def run(batches):
+        for t in _whole_groups(batches, "bucket"):
+            bucket, token, node, size, place, hub, component = (t.column(c).to_numpy() for c in ("bucket", "token", "node", "size", "place", "hub", "component"))
+            live, out, count = np.arange(len(node)), [], 0
+            for step in range(1, len(node)):
+                live = live[live + step < len(node)]
+                other = live + step  # sizes of a token ascend
+                live = live[(bucket[live] == bucket[other]) & (token[live] == token[other]) & (size[live] >= least * size[other] - 1e-9)]
+                if not len(live):
+                    break
+                a, b = live, live + step
+                keep = (component[a] != component[b]) & (node[a] != hub[a]) & (node[b] != hub[b])
+                a, b = a[keep], b[keep]
+                keep = possible(size[a], place[a], size[b], place[b], least)
+                x, y = node[a[keep]], node[b[keep]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                count += len(x)
+                if count > SENT:
+                    yield _unique_pairs(out)
+                    out, count = [], 0
+            if count:
+                yield _unique_pairs(out)
+
+    spread = keyed.repartition("bucket").sortWithinPartitions("bucket", "token", "size")
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
+def _unique_pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(parts, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, ngram: int, least: float) -> DataFrame:
+    """The candidates (a, b) whose sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = cut(marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "candidate-ids")
+
+    def own_texts(batches):
+        shingles = Shingles(ngram)
+        for batch in batches:  # an id may have several texts
+            own = np.array([_digest(shingles(t)) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text")], names=["node", "text"]).filter(pa.array(batch.column("node").to_numpy() == own))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("node", "text")
+    held = cut(texts.mapInArrow(own_texts, "node long, text string"), "candidate-texts")
+    if chosen.count() < held.count():  # an id may have a text several times
+        held = cut(held.dropDuplicates(["node"]), "candidate-texts")
+    both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b")
+
+    def run(batches):
+        shingles, known = Shingles(ngram), {}
+
+        def own(node, text):
+            if node not in known:
+                if len(known) >= SETS:
+                    known.clear()
+                known[node] = shingles(text)
+            return known[node]
+
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            ta, tb = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            keep = [alike(own(p, x), own(q, y), least) for p, x, q, y in zip(a, ta, b, tb, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, ngram: int = 5, least: float = 0.8) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, component_id (smallest doc_id reachable over links).
+
+    Texts link when the Jaccard similarity of their shingle sets is at least ``least``; every such link counts.
+    Null and empty texts are a group.  Rows with a null id are left out; rows that share an id share its component.
+    """
+    docs = docs.filter("doc_id is not null")
+    marked = cut(sets(docs, ngram), "shingle-sets")
+    rows = cut(shared(prefixes(docs, ngram, least, frequent_shingles(docs, ngram))), "shared-shingles")
+    near = cut(verified(cut(hub_pairs(rows, least), "hub-pairs"), docs, marked, ngram, least), "hub-links")
+    # an id with several texts is one document
+    several = marked.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    near = near.union(cut(marked.join(several, "doc_id").select(F.col("lo").alias("a"), F.col("node").alias("b")), "shared-ids"))
+    labels = connected_components(forest(near))
+    far = cut(pairs_apart(rows, labels, least), "pairs-apart")
+    far = cut(verified(far, docs, marked, ngram, least), "links-apart")
+    groups = connected_components(forest(near.union(far)))
+    out = marked.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    out = cut(out.select("doc_id", "component"), "near-copies")
+    least_ids = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(least_ids, "component").select("doc_id", "component_id")

@@ -1,0 +1,79 @@
+import itertools
+
+import numpy as np
+import pytest
+from scenespark.llm import near_copies
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _set(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _components(texts):
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    some = [_set(t) for t in texts]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if _jaccard(some[i], some[j]) >= 0.8:
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+def _stage(spark, texts):
+    import corpus_pipeline as pipeline
+
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    return {r.doc_id for r in pipeline.near_duplicate_stage(spark, frame, "").collect()}
+
+
+def _texts(rng, jaccards, words):
+    """Two texts for each similarity: a common beginning and an ending of their own."""
+    out = []
+    for share in jaccards:
+        common = round((words - 4) * 2 * share / (1 + share)) + 4
+        for _ in range(2):
+            if not len(out) % 2:
+                head = [f"w{x}" for x in rng.integers(0, 10**6, common)]
+            out.append(" ".join(head + [f"w{x}" for x in rng.integers(0, 10**6, words - common)]))
+    return out
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    texts = _texts(np.random.default_rng(1), [0.81] * 300, 204)
+    assert all(_jaccard(_set(a), _set(b)) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert _stage(spark, texts) == set(range(0, 600, 2))
+
+
+@pytest.mark.parametrize("chunk", [2048, 4])
+def test_groups_equal_those_of_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    passage = [f"p{x}" for x in range(40)]
+    texts = [None, "", " \n", "a", "a", "a b", "A B", "a b c d e", "a b c d e f"]
+    for size in rng.integers(1, 150, 25):
+        base = [f"v{x}" for x in rng.integers(0, 30, size)] + passage
+        for _ in range(5):  # a chain of edits, each of a few words, behind a passage of all texts
+            base = list(base)
+            for at in rng.integers(0, len(base), rng.integers(0, 4)):
+                base[at] = f"n{rng.integers(10**6)}"
+            texts.append(" ".join(base))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    lowered = [None if t is None else t.lower() for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()}
+    want = _components(lowered)
+    assert 1 < len(set(want)) < len(want) and got == dict(enumerate(want))
