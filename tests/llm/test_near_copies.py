@@ -57,6 +57,12 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert _stage(spark, texts) == set(range(0, 600, 2))
 
 
+def test_texts_below_the_threshold_stay_apart(spark):
+    texts = _texts(np.random.default_rng(2), [0.75, 0.7, 0.65] * 20, 204)
+    assert all(_jaccard(_set(a), _set(b)) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert _stage(spark, texts) == set(range(120))
+
+
 @pytest.mark.parametrize("chunk", [2048, 4])
 def test_groups_equal_those_of_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
