@@ -1,12 +1,17 @@
 """Personal data: overlapping candidate spans, boosted trees, calibrated thresholds (DataFrame functions only).
 
-Generators propose spans by pattern, far more freely than the base rules.  Each candidate gets a small
-set of yes/no features of its own form and of the text around it.  One scan of the texts keeps only the
-candidates.  Since features are yes/no, all candidates of the corpus fold into one row for each feature
-set, and trees are boosted on those counts: nothing is sampled.  Training labels are those of the
-validators (address ranges, check digits, digit counts) and of cues (``token =``); the threshold of
-each kind is the lowest that keeps the wanted precision on documents kept apart.  Spans that pass are
-taken by falling score where they do not overlap; spans of the base rules always stay.
+Generators propose spans by pattern, far more freely than the base rules.  Each candidate gets a set of yes/no
+features of its own form and of the text around it.  One scan of the texts keeps only the candidates.  Since
+features are yes/no, all candidates of the corpus fold into one row for each feature set, and trees are boosted
+on those counts: nothing is sampled.
+
+The corpus has no labels of personal data, so each generator learns from a weak label that its trees cannot see:
+a validator (check digit, address ranges, digit count, top-level domain) or a cue in the text before the span
+(``token =``, ``ssn``).  Features that decide the label, or nearly do, are hidden from that generator's trees
+(``HIDDEN``).  The threshold of a generator is the lowest that keeps the wanted precision against the weak label
+on documents kept apart; where none does, or nothing there has a label, the generator adds no span.  A cue marks
+only some of the true spans, so the precision is a lower bound.  Spans of the base rules always stay, and the
+generators without a base rule read the text without them.
 """
 
 from __future__ import annotations
@@ -17,15 +22,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_crc, table
+from .common import cut, id_crc, quoted, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
 TREES, DEPTH, RATE, RIDGE = 30, 3, 0.3, 1.0
-#: Precision a kind's threshold must keep on the documents apart.
+#: Precision a generator's threshold must keep on the documents apart.
 PRECISION = 0.95
 MARK, OTHER = "\x01", "\x02"
-#: Column of a table's candidates while spans are decided; no column of the input may have this name.
-HELD = "__pii_candidates"
+#: Elements and code points that are walked through at once in long texts.
+WALK, BLOCK = 256, 4096
 
 # Possessive forms and start conditions keep each pattern linear; they match what the plain forms match.
 PATTERNS = {
@@ -39,6 +44,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+GENERATORS = list(PATTERNS)
 KIND_OF = {"far_email": "email", "near_phone": "phone"}
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CUES = r"(?i)(?:token|secret|passw|api.?key|\bkey|bearer|credential)[^A-Za-z0-9]{0,4}$"
@@ -50,40 +56,51 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct(start, end, match, before, after)> of the leftmost non-overlapping matches, in code points.
+def running(values: Column, step) -> Column:
+    """array<int> -> its running ``step`` (a function of two Columns) from 0, in blocks: appending to one long array would be quadratic."""
 
-    One replacement marks the matches and one split at the marks gives them and what lies between.
-    """
-    marked = F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("out"))
+        inner = F.aggregate(part, start, lambda a, x: _let(step(a["at"], x), lambda y: F.struct(y.alias("at"), F.array_append(a["out"], y).alias("out"))))
+        return _let(inner, lambda i: F.struct(i["at"].alias("at"), F.array_append(acc["out"], i["out"]).alias("out")))
+
+    def walk(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / WALK).cast("int")), lambda b: F.slice(v, b * WALK + 1, WALK))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        return F.flatten(F.aggregate(parts, start, block, lambda acc: acc["out"]))
+
+    return _let(values, walk)
+
+
+def split_at(text: Column, pattern: str) -> Column:
+    """The text as an array in which every second element, from the second on, is a leftmost non-overlapping match."""
+    return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
+SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct(start, end, match, before, after)> of the matches, in code points."""
 
     def walk(parts: Column) -> Column:
-        empty = F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
-        start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
-        def step(acc: Column, i: Column) -> Column:
-            part = F.get(parts, i)
-            end = acc["at"] + F.char_length(part)
-            span = F.struct(
-                acc["at"].alias("start"), end.alias("end"), part.alias("match"),
+        ends = running(F.transform(parts, F.char_length), lambda a, x: a + x)
+        at = lambda e: F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)),
+            lambda i: F.struct(
+                F.get(e, i - 1).alias("start"), F.get(e, i).alias("end"), F.get(parts, i).alias("match"),
                 F.right(F.get(parts, i - 1), F.lit(24)).alias("before"), F.substring(F.get(parts, i + 1), 1, 2).alias("after"),
-            )
-            return F.struct(end.alias("at"), F.when(i % 2 == 1, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+            ),
+        )
+        return _let(ends, at)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, step, lambda acc: acc["found"])
-
-    return F.when(text.rlike(pattern), _let(F.split(marked, MARK, -1), walk)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,before:string,after:string>>"))
+    return F.when(text.rlike(pattern), _let(split_at(text, pattern), walk)).otherwise(F.array().cast(SPAN))
 
 
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def _mixed(s: Column) -> Column:
-    """Letters and digits: two linear tests."""
-    return s.rlike("[0-9]") & s.rlike("[A-Za-z]")
-
-
 def is_base(kind: str, match: Column) -> Column:
     """Whether a match of a base pattern stands."""
     n = F.length(_digits(match))
@@ -94,66 +111,89 @@ def is_base(kind: str, match: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(kind == "email")
 
 
-#: Yes/no features of a candidate, each from its generator's name and its span.
+def without_base(text: Column) -> Column:
+    """The text with every standing base match written over, at its length."""
+
+    def over(kind: str, parts: Column) -> Column:
+        fill = lambda m: F.when(is_base(kind, m), F.repeat(F.lit(OTHER), F.char_length(m))).otherwise(m)
+        return F.array_join(F.transform(parts, lambda m, i: F.when(i % 2 == 1, fill(m)).otherwise(m)), "")
+
+    def each(kind: str, t: Column) -> Column:
+        return F.when(t.rlike(PATTERNS[kind]), _let(split_at(t, PATTERNS[kind]), lambda parts: over(kind, parts))).otherwise(t)
+
+    return reduce(lambda t, kind: _let(t, lambda x: each(kind, x)), KINDS[:4], text)
+
+
+#: Yes/no features of a candidate, each from its span.
 FEATURES = {
-    "at": lambda g, s: s["match"].contains("@") | s["match"].rlike(r"(?i)[\(\[\{]at[\)\]\}]"),
-    "dots3": lambda g, s: s["match"].rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"),
-    "parts_fit": lambda g, s: s["match"].rlike(rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"),
-    "plus": lambda g, s: s["match"].startswith("+"),
-    "grouped": lambda g, s: s["match"].rlike(r"[0-9][ ().-]+[0-9]"),
-    "digits_only": lambda g, s: s["match"].rlike(r"^[0-9]+$"),
-    "card_length": lambda g, s: F.length(_digits(s["match"])).between(16, 19),
-    "check_digit": lambda g, s: F.when(F.length(_digits(s["match"])).between(12, 19), F.call_function("luhn_check", _digits(s["match"]))).otherwise(False),
-    "phone_length": lambda g, s: F.length(_digits(s["match"])).between(8, 15),
-    "hex": lambda g, s: s["match"].rlike(r"^[0-9A-Fa-f]{24,}$"),
-    "mixed": lambda g, s: _mixed(s["match"]),
-    "long": lambda g, s: (s["end"] - s["start"]) >= 32,
-    "cue": lambda g, s: s["before"].rlike(CUES),
-    "contact": lambda g, s: s["before"].rlike(CONTACT),
-    "assigned": lambda g, s: s["before"].rlike(r"[=:]\s?[\"']?$"),
-    "quoted": lambda g, s: s["before"].rlike(r"[\"'`]$") & s["after"].rlike(r"^[\"'`]"),
-    "top_domain": lambda g, s: s["match"].rlike(r"(?:\.|[\)\]\}]\s?)[A-Za-z]{2,}$"),
-    "alone": lambda g, s: s["before"].rlike(r"(?:^|[\s\"'(<\[=:])$") & s["after"].rlike(r"^(?:$|[\s\"')>\].,;:!?%#$&*])"),
+    "at": lambda s: s["match"].contains("@"),
+    "bracketed": lambda s: s["match"].rlike(r"[\(\[\{]"),
+    "dots3": lambda s: s["match"].rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"),
+    "parts_fit": lambda s: s["match"].rlike(rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"),
+    "plus": lambda s: s["match"].startswith("+"),
+    "grouped": lambda s: s["match"].rlike(r"[0-9][ ().-]+[0-9]"),
+    "even_groups": lambda s: s["match"].rlike(r"^[0-9]{4}(?:[ -][0-9]{4})+$"),
+    "digits_only": lambda s: s["match"].rlike(r"^[0-9]+$"),
+    "card_length": lambda s: F.length(_digits(s["match"])).between(16, 19),
+    "check_digit": lambda s: F.when(F.length(_digits(s["match"])).between(12, 19), F.call_function("luhn_check", _digits(s["match"]))).otherwise(False),
+    "phone_length": lambda s: F.length(_digits(s["match"])).between(8, 15),
+    "hex": lambda s: s["match"].rlike(r"^[0-9A-Fa-f]{20,}$"),
+    "mixed": lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"),
+    "letters_only": lambda s: s["match"].rlike(r"^[A-Za-z]+$"),
+    "both_cases": lambda s: s["match"].rlike("[a-z]") & s["match"].rlike("[A-Z]"),
+    "long": lambda s: (s["end"] - s["start"]) >= 32,
+    "cue": lambda s: s["before"].rlike(CUES),
+    "contact": lambda s: s["before"].rlike(CONTACT),
+    "assigned": lambda s: s["before"].rlike(r"[=:]\s?[\"']?$"),
+    "quoted": lambda s: s["before"].rlike(r"[\"'`]$") & s["after"].rlike(r"^[\"'`]"),
+    "top_domain": lambda s: s["match"].rlike(r"(?:\.|[\)\]\}]\s?)[A-Za-z]{2,}$"),
+    "alone": lambda s: s["before"].rlike(r"(?:^|[\s\"'(<\[=:])$") & s["after"].rlike(r"^(?:$|[\s\"')>\].,;:!?%#$&*])"),
 }
+NAMES = list(FEATURES)
+#: The feature that is a generator's weak label, and those its trees do not see.
+LABEL = {"email": "top_domain", "ip": "parts_fit", "card": "check_digit", "phone": "phone_length", "far_email": "top_domain", "near_phone": "contact", "secret": "cue", "id": "contact"}
+HIDDEN = {"secret": ("assigned", "quoted")}
 
 
-def _label(generator: str, s: Column) -> Column:
-    """What the validators and cues say of a candidate of this generator: 1, 0, or nothing."""
-    if generator in ("email", "ip", "card", "phone"):
-        return is_base(generator, s["match"]).cast("int")
-    mixed, cue = _mixed(s["match"]), s["before"].rlike(CUES)
-    if generator == "secret":
-        return F.when(mixed & cue, 1).when(~mixed | ~s["before"].rlike(r"[=:]\s?[\"']?$"), 0)
-    return F.when(s["before"].rlike(CONTACT), 1)
+def visible(generator: str) -> list[int]:
+    """Places of the features that the trees of a generator use."""
+    gone = {LABEL[generator], *HIDDEN.get(generator, ())}
+    return [i for i, n in enumerate(NAMES) if n not in gone]
 
 
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs(text, ...) -> ``keep`` and HELD: array<struct(generator, kind, start, end, base, label, bits)>, in one scan."""
-    text = F.translate(F.coalesce("text", F.lit("")), MARK, OTHER)
+    """docs(text, ...) -> row (struct of ``keep``) and spans: array<struct(generator, kind, start, end, base, bits)>, in one scan."""
 
     def candidate(name: str):
-        kind = KINDS.index(KIND_OF.get(name, name))
-
         def build(s: Column) -> Column:
-            bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(f(name, s), 1 << i).otherwise(0) for i, f in enumerate(FEATURES.values())])
-            base = is_base(name, s["match"]) if name in KINDS[:4] else F.lit(False)
+            bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(f(s), 1 << i).otherwise(0) for i, f in enumerate(FEATURES.values())])
+            base = is_base(name, s["match"]) if name in KINDS else F.lit(False)
+            base = F.lit(False) if name in KINDS[4:] else base
             return F.struct(
-                F.lit(name).alias("generator"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                base.alias("base"), _label(name, s).cast("int").alias("label"), bits.alias("bits"),
+                F.lit(GENERATORS.index(name)).alias("generator"), F.lit(KINDS.index(KIND_OF.get(name, name))).alias("kind"),
+                s["start"].alias("start"), s["end"].alias("end"), base.alias("base"), bits.alias("bits"),
             )
 
         return build
 
     def spans(text: Column) -> Column:
-        return F.concat(*[F.transform(matches(text, pattern), candidate(name)) for name, pattern in PATTERNS.items()])
+        of = lambda t, name: F.transform(matches(t, PATTERNS[name]), candidate(name))
+        first = F.concat(*[of(text, name) for name in GENERATORS[:4]])
+
+        def more(found: Column) -> Column:
+            left = F.when(F.exists(found, lambda s: s["base"]), without_base(text)).otherwise(text)
+            return F.concat(found, _let(left, lambda t: F.concat(*[of(t, name) for name in GENERATORS[4:]])))
+
+        return _let(first, more)
 
+    text = F.translate(F.coalesce("text", F.lit("")), MARK, OTHER)
     # no generator matches without a digit, an at sign, or a run of twenty
     some = text.rlike(r"[0-9@]|[\(\[\{](?:at|AT)[\)\]\}]|[A-Za-z_+/=-]{20}")
-    empty = F.array().cast("array<struct<generator:string,kind:int,start:int,end:int,base:boolean,label:int,bits:int>>")
-    return docs.select(*keep, F.when(some, _let(text, spans)).otherwise(empty).alias(HELD))
+    empty = F.array().cast("array<struct<generator:int,kind:int,start:int,end:int,base:boolean,bits:int>>")
+    return docs.select(F.struct(*map(quoted, keep)).alias("row"), F.when(some, _let(text, spans)).otherwise(empty).alias("spans"))
 
 
-def boost(counts: list[tuple[int, float, float]]) -> list:
+def boost(counts: list[tuple[int, float, float]], features: list[int]) -> list:
     """(feature bits, negatives, positives) -> start margin and trees as nested (feature, without, with) or leaf values."""
     total = sum(n + p for _, n, p in counts)
     positive = sum(p for _, _, p in counts)
@@ -172,7 +212,7 @@ def boost(counts: list[tuple[int, float, float]]) -> list:
             g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
             best, at = 1e-6, None
             if depth:
-                for i in range(len(FEATURES)):
+                for i in features:
                     g1, h1 = sum(r[1] for r in rows if r[0] >> i & 1), sum(r[2] for r in rows if r[0] >> i & 1)
                     gain = g1 * g1 / (h1 + RIDGE) + (g - g1) ** 2 / (h - h1 + RIDGE) - g * g / (h + RIDGE)
                     if gain > best:
@@ -200,94 +240,102 @@ def margin_of(model: list, bits: int) -> float:
     return total
 
 
-def train(spans: DataFrame) -> dict[tuple[int, int], float]:
-    """Candidates of candidates() with doc_id -> {(kind, feature bits): margin} of the sets whose margin passes the kind's threshold.
+def threshold(tally: list[tuple[float, float, float]]) -> float:
+    """(score, negatives, positives) -> the lowest score from which on the precision is kept; infinite if it never is."""
+    out, n, p = math.inf, 0.0, 0.0
+    by_score: dict[float, list[float]] = {}
+    for score, neg, pos in tally:
+        x = by_score.setdefault(score, [0.0, 0.0])
+        x[0] += neg
+        x[1] += pos
+    for score in sorted(by_score, reverse=True):
+        n, p = n + by_score[score][0], p + by_score[score][1]
+        if n + p and p / (n + p) >= PRECISION:
+            out = score
+    return out
+
+
+def train(spans: DataFrame) -> list[tuple[int, int]]:
+    """Rows of candidates() -> (generator, feature bits) of the sets whose margin passes the generator's threshold.
 
-    The driver sees one row for each kind and set of features that occurs (at most 2^18, in practice tens).
+    The driver sees one row for each generator and set of features that occurs (at most 2^22, in practice tens).
     """
-    each = spans.select((id_crc(F.col("doc_id")) % 4 == 2).alias("apart"), F.explode(HELD).alias("s"))
-    rows = each.groupBy("apart", "s.kind", "s.bits").agg(F.count(F.when(F.col("s.label") == 0, 1)).alias("n"), F.count(F.when(F.col("s.label") == 1, 1)).alias("p")).collect()
-    fit: dict[int, list[float]] = {}
-    for r in sorted((r for r in rows if not r["apart"]), key=lambda r: (r["bits"], r["kind"])):
-        x = fit.setdefault(r["bits"], [0.0, 0.0])
-        x[0] += r["n"]
-        x[1] += r["p"]
-    model = boost([(b, n, p) for b, (n, p) in fit.items() if n + p])
-    chosen = {}
-    for kind in range(len(KINDS)):
-        # calibrate: walk down the scores while the documents apart (else all) keep the precision
-        tally: dict[float, list[float]] = {}
-        for apart in (True, False):
-            mine = [r for r in rows if r["kind"] == kind and (r["apart"] or not apart)]
-            if sum(r["n"] + r["p"] for r in mine):
-                break
-        for r in mine:
-            x = tally.setdefault(round(margin_of(model, r["bits"]), 9), [0.0, 0.0])
-            x[0] += r["n"]
-            x[1] += r["p"]
-        threshold, n, p = 0.0, 0.0, 0.0
-        for score in sorted(tally, reverse=True):
-            n, p = n + tally[score][0], p + tally[score][1]
-            if n + p and p / (n + p) >= PRECISION:
-                threshold = score
-            elif n + p:
-                break
-        threshold = max(threshold, 0.0)
-        chosen |= {(kind, r["bits"]): margin_of(model, r["bits"]) for r in rows if r["kind"] == kind and margin_of(model, r["bits"]) >= threshold}
+    each = spans.select((id_crc(F.col("row.doc_id")) % 4 == 2).alias("apart"), F.explode("spans").alias("s"))
+    rows = each.groupBy("apart", "s.generator", "s.bits").count().collect()
+    chosen = []
+    for g, name in enumerate(GENERATORS):
+        shown, label = visible(name), NAMES.index(LABEL[name])
+        mask = sum(1 << i for i in shown)
+        counts: dict[bool, dict[int, list[float]]] = {True: {}, False: {}}
+        for r in rows:
+            if r["generator"] == g:
+                x = counts[r["apart"]].setdefault(r["bits"] & mask, [0.0, 0.0])
+                x[r["bits"] >> label & 1] += r["count"]
+        model = boost([(b, *x) for b, x in sorted(counts[False].items())], shown)
+        score = lambda bits, model=model, mask=mask: round(margin_of(model, bits & mask), 9)
+        least = threshold([(score(b), *x) for b, x in counts[True].items()])
+        chosen += sorted({(g, r["bits"]) for r in rows if r["generator"] == g and score(r["bits"]) >= least})
     return chosen
 
 
-def select(spans: Column, chosen: dict[tuple[int, int], float]) -> Column:
-    """Base spans, and scored ones by falling score that overlap nothing taken; sorted by kind and start."""
-    keys = F.array(*[F.lit(k * (1 << 20) + b) for k, b in chosen]).cast("array<int>")
-    values = F.array(*[F.lit(float(v)) for v in chosen.values()]).cast("array<double>")
-    score = lambda s: F.element_at(values, F.nullif(F.array_position(keys, s["kind"] * (1 << 20) + s["bits"]), F.lit(0)).cast("int"))
-    slim = lambda s, v: F.struct((-v).alias("minus"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.transform(F.filter(spans, lambda s: s["base"]), lambda s: slim(s, F.lit(1e9)))
-    more = F.array_sort(F.filter(F.transform(F.filter(spans, lambda s: ~s["base"]), lambda s: slim(s, score(s))), lambda s: s["minus"].isNotNull()))
+def select(spans: Column, chosen: list[tuple[int, int]]) -> Column:
+    """Base spans and those whose features were chosen, each once, by kind and start."""
+    keys = F.array(*[F.lit(g << 24 | b) for g, b in chosen]).cast("array<int>")
+    good = F.filter(spans, lambda s: s["base"] | F.array_contains(keys, s["generator"] * (1 << 24) + s["bits"]))
+    # equal neighbours of the sorted array are one; distinct() of structs would compare all with all
+    return _let(F.array_sort(F.transform(good, _place)), lambda a: F.filter(a, lambda s, i: (i == 0) | (s != F.get(a, i - 1))))
 
-    def add(taken: Column, s: Column) -> Column:
-        return F.when(F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])), taken).otherwise(F.array_append(taken, s))
 
-    merged = F.aggregate(more, base, add)
-    return F.array_sort(F.transform(merged, lambda s: F.struct(s["kind"], s["start"], s["end"])))
+def _place(s: Column) -> Column:
+    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
 
 def find_personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, base and spans: array<struct(kind int, start int, end int)> (index in KINDS; code points, end exclusive).
 
-    Trains on the table itself and decides every span in it.  Null and empty texts have no spans; null
-    ids are kept; repeated rows are treated alike; ``keep`` names further columns to carry, but for
-    those named base or spans.
+    Trains on the table itself and decides every span in it; spans may overlap.  Null and empty texts have no
+    spans, long ones are read whole; null ids are kept; repeated rows are treated alike; an empty table gives
+    an empty result.  ``keep`` names further columns to carry; those named doc_id, base or spans are replaced.
     """
-    keep = ["doc_id", *(c for c in keep or [] if c not in ("base", "spans"))]
-    found = cut(candidates(docs, keep), "pii-candidates")
+    keep = [c for c in keep or [] if c not in ("doc_id", "base", "spans")]
+    found = cut(candidates(docs, ["doc_id", *keep]), "pii-candidates")
     chosen = train(found)
-    base = F.array_sort(F.transform(F.filter(HELD, lambda s: s["base"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return found.select(*keep, base.alias("base"), select(F.col(HELD), chosen).alias("spans"))
+    base = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), _place))
+    return found.select("row.*", base.alias("base"), select(F.col("spans"), chosen).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> the same columns with every span of the text replaced by ``<KIND>``.
 
-    The texts ride along with their candidates, so nothing is joined; overlapping spans are merged.
+    The rows ride along with their candidates, so nothing is joined and no column name is taken; overlapping
+    spans are replaced as one, named by the first.  Texts without a span stay as they are, nulls included.
     """
     found = cut(candidates(docs, docs.columns), "pii-candidates")
-    spans = select(F.col(HELD), train(found))
+    spans = select(F.col("spans"), train(found))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def body(text: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            clear = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-            name = F.when(s["start"] >= acc["at"], F.get(names, s["kind"])).otherwise("")
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], clear, name).alias("text"))
+    def write(text: Column, blocks: Column, spans: Column, ends: Column) -> Column:
+        def part(a: Column, b: Column) -> Column:
+            """Code points a to b, read from one block where they lie in one."""
+            inside = F.substring(F.get(blocks, F.floor(a / BLOCK).cast("int")), a % BLOCK + 1, b - a)
+            return F.when(b <= a, "").when(F.floor(a / BLOCK) == F.floor((b - 1) / BLOCK), inside).otherwise(F.substring(text, a + 1, b - a))
+
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            return F.concat(part(before, s["start"]), F.when(s["start"] >= before, F.get(names, s["kind"])).otherwise(""))
 
-        by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-        return _let(F.aggregate(by_start, zero, step), lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.lit(2**31 - 1))))
+        rest = F.substring(text, F.element_at(ends, -1) + 1, F.lit(2**31 - 1))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+    def body(text: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / BLOCK).cast("int")), lambda b: F.substring(text, b * BLOCK + 1, F.lit(BLOCK)))
+        by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return _let(by_start, lambda s: _let(blocks, lambda b: _let(running(F.transform(s, lambda x: x["end"]), F.greatest), lambda e: write(text, b, s, e))))
 
-    text = F.when(F.size(HELD) == 0, F.col("text")).otherwise(_let(F.col("text"), body))
-    return found.withColumn("text", text).select(*docs.columns)
+    found = found.select("row", spans.alias("_spans"))
+    text = F.when(F.size("_spans") == 0, F.col("row.text")).otherwise(_let(F.col("row.text"), body))
+    found = found.select(F.col("row").withField("text", text).alias("row"))
+    return found.select("row.*")
 
 
 def as_text(spans: Column) -> Column:
@@ -296,6 +344,7 @@ def as_text(spans: Column) -> Column:
 
 
 def op8_pii(spark, sf_dir):
+    """Spans of personal data in all documents; see ``find_personal_data`` for nulls, long texts, repeated rows and empty tables."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     of_kind = lambda i: F.filter("base", lambda s: s["kind"] == i)
     counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
