@@ -173,9 +173,8 @@ def held_out(fold: int = 2):
 
 
 def op7_language(spark, sf_dir):
+    """Language of every document by a model of those outside the fold; see ``train`` and ``identify`` for nulls, long texts and empty tables."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out()).select("text", "lang"))
     out = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")
-
-

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, quoted, table
 
 HASH_BITS, LEVEL_BITS = 60, 12
 #: Per-source rows are broadcast up to this many sources; beyond it Spark's skew-splitting join is used.
@@ -84,7 +84,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: i
     ``size`` defaults to the number of words.  Together a source's documents come within one document of
     its target, and none is taken more than ``max_repeat`` times.  Null texts have size 0, null sources
     form a source of their own (last), rows with equal ids are taken together.  An empty table gives an
-    empty result; further columns are kept, and columns named like the new ones are replaced.
+    empty result; further columns are kept whatever their names, and columns named like the new ones are replaced.
     """
     docs = docs.drop("source_size", "target", "times")
     sizes = cut(docs.select("source", _size(size).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
@@ -92,9 +92,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: i
     n_sources = targets.count()
     last = thresholds(sizes, targets, n_sources).withColumnRenamed("source", "_s")
     targets = targets.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "budget")
-    out = per_source(docs, targets, n_sources)
-    times = F.col("repeats") + F.when(id_hash(F.col("doc_id")) <= F.coalesce(F.col("last_hash"), F.lit(-1)), 1).otherwise(0)
-    return out.withColumn("times", times).drop("repeats", "last_hash")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "source", id_hash(F.col("doc_id")).alias("hash"))
+    out = per_source(rows, targets, n_sources)
+    times = F.col("repeats") + F.when(F.col("hash") <= F.coalesce(F.col("last_hash"), F.lit(-1)), 1).otherwise(0)
+    return out.select("row.*", "source_size", "target", times.alias("times"))
 
 
 def _size(size: Column | None = None) -> Column:
@@ -102,6 +103,7 @@ def _size(size: Column | None = None) -> Column:
 
 
 def op5_mix(spark, sf_dir):
+    """What the mix takes of every document; see ``mixed`` for nulls, ties, repeated rows and empty tables."""
     out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("size", _size())
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
+from .common import id_crc, quoted, table
 
 #: At most so many labelled rows (those with the lowest id hash) are used to fit.
 LABEL_ROWS = 20_000
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Trees:
     """docs(doc_id, text), labels(doc_id, quality 0/1) -> trees fitted on at most ``rows`` labelled documents.
 
     Labels that are null or other than 0 and 1, and ids without a document, are left out; equal ids count each.
+    Without a label, or with one class alone, the trees give one score to all.
     """
     sample = labels.filter("quality in (0, 1) and doc_id is not null").orderBy(F.md5(F.col("doc_id").cast("string")), "quality").limit(rows)
     # at most `rows` ids
@@ -145,13 +146,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Trees:
 
 
 def score(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
-    """docs(text, ...) -> the columns ``keep`` and quality_score double in 0..1; null and empty texts get a score too."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["quality_score double"])
+    """docs(text, ...) -> the columns ``keep`` and quality_score double in 0..1.
+
+    Null and empty texts get a score too, long ones are read whole; repeated rows get the same score; a kept
+    column named quality_score is replaced; an empty table gives an empty result.
+    """
+    keep = [c for c in keep if c != "quality_score"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(quoted, keep)).schema] + ["quality_score double"])
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    return docs.select(*keep, "text").mapInArrow(lambda b: _features(b, keep, lambda x: ([shared.value.probability(x)], ["quality_score"])), schema)
+    held = docs.select(*map(quoted, keep), *(["text"] if "text" not in keep else []))
+    return held.mapInArrow(lambda b: _features(b, keep, lambda x: ([shared.value.probability(x)], ["quality_score"])), schema)
 
 
 def op4_quality(spark, sf_dir):
+    """Quality of every document by trees fitted outside the fold; see ``train`` and ``score`` for nulls, long texts and empty tables."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out_of_fit = id_crc(F.col("doc_id")) % 4 == 2
     trees = train(docs, labels.filter(~out_of_fit))
