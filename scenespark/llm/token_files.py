@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, plain_path, table, tokenizer_path
-from .tokens import encoder
+from .tokens import encoder, slices
 
 KEYS_PER_BUCKET = 1 << 19
 LEVEL_SLACK, MAX_LEVELS = 2.0, 64
+#: Rows sent at once.
+SPREAD = 65_536
 RECORDS = "shard int, file string, record long, doc_id long, offset long, n_tokens long"
 ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("record", "<i8"), ("offset", "<i8"), ("copies", "<i8")])
 
@@ -117,12 +119,16 @@ def _read(path: str) -> bytes:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bool = True, end_id: int = 0, shards: int | None = None) -> None:
     """Encode docs(doc_id, text) and write shards, then the index, below ``path``.
 
-    Rows are ordered by id, then by hash of the text; null ids come first, null texts are empty.
+    Rows are ordered by id, then by hash of the text; null ids come first, null texts are empty.  Texts of any
+    length are encoded whole, repeated rows are written each, further columns are ignored; an empty table gives
+    files without a document.
     """
     spark = docs.sparkSession
     partitions = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # the last key lets ranges cut even through rows that are all alike
+    keys = {"tie": F.xxhash64(F.coalesce("text", F.lit(""))), "nth": F.monotonically_increasing_id()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[c.alias(k) for k, c in keys.items()])
+    rows = rows.repartitionByRange(partitions, "doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "nth").select("doc_id", "text")
 
     def run(batches):
         task, code = TaskContext.get(), encoder(tokenizer, keep_space)
@@ -132,7 +138,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keep_space: bo
         fs, at = plain_path(f"{path}/{name}")
         fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
         with fs.open_output_stream(at + ".ids") as ids, fs.open_output_stream(at + ".len") as lengths:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 keys, raw = batch.column("doc_id").to_pylist(), code.encode(batch.column("text").to_pylist())
                 counts = np.array([len(x) // 4 + 1 for x in raw], np.int64)
                 lengths.write(counts.astype("<u4").tobytes())
@@ -199,10 +205,10 @@ def lookup(keys: DataFrame, path: str) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(find, "doc_id long, shard int, record long, offset long, copies long")
 
 
-def read_documents(keys: DataFrame, path: str) -> DataFrame:
-    """Read the documents of distinct keys back: doc_id, start, n_tokens, ids_crc32, and ids binary (little-endian uint32).
+def read_documents(keys: DataFrame, path: str, payload: bool = True) -> DataFrame:
+    """Read the documents of distinct keys back: doc_id, start, n_tokens, ids_crc32, and (with ``payload``) ids binary (little-endian uint32).
 
-    A key written for several rows gives as many rows.
+    A key written for several rows gives as many rows; one that was never written gives none.
     """
     spark = keys.sparkSession
     shards = spark.read.schema("shard int, file string, n_records long, n_ids long, first_record long, first_id long").parquet(f"{path}/shards.parquet").orderBy("shard").collect()  # one short row a shard
@@ -210,19 +216,23 @@ def read_documents(keys: DataFrame, path: str) -> DataFrame:
     files, first_ids = [r["file"] for r in shards], [r["first_id"] for r in shards]
 
     def spread(batches):
-        """One row a copy, with the place of the shard in the list."""
-        for pdf in batches:
-            pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
-            nth = pdf.groupby(["shard", "record"], sort=False).cumcount().to_numpy() if (pdf["copies"] > 1).any() else 0
-            place = pdf["shard"].map(by_shard).to_numpy()
-            whole = firsts[place] + pdf["record"].to_numpy() + nth
-            place = np.searchsorted(firsts, whole, "right") - 1
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "place": place.astype(np.int32), "record": whole - firsts[place]})
+        """One row a copy, with the place of the shard in the list; a key of many rows gives several batches."""
+        for batch in batches:
+            doc_id, shard, record, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "shard", "record", "copies"))
+            first = firsts[[by_shard[x] for x in shard]] + record if len(shard) else record
+            ends = np.cumsum(copies)
+            for at in range(0, int(ends[-1]) if len(ends) else 0, SPREAD):
+                nth = np.arange(at, min(at + SPREAD, int(ends[-1])))
+                row = np.searchsorted(ends, nth, "right")
+                whole = first[row] + nth - (ends - copies)[row]
+                place = np.searchsorted(firsts, whole, "right") - 1
+                ids = batch.column("doc_id").take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(place.astype(np.int32)), pa.array(whole - firsts[place])], names=["doc_id", "place", "record"])
 
     def fetch(batches):
         have, f, lengths, offsets, kind, fs = -1, None, None, None, "", None
-        for batch in batches:
-            out = {"doc_id": batch.column("doc_id").to_pylist(), "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
+        for batch in (part for whole in batches for part in slices(whole, SPREAD if not payload else 1024)):
+            out = {"doc_id": batch.column("doc_id").to_pylist(), "start": [], "n_tokens": [], "ids_crc32": []} | ({"ids": []} if payload else {})
             for place, record in zip(batch.column("place").to_pylist(), batch.column("record").to_pylist(), strict=True):
                 if place != have:
                     if f is not None:
@@ -236,16 +246,17 @@ def read_documents(keys: DataFrame, path: str) -> DataFrame:
                 out["start"].append(first_ids[place] + int(offsets[record]))
                 out["n_tokens"].append(int(lengths[record]))
                 out["ids_crc32"].append(zlib.crc32(ids))
-                out["ids"].append(ids)
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], names=list(out))
+                if payload:
+                    out["ids"].append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in out.items()], names=list(out))
 
-    placed = lookup(keys, path).mapInPandas(spread, "doc_id long, place int, record long")
+    placed = lookup(keys, path).mapInArrow(spread, "doc_id long, place int, record long")
     placed = placed.repartition("place").sortWithinPartitions("place", "record")
-    return placed.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * payload)
 
 
 def op2_token_files(spark, sf_dir):
+    """All documents written as token-id files and read back by key; see ``write_token_files`` for nulls, repeated rows and empty tables."""
     docs, path = table(spark, sf_dir, "documents"), new_path(spark, "token-files")
     write_token_files(docs, path, tokenizer_path("byte_bpe_50k.json"))
-    return read_documents(docs.select("doc_id").distinct(), path).drop("ids")
+    return read_documents(docs.select("doc_id").distinct(), path, payload=False)

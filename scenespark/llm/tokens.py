@@ -1,15 +1,21 @@
-"""Fast exact use of the public tokenizers inside tasks: each distinct space-separated piece is encoded once per worker."""
+"""Fast exact use of the public tokenizers inside tasks: a text is cut as the vocabulary cuts it, and each cut is encoded once."""
 
 from __future__ import annotations
 
 import os
 import re
-import string
 from array import array
 
-#: Distinct pieces and stems a worker remembers; beyond it the memory is emptied and filled anew.
-CACHE_PIECES, CACHE_STEMS, CACHED_LENGTH = 500_000, 1_000_000, 48
+#: Cuts an encoder remembers (about 200 bytes each) and the longest one it keeps; when it is full it forgets them all.
+REMEMBERED, LONGEST = 300_000, 48
+#: Texts taken from a batch at once.
+TEXTS = 512
 _SPACE_AFTER_SPACE, _WORD_THEN_SPACE = re.compile(r"\s "), re.compile(r"(?<=\S) ")
+# Letters, numbers and white space of Latin-1, as the vocabularies' patterns (\p{L}, \p{N}, \s) have them.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \u0085 "
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_WITH_SPACE = re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WITHOUT_SPACE = re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _encoders: dict = {}
 
 
@@ -23,14 +29,29 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
+class _Known(dict):
+    """Ids of cuts, found when they are first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, cut: str) -> bytes:
+        ids = self.find(cut)
+        if len(cut) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[cut] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts as the tokenizers library does with add_special_tokens=False.
 
-    Both vocabularies split a text before every space that follows a character other than white
-    space, so the pieces between such spaces can be encoded on their own.  ``keep_space``: the space
-    belongs to the piece after it (byte-level vocabularies); else white space is dropped and letters
-    are lowered.  A piece of Latin letters and closing ASCII punctuation is further split between the
-    two, as both vocabularies do; its letters go straight to the library's model.
+    ``keep_space``: a space belongs to what follows it (byte-level vocabularies); else white space is dropped
+    and letters are lowered.  Texts of Latin-1 are cut by the vocabulary's own pattern and the cuts go straight
+    to the library's model.  Other texts are split before every space that follows a character other than
+    white space, where both vocabularies cut too; those pieces that are not Latin-1, and whole texts that
+    spell a special token, go to the library as they are.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -38,80 +59,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.space = " " if keep_space else ""
-        self.first: dict[str, bytes] = {}
-        self.later = {} if keep_space else self.first
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _raw(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _stem(self, stem: str) -> bytes:
-        text = stem if self.space else stem.lower()
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize("\u0120" + text if self.space else text)]).tobytes()
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], stems: bool, prefix: str) -> list[str]:
-        """Encode the pieces not known; gives the long ones, to be forgotten after use."""
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        if len(self.stems) > CACHE_STEMS:
-            self.stems.clear()
-        other = []
-        for p in pieces.difference(known):
-            stem = p.rstrip(string.punctuation)
-            if stems and stem.isalpha() and max(stem) < "\u0100":
-                ids = self.stems.get(stem)
-                if ids is None:
-                    ids = self._stem(stem)
-                    if len(stem) <= CACHED_LENGTH:
-                        self.stems[stem] = ids
-                tail = p[len(stem) :]
-                end = self.tails.get(tail)
-                if end is None:
-                    end = self._raw([tail])[0]
-                    if len(tail) <= 4:
-                        self.tails[tail] = end
-                known[p] = ids + end
-            else:
-                other.append(p)
-        known.update(zip(other, self._raw([prefix + p for p in other]), strict=True))
-        return [p for p in pieces if len(p) > CACHED_LENGTH]
-
-    def split(self, text: str) -> list[str]:
-        if self.space and _SPACE_AFTER_SPACE.search(text):
-            return _WORD_THEN_SPACE.split(text)
-        return text.split(" ")
+        self.model, self.keep_space = self.tokenizer.model, keep_space
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts, self.pieces = _Known(self._cut), _Known(self._piece)
+        self.get = self.cuts.__getitem__
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _cut(self, cut: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(cut.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._latin(piece) if _is_latin(piece) else self._library(piece)
+
+    def _latin(self, text: str) -> bytes:
+        cuts = _WITH_SPACE.findall(text) if self.keep_space else _WITHOUT_SPACE.findall(text.lower())
+        return b"".join(map(self.get, cuts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
-        out = []
-        for at in range(0, len(texts), 256):
-            split = [self.split(t) for t in texts[at : at + 256]]
-            later: set[str] = set()
-            for p in split:
-                later.update(p[1:] if self.space else p)
-            long = self._learn(self.later, later, True, self.space)
-            if self.space:
-                first = {p[0] for p in split}
-                long_first = self._learn(self.first, first, False, "")
-                get = self.later.__getitem__
-                out += [self.first[p[0]] + b"".join(map(get, p[1:])) for p in split]
-                for x in long_first:
-                    del self.first[x]
-            else:
-                get = self.later.__getitem__
-                out += [b"".join(map(get, p)) for p in split]
-            for x in long:
-                del self.later[x]
-        return out
+        return list(map(self.ids, texts))
+
+    def ids(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._library(text)
+        if _is_latin(text):
+            return self._latin(text)
+        first, *rest = _WORD_THEN_SPACE.split(text) if self.keep_space and _SPACE_AFTER_SPACE.search(text) else text.split(" ")
+        if self.keep_space:
+            rest = [" " + p for p in rest]
+        return b"".join(map(self.pieces.__getitem__, [first, *rest]))
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+    """The worker's encoder for a vocabulary file; one at a time, so that a worker of several jobs keeps one memory."""
     if (path, keep_space) not in _encoders:
+        _encoders.clear()
         _encoders[path, keep_space] = Encoder(path, keep_space)
     return _encoders[path, keep_space]
+
+
+def slices(batch, rows: int = TEXTS):
+    """Arrow batches of at most so many rows."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
