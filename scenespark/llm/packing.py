@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table, tokenizer_path
-from .tokens import encoder
+from .tokens import encoder, slices
 
 CAPACITY = 2048
-#: Lower ends of the size classes as shares of the capacity, and rows that one range holds.
-CLASSES, RANGE_ROWS = (1 / 2, 1 / 3, 1 / 6, 1 / 20, 0), 500_000
+#: Lower ends of the size classes as shares of the capacity, and rounds a class takes at most.
+CLASSES, ROUNDS = (1 / 2, 1 / 3, 1 / 6, 1 / 20, 0), 12
+#: Rows that one range holds at most, and at least where there are more ranges than one.
+RANGE_ROWS, LEAST_ROWS = 100_000, 2_000
 GAP, PIECE, PLACED, SUMMARY = 0, 1, 2, 3
 #: GAP: seq, size left, rank among the gaps that later ranges may take (else -1).  PIECE: id, size, rank.
 #: PLACED: id, seq, offset.  SUMMARY: pieces left, gaps that later ranges may take, smallest piece, largest gap, placed.
@@ -116,6 +118,11 @@ def _between_ranges(left: list[tuple[int, int, int]]) -> list[tuple[int, int, in
     return out
 
 
+def n_ranges(spark, rows: int) -> int:
+    """As many as the session has cores, more if they would hold too many rows, fewer if too few."""
+    return max(1, -(-rows // RANGE_ROWS), min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS))
+
+
 def _ranges(df: DataFrame, ranges: int) -> DataFrame:
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
     return df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -150,8 +157,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces(id long unique, size int in 1..capacity) -> id, seq, offset.
 
     Sequences are named by the piece that opened them; offsets are gapless from 0 and no sequence holds
-    more than ``capacity``.  An empty table gives an empty result.
+    more than ``capacity``.  Ties of size go by id.  An empty table gives an empty result.
     """
+    spark = pieces.sparkSession
     lower = [int(capacity * share) for share in CLASSES]
     which = F.size(F.filter(F.array(*map(F.lit, lower)), lambda x: x >= F.col("size")))
     counts = {r["class"]: r["count"] for r in pieces.groupBy(which.alias("class")).count().collect()}  # a row a class
@@ -162,16 +170,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     held = counts.get(0, 0)
     for level in range(1, len(lower)):
         todo, n = pieces.filter(which == level).select("id", "size"), counts.get(level, 0)
-        while n:
-            ranges = max(1, -(-(n + held) // RANGE_ROWS))
+        for _ in range(ROUNDS if n else 0):
+            ranges = n_ranges(spark, n + held)
             placed, todo, gaps, totals = _round(todo, gaps, ranges, capacity)
             out, n = out.unionByName(placed), totals["left"] - totals["linked"]
             # one range is swept to the end; several may still hold what another needs
-            if totals["ranges"] <= 1 or not totals["linked"] + totals["placed"] or totals["smallest"] > totals["largest"]:
+            if not n or totals["ranges"] <= 1 or not totals["linked"] + totals["placed"] or totals["smallest"] > totals["largest"]:
                 break
         if n:
             order = todo.withColumn("kind", F.lit(PIECE))
-            opened = cut(_ranges(order, max(1, -(-n // RANGE_ROWS))).mapInArrow(_fill(capacity), SWEPT), "pack-open")
+            opened = cut(_ranges(order, n_ranges(spark, n)).mapInArrow(_fill(capacity), SWEPT), "pack-open")
             out = out.unionByName(opened.filter(F.col("kind") == PLACED).select("id", "seq", "offset"))
             gaps = gaps.unionByName(opened.filter(F.col("kind") == GAP).select("seq", F.col("size").alias("gap")))
             held += n
@@ -184,13 +192,13 @@ PIECES = "id long, doc_id long, piece int, start long, length int, ids_crc32 lon
 def cut_pieces(docs: DataFrame, path: str, keep_space: bool, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """docs(doc_id, text) -> pieces of at most ``capacity`` tokens, with the crc32 of their ids, written to the shared folder.
 
-    A document is its ids, then ``end_id``; a null text has only the end id.
+    A document is its ids, then ``end_id``; a null text has only the end id, a long one is cut and never shortened.
     """
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
         code, key = encoder(path, keep_space), TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = {n.split()[0]: [] for n in PIECES.split(", ")}
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), code.encode(texts), strict=True):
@@ -209,7 +217,8 @@ def cut_pieces(docs: DataFrame, path: str, keep_space: bool, capacity: int = CAP
 def pack_documents(docs: DataFrame, path: str, keep_space: bool = False, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row per piece.
 
-    Null ids and repeated rows are packed like any other row; further columns are ignored.
+    Null ids and repeated rows are packed like any other row; further columns are ignored; an empty table gives an
+    empty result.
     """
     pieces = cut_pieces(docs, path, keep_space, capacity, end_id)
     places = pack(pieces.select("id", F.col("length").alias("size")), capacity)
@@ -218,4 +227,5 @@ def pack_documents(docs: DataFrame, path: str, keep_space: bool = False, capacit
 
 
 def op1_pack(spark, sf_dir):
+    """All documents in sequences of 2048 tokens; see ``pack_documents`` for nulls, long texts, repeated rows and empty tables."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
