@@ -26,9 +26,9 @@ def unoccluded(samples: DataFrame, existing: DataFrame, depth: str = "depth") ->
     return both.filter(F.col("_known").isNull() | (F.col("_known") <= 0) | (F.col(depth) < F.col("_known"))).drop("_known")
 
 
-def over_hit_ids(samples: DataFrame, least: int = 10) -> DataFrame:
-    """Ids that ``least`` or more accurate samples hit; -1 stands for none."""
-    hits = samples.filter("accurate and main_id <> -1").groupBy("main_id").agg(F.count("*").alias("hits"))
+def over_hit_ids(samples: DataFrame, least: int = 10, by: list[str] | None = None) -> DataFrame:
+    """Ids that ``least`` or more accurate samples hit (in each group of ``by``); -1 stands for none."""
+    hits = samples.filter("accurate and main_id <> -1").groupBy(*(by or []), "main_id").agg(F.count("*").alias("hits"))
     return hits.filter(F.col("hits") >= least)
 
 
@@ -41,6 +41,11 @@ def sample_bilinear(points: DataFrame, pixels: DataFrame, value: str, keys: list
     return met.groupBy("frame_id", *keys).agg(F.sum(F.col("w") * F.coalesce("_val", F.lit(0.0))).alias(value))
 
 
+def merge_samples(samples: DataFrame, keypoints: DataFrame) -> DataFrame:
+    """Samples and matched keypoints in one table, with their origin; a column that one of them lacks is null there."""
+    return samples.withColumn("origin", F.lit("sample")).unionByName(keypoints.withColumn("origin", F.lit("keypoint")), allowMissingColumns=True)
+
+
 def gather_pixels(samples: DataFrame, pixels: DataFrame) -> DataFrame:
     return samples.join(pixels, ["frame_id", "v", "u"])
 
@@ -183,23 +188,3 @@ def frame_loss(pairs: DataFrame, depth: DataFrame, share: float = 0.2, depth_wei
     """(1 - share) L1 + share (1 - SSIM) + depth_weight x inverse-depth error."""
     both = smooth_l1(pairs).join(ssim(pairs), "frame_id").join(depth.select("frame_id", "inv_depth_l1"), "frame_id")
     return both.select("frame_id", ((1 - share) * F.col("l1") + share * (1 - F.col("ssim")) + depth_weight * F.col("inv_depth_l1")).alias("loss"))
-
-
-def densify(samples: DataFrame, known: DataFrame, intr: dict, iteration: int, size: float, least: int = 1) -> DataFrame:
-    """Depth samples (frame_id, v, u, depth, conf, p, r, g, b, accurate) -> new points of a map.
-
-    Valid and unoccluded samples are lifted to 3-D, get their first scale and opacity by provenance, and
-    enter the map where their chunk receives enough points.
-    """
-    from ..functions import geometry as G
-    from ..functions import points as P
-    from .chunks import filter_by_density
-
-    kept = unoccluded(valid_depth(samples), known)
-    lifted = kept.select("*", P.unproject("u", "v", "depth", *[F.lit(intr[k]) for k in ("fx", "fy", "cx", "cy")]).alias("q")).select("*", "q.*").drop("q")
-    far = G.norm3("x", "y", "z")
-    new = P.init_points(lifted, iteration, size, 1.0).withColumns({
-        "log_scale": P.initial_scale("p", F.lit(intr["width"]), F.lit(intr["fx"]), far),
-        "opacity": P.initial_opacity(F.when(F.col("accurate"), "accurate").otherwise("inaccurate")),
-    })
-    return filter_by_density(new, least)

@@ -54,6 +54,12 @@ def interpolate_pose(frames: DataFrame, poses: DataFrame, wait: float, by: str =
     after = Window.partitionBy(by).orderBy(t, F.desc("_kind")).rowsBetween(0, Window.unboundedFollowing)
     both = both.select("*", F.last("_p", ignorenulls=True).over(before).alias("a"), F.first("_p", ignorenulls=True).over(after).alias("b")).filter("_kind = 1 and a is not null and b is not null")
     both = both.filter(F.col(f"b.{t}") - F.col(t) <= wait)
+    return between_poses(both, [by, "frame_id"], t)
+
+
+def between_poses(both: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """both(keys, t, a and b: structs of t and pose) -> keys, t, pose: translation linear, rotation spherical between a and b."""
+    names = ["tx", "ty", "tz", "qw", "qx", "qy", "qz"]
     s = F.when(F.col(f"b.{t}") > F.col(f"a.{t}"), (F.col(t) - F.col(f"a.{t}")) / (F.col(f"b.{t}") - F.col(f"a.{t}"))).otherwise(0.0)
     both = both.withColumn("s", s)
     dot = sum(F.col(f"a.{q}") * F.col(f"b.{q}") for q in names[3:])
@@ -62,7 +68,7 @@ def interpolate_pose(frames: DataFrame, poses: DataFrame, wait: float, by: str =
     wa = F.when(close, 1 - s).otherwise(F.sin((1 - s) * F.col("angle")) / F.sin("angle"))
     wb = F.col("sign") * F.when(close, s).otherwise(F.sin(s * F.col("angle")) / F.sin("angle"))
     moved = [(F.col(f"a.{c}") * (1 - s) + F.col(f"b.{c}") * s).alias(c) for c in names[:3]]
-    return both.select(by, "frame_id", t, *moved, *[(wa * F.col(f"a.{c}") + wb * F.col(f"b.{c}")).alias(c) for c in names[3:]])
+    return both.select(*keys, t, *moved, *[(wa * F.col(f"a.{c}") + wb * F.col(f"b.{c}")).alias(c) for c in names[3:]])
 
 
 def normalize_to_first(poses: DataFrame, run: str = "run_id", t: str = "t", key: str = "frame_id") -> DataFrame:
@@ -87,6 +93,8 @@ def closest_keyframes(keyframes: DataFrame, queries: DataFrame, n: int = 6, k: i
     """
     if n <= 0:
         return queries.select("fid").limit(0).select("fid", F.lit(0).alias("pick"), F.col("fid").alias("neighbour"))
+    from ..session import cut
+
     total = keyframes.count()
     spread = keyframes.agg(*[(F.max(f"t{a}") - F.min(f"t{a}")).alias(a) for a in "xyz"]).first()
     widest = max([x or 0.0 for x in spread] or [0.0])
@@ -98,19 +106,22 @@ def closest_keyframes(keyframes: DataFrame, queries: DataFrame, n: int = 6, k: i
         have = keyframes.select(F.col("fid").alias("other"), *[F.col(f"t{a}").alias(f"o{a}") for a in "xyz"], *[grid(f"t{a}").alias(f"g{a}") for a in "xyz"])
         dist = G.norm3(F.col("tx") - F.col("ox"), F.col("ty") - F.col("oy"), F.col("tz") - F.col("oz"))
         met = asks.join(have, ["gx", "gy", "gz"]).filter("fid <> other").select("fid", "other", dist.alias("dist"))
+        rank = F.row_number().over(Window.partitionBy("fid").orderBy("dist", "other"))
         if cell <= widest:  # only what lies within one cell's length is surely complete
-            sure = met.filter(F.col("dist") <= cell)
-            enough = sure.groupBy("fid").count().filter(F.col("count") >= want).select("fid")
-            done = sure.join(enough, "fid", "left_semi")
-            todo = todo.join(enough, "fid", "left_anti")
-        else:
-            done, todo = met, None
+            met = met.filter(F.col("dist") <= cell)
+        # the nearest of each ring, written out: the next round starts from rows, not from this round's plan
+        near = cut(met.withColumn("rank", rank).filter(F.col("rank") <= want), "nearest-keyframes")
+        if cell > widest:
+            found = near if found is None else found.unionByName(near)
+            break
+        enough = near.filter(F.col("rank") == want).select("fid")
+        done = near.join(enough, "fid", "left_semi")
+        todo = cut(todo.join(enough, "fid", "left_anti"), "keyframes-left")
         found = done if found is None else found.unionByName(done)
-        if todo is None:
+        if not todo.limit(1).count():
             break
         cell *= 4
-    rank = F.row_number().over(Window.partitionBy("fid").orderBy("dist", "other"))
-    ranked = found.withColumn("rank", rank).withColumn("strided", (F.col("rank") - 1) % k == 0)
+    ranked = found.withColumn("strided", (F.col("rank") - 1) % k == 0)
     order = F.row_number().over(Window.partitionBy("fid").orderBy(F.when(F.col("strided") & (F.col("rank") <= n * k), 0).otherwise(1), "rank"))
     return ranked.withColumn("pick", order).filter(F.col("pick") <= n).select("fid", "pick", F.col("other").alias("neighbour"))
 
@@ -141,10 +152,18 @@ def link_keypoints(keypoints: DataFrame, points: DataFrame) -> DataFrame:
     return keypoints.join(points, "point_id", "left")
 
 
-def covisibility(observations: DataFrame, min_shared: int = 100, parents: DataFrame | None = None, loops: DataFrame | None = None) -> DataFrame:
-    """Keyframe pairs (lower id first) that share at least ``min_shared`` points, with parent and loop edges."""
+def covisibility(observations: DataFrame, min_shared: int = 100, parents: DataFrame | None = None, loops: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """Keyframe pairs (lower id first) that share at least ``min_shared`` points, with parent and loop edges.
+
+    The observers of a point are dealt into blocks and every two blocks meet under a key of their own, so a
+    point that a third of all keyframes see is no task's alone; pairs are counted before they are shuffled.
+    """
     o = observations.select("fid", "point_id").distinct()
-    shared = o.join(o.withColumnRenamed("fid", "b"), "point_id").filter("fid < b").groupBy(F.col("fid").alias("a"), "b").agg(F.count("*").alias("weight"))
+    blocks = o.groupBy("point_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    o = o.join(blocks, "point_id").withColumn("_b", F.pmod(F.xxhash64("fid"), F.col("_n")).cast("int"))
+    left = o.select("point_id", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"), "fid")
+    right = o.select("point_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), F.col("_b").alias("_o"), F.col("fid").alias("b"))
+    shared = left.join(right, ["point_id", "_b", "_o"]).filter("fid < b").groupBy(F.col("fid").alias("a"), "b").agg(F.count("*").alias("weight"))
     out = shared.filter(F.col("weight") >= min_shared).withColumn("kind", F.lit("shared"))
     for kind, edges in (("parent", parents), ("loop", loops)):
         if edges is not None:
@@ -158,26 +177,27 @@ def split_map_points(points: DataFrame, reference: DataFrame) -> tuple[DataFrame
     return good.join(ref, "point_id", "left_anti"), good.join(ref, "point_id", "left_semi")
 
 
-def apply_loop_closure(points: DataFrame, keyframes: DataFrame, recent: int, size: float, scale: float = 1.0, rot_th: float = 0.05, trans_th: float = 0.1) -> DataFrame:
+def apply_loop_closure(points: DataFrame, keyframes: DataFrame, seen: DataFrame, recent: int, size: float, scale: float = 1.0, rot_th: float = 0.05, trans_th: float = 0.1) -> DataFrame:
     """Each point is moved once, by the first divergent keyframe in order that sees it and for which it is recent.
 
-    keyframes(fid, seq, creation_iter, old pose, new pose n_*, chunk_id list via ``seen_chunks``); a point
-    meets the keyframes of its chunk only.  The first keyframe is a min aggregate over (seq, pose).
+    keyframes(fid, seq unique, creation_iter, old pose, new pose n_*), seen(fid, chunk_id); a point meets the
+    keyframes of its chunk only.  Rotations are worked out once a keyframe; a pair carries the four numbers of
+    its depth test, the first keyframe is a min of one long, and its move is joined to the points at the end.
     """
-    from .frustum import point_visible
-
-    names = ["qw", "qx", "qy", "qz", "tx", "ty", "tz"]
     kf = keyframes.filter(G.pose_divergent(G.pose_of(), G.pose_of("n_"), rot_th, trans_th))
-    met = points.select("gaussian_id", "x", "y", "z", "exist_since", "chunk_id").join(kf, "chunk_id")
-    met = met.filter((F.abs(F.col("exist_since") - F.col("creation_iter")) < recent) & point_visible(G.pose_of(), "x", "y", "z"))
-    first = met.groupBy("gaussian_id").agg(F.min(F.struct("seq", "fid", *names, *["n_" + n for n in names])).alias("k")).select("gaussian_id", "k.*")
-    both = points.join(first, "gaussian_id", "left")
+    depth = [*G.quat_to_matrix(G.rotation_of(G.pose_of()))[6:], F.col("tz")]
+    views = kf.select("fid", "seq", "creation_iter", *[c.alias(f"_d{i}") for i, c in enumerate(depth)]).join(seen.select("fid", "chunk_id"), "fid").drop("fid")
+    met = points.select("gaussian_id", "x", "y", "z", "exist_since", "chunk_id").join(views, "chunk_id")
+    in_front = F.col("_d0") * F.col("x") + F.col("_d1") * F.col("y") + F.col("_d2") * F.col("z") + F.col("_d3") > 0.2
+    first = met.filter((F.abs(F.col("exist_since") - F.col("creation_iter")) < recent) & in_front).groupBy("gaussian_id").agg(F.min("seq").alias("seq"))
     # world move: new camera-to-world after old world-to-camera
     d = G.se3_mul(G.se3_inv(G.pose_of("n_")), G.pose_of())
-    both = both.withColumns({"_m" + k: v for k, v in d.items()})
+    moves = kf.select("seq", F.col("fid").alias("moved_by"), *[v.alias("_m" + k) for k, v in d.items()])
     m = G.quat_to_matrix(G.Fields({a: F.col("_m" + a) for a in "wxyz"}))
-    moved = [sum((m[3 * i + k] * F.col(a) for k, a in enumerate("yz", 1)), m[3 * i] * F.col("x")) * scale + F.col(f"_mt{b}") for i, b in enumerate("xyz")]
-    out = both.select(*[c for c in points.columns if c not in ("x", "y", "z", "chunk_id")], F.col("fid").alias("moved_by"), *[F.coalesce(v, F.col(a)).alias(a) for v, a in zip(moved, "xyz", strict=True)])
+    moves = moves.select("seq", "moved_by", *[v.alias(f"_r{i}") for i, v in enumerate(m)], *[f"_mt{a}" for a in "xyz"])
+    both = points.join(first.join(moves, "seq").drop("seq"), "gaussian_id", "left")
+    moved = [sum((F.col(f"_r{3 * i + k}") * F.col(a) for k, a in enumerate("yz", 1)), F.col(f"_r{3 * i}") * F.col("x")) * scale + F.col(f"_mt{b}") for i, b in enumerate("xyz")]
+    out = both.select(*[c for c in points.columns if c not in ("x", "y", "z", "chunk_id")], "moved_by", *[F.coalesce(v, F.col(a)).alias(a) for v, a in zip(moved, "xyz", strict=True)])
     return out.withColumn("chunk_id", G.chunk_id("x", "y", "z", size))
 
 

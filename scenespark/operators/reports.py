@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import readers
 from . import joins as J
 from . import trajectory as T
 
@@ -27,6 +28,12 @@ def evaluate_runs(ref: DataFrame, est: DataFrame, frames: DataFrame, max_diff: f
     return run_report(frames.select("run_id").distinct(), [counts, errors, quality], ["run_id"])
 
 
+def evaluate_all(spark: SparkSession, root: str, datasets: DataFrame) -> DataFrame:
+    """The cross-run report from the files of all runs below ``root``: a row a run of a known dataset, what it lacks is null."""
+    found = readers.read_run_artifacts(spark, root)
+    return readers.run_table(found).join(datasets.select("dataset").distinct(), "dataset", "left_semi")
+
+
 def keyframe_results(frames: DataFrame) -> DataFrame:
     """Render time, structural dissimilarity and PSNR of each keyframe."""
     return frames.select("run_id", "kfid", "render_ms", ((1 - F.col("ssim")) / 2).alias("dssim"), "psnr")

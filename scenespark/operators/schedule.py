@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +66,19 @@ def oldest_first(chunks: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.4) -> DataFrame:
-    """Exponential moving average of each run, from 0: out = alpha x + (1 - alpha) out."""
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, now = [], 0.0
-        for x in pdf[value]:
-            now = alpha * x + (1 - alpha) * now
+    """Exponential moving average of each run, from 0: out = alpha x + (1 - alpha) out; a null value leaves it as it is."""
+    from .scans import scan_runs
+
+    def smooth(now: float, batch: pa.RecordBatch):
+        out = []
+        for x in batch.column(value).to_pylist():
+            if x is not None:
+                now = alpha * x + (1 - alpha) * now
             out.append(now)
-        return pdf.assign(ema=out)
+        return now, pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "ema"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(run, order, value).schema)
-    return df.select(run, order, value).groupBy(run).applyInPandas(smooth, f"{schema}, ema double")
+    return scan_runs(df.select(run, order, value), run, [order], float, smooth, f"{schema}, ema double")
 
 
 def ema_window(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.4, horizon: int = 80) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
+_S = "((s_suppkey * 37) % 100)"
 _SPARK_T = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1e6"
 _SQL_T = "epoch_us(ts) / 1e6"
 
@@ -23,18 +24,27 @@ TABLES = {
         "qw": f"cos(pi() * {_K} / 100)", "qx": "0e0", "qy": "0e0", "qz": f"sin(pi() * {_K} / 100)", "k": _K,
     }),
     "frame_metrics": ("events", {"run_id": "user_id", "kfid": "event_id", "psnr": "20 + value / 50", "ssim": f"({_K} % 100) / 100", "lpips": f"({_K} % 37) / 100", "render_ms": f"1 + {_K} / 10", "event_type": "event_type", "t": "{T}"}),
+    "frame_poses": ("embeddings", {"fid": "CAST(vec_id AS BIGINT)", "tx": "(vec_id % 50) / 1e0", "ty": "(vec_id % 7) / 1e1", "tz": "(vec_id % 11) / 1e0", "qw": "cos(pi() * (vec_id % 100) / 100)", "qx": "0e0", "qy": "0e0", "qz": "sin(pi() * (vec_id % 100) / 100)"}),
+    "frame_keypoints": ("embeddings", {"frame_id": "CAST(vec_id AS BIGINT)", "keypoint_id": "CAST(vec_id + 1000 AS BIGINT)", "u": "(vec_id % 9) * 75e-2", "v": "(vec_id % 5) * 15e-1", "z": "(vec_id % 4) - 5e-1"}),
     "observations": ("lineitem", {"fid": "l_suppkey", "point_id": "l_partkey"}),
-    "keypoints": ("part", {"frame_id": "CAST(p_size AS BIGINT)", "keypoint_id": "p_partkey", "u": "CAST((p_partkey * 37) % 1300 - 20 AS DOUBLE)", "v": "CAST((p_partkey * 53) % 720 - 20 AS DOUBLE)", "z": "p_retailprice / 100 - 10"}),
+    "keypoints": ("part", {"frame_id": "CAST(p_size AS BIGINT)", "keypoint_id": "p_partkey", "u": "CAST((p_partkey * 37) % 1300 - 20 AS DOUBLE)", "v": "CAST((p_partkey * 53) % 720 - 20 AS DOUBLE)", "z": "p_retailprice / 100 - 93e-1"}),
+    "keyframes": ("supplier", {
+        "fid": "s_suppkey", "run_id": "CAST(s_nationkey AS BIGINT)", "t": "s_suppkey * 1e1", "tx": "s_acctbal / 200", "ty": "(s_suppkey % 97) / 10", "tz": f"{_S} / 10",
+        "qw": f"cos(pi() * {_S} / 100)", "qx": "0e0", "qy": "0e0", "qz": f"sin(pi() * {_S} / 100)",
+        "seq": "s_suppkey", "creation_iter": "s_suppkey % 1000", "remaining": "s_suppkey % 3", "loss": f"({_S} % 17) / 10",
+    }),
 }
 
 #: Tables made from those above; {name} in FROM stands for the parenthesised SQL of another one.
 DERIVED = {
-    "poses_est": "SELECT run_id, frame_id, t + 37e-3 AS t, tx + ((frame_id % 7) - 3) * 1e-2 AS tx, ty - ((frame_id % 5) - 2) * 1e-2 AS ty, tz, qw, qx, qy, qz FROM {poses} WHERE frame_id % 10 <> 0",
-    "keyframes": "SELECT frame_id AS fid, run_id, t, tx, ty, tz, qw, qx, qy, qz, row_number() OVER (ORDER BY t, frame_id) AS seq, frame_id % 1000 AS creation_iter, frame_id % 3 AS remaining, (k % 17) / 10 AS loss FROM {poses} WHERE frame_id % 100 = 0",
+    "poses_est": "SELECT run_id, frame_id, t + CASE WHEN frame_id % 10 = 0 THEN 3e-1 ELSE 37e-3 END AS t, tx + ((frame_id % 7) - 3) * 1e-2 AS tx, ty - ((frame_id % 5) - 2) * 1e-2 AS ty, tz, qw, qx, qy, qz FROM {poses}",
     "manifest": "SELECT chunk_id, n_points, CASE WHEN chunk_id % 11 = 0 THEN NULL ELSE CAST(chunk_id % 1009 AS DOUBLE) END AS last_access, chunk_id % 3 = 0 AS loaded, chunk_id % 3 <> 2 AS on_disk FROM (SELECT chunk_id, count(*) AS n_points FROM {chunked} GROUP BY chunk_id)",
     "chunked": "SELECT *, (cx + 1048576) * 4398046511104 + (cy + 1048576) * 2097152 + (cz + 1048576) AS chunk_id FROM (SELECT *, CAST(floor((x + 5) / 10) AS BIGINT) AS cx, CAST(floor((y + 5) / 10) AS BIGINT) AS cy, CAST(floor((z + 5) / 10) AS BIGINT) AS cz FROM {points})",
     "kf_chunked": "SELECT *, (cx + 1048576) * 4398046511104 + (cy + 1048576) * 2097152 + (cz + 1048576) AS chunk_id FROM (SELECT *, CAST(floor((tx + 5) / 10) AS BIGINT) AS cx, CAST(floor((ty + 5) / 10) AS BIGINT) AS cy, CAST(floor((tz + 5) / 10) AS BIGINT) AS cz FROM {keyframes})",
-    "pose_updates": "SELECT fid, seq AS op_id, CASE fid % 3 WHEN 0 THEN 'LocalBA' WHEN 1 THEN 'LoopClosingBA' ELSE 'LocalBA' END AS op_type, fid % 400 = 0 AS is_loop, tx + 3e-1 AS tx, ty, tz, qw * cos(1e-1) - qz * sin(1e-1) AS qw, 0e0 AS qx, 0e0 AS qy, qz * cos(1e-1) + qw * sin(1e-1) AS qz FROM {keyframes} WHERE seq % 2 = 0",
+    # keyframes of some loss move, every fourth hardly; those of the highest loss come again under ids of their own
+    "pose_updates": "SELECT fid, op_id, op_type, is_loop, tx + far * 3e-1 AS tx, ty, tz, qw * cos(far * 1e-1) - qz * sin(far * 1e-1) AS qw, 0e0 AS qx, 0e0 AS qy, qz * cos(far * 1e-1) + qw * sin(far * 1e-1) AS qz FROM (SELECT fid, seq AS op_id, CASE fid % 3 WHEN 1 THEN 'LoopClosingBA' ELSE 'LocalBA' END AS op_type, fid % 4 = 2 AS is_loop, CASE WHEN fid % 4 = 0 THEN 1e-3 ELSE 1e0 END AS far, tx, ty, tz, qw, qz FROM {keyframes} WHERE loss > 2e-1 UNION ALL SELECT fid + 1000000, seq + 1000000, 'LoopClosingBA', false, 1e0, tx, ty, tz, qw, qz FROM {keyframes} WHERE loss > 14e-1)",
+    # three operations a keyframe; loop closures come after local adjustments whatever their ids, other kinds are errors
+    "operations": "SELECT fid, 3 * fid + n AS op_id, CASE (fid + n) % 3 WHEN 0 THEN 'LocalBA' WHEN 1 THEN 'LoopClosingBA' ELSE 'ScaleRefinement' END AS op_type, tx + n + 1 AS tx, ty, tz, qw, qx, qy, qz FROM {keyframes}, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2)",
     "pixels": "{PIXELS}",
     "pixels_gt": "SELECT frame_id, v, u, round(val, 1) AS val, CASE WHEN (u + v + frame_id) % 13 = 0 THEN 0e0 ELSE 1 / inv_depth END AS depth FROM {pixels}",
     "samples": "SELECT frame_id, v, u, inv_depth, val AS conf, CASE WHEN (8 * v + u) % 9 = 0 THEN -1 ELSE frame_id * 3 + (8 * v + u) % 4 END AS main_id, (8 * v + u) % 2 = 0 AS accurate FROM {pixels}",

@@ -295,10 +295,10 @@ def f8(spark, sf_dir):
     return C.chunk_counts(C.filter_by_density(G.with_chunk_id(fixture(spark, sf_dir, "big_points"), SIZE), 200))
 
 
-@query("f14_relevant_chunks", tables("SELECT DISTINCT chunk_id FROM {kf_chunked} WHERE chunk_id IN (SELECT chunk_id FROM {manifest} WHERE loaded OR on_disk) OR chunk_id IN (SELECT chunk_id FROM {chunked} WHERE gaussian_id % 10 = 0)"))
+@query("f14_relevant_chunks", tables("SELECT DISTINCT chunk_id FROM {kf_chunked} WHERE chunk_id IN (SELECT chunk_id FROM {manifest} WHERE loaded OR on_disk) OR chunk_id IN (SELECT chunk_id FROM {chunked} WHERE opacity < 1e-1)"))
 def f14(spark, sf_dir):
     kf = fixture(spark, sf_dir, "keyframes").select(G.chunk_id("tx", "ty", "tz", SIZE).alias("chunk_id")).distinct()
-    return C.relevant_chunks(kf, fixture(spark, sf_dir, "manifest"), chunked(spark, sf_dir).filter("gaussian_id % 10 = 0"))
+    return C.relevant_chunks(kf, fixture(spark, sf_dir, "manifest"), chunked(spark, sf_dir).filter("opacity < 1e-1"))
 
 
 @query("f15_every_n", tables("SELECT kfid FROM {frame_metrics} WHERE kfid % 100 = 0"))

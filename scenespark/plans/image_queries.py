@@ -94,9 +94,17 @@ def j14(spark, sf_dir):
     return I.gather_pixels(px(spark, sf_dir, "samples"), px(spark, sf_dir, "pixels_gt").select("frame_id", "v", "u", "depth")).select("frame_id", "v", "u", "main_id", "depth")
 
 
-@query("j15_undistorted", tables(f"SELECT frame_id, v, u, {r6('val')} AS val FROM {{pixels}}"))
+_X, _Y = "((u - 4) / 8e0)", "((v - 4) / 8e0)"
+_RR = f"({_X} * {_X} + {_Y} * {_Y})"
+_RADIAL = f"(1 + 5e-2 * {_RR} - 2e-2 * {_RR} * {_RR} + 1e-3 * {_RR} * {_RR} * {_RR})"
+_DU = f"(8 * ({_X} * {_RADIAL} + 6e-3 * {_X} * {_Y} - 2e-3 * ({_RR} + 2 * {_X} * {_X})) + 4)"
+_DV = f"(8 * ({_Y} * {_RADIAL} + 3e-3 * ({_RR} + 2 * {_Y} * {_Y}) - 4e-3 * {_X} * {_Y}) + 4)"
+_READ = f"(SELECT frame_id, v AS pv, u AS pu, {_DU} AS du, {_DV} AS dv FROM {{pixels}})"
+
+
+@query("j15_undistorted", tables(f"SELECT r.frame_id, pv AS v, pu AS u, {r6('sum(coalesce(val, 0) * (1 - abs(dv - v)) * (1 - abs(du - u)))')} AS val FROM {_READ} r LEFT JOIN {{pixels}} p ON p.frame_id = r.frame_id AND p.v BETWEEN floor(dv) AND floor(dv) + 1 AND p.u BETWEEN floor(du) AND floor(du) + 1 GROUP BY r.frame_id, pv, pu"))
 def j15(spark, sf_dir):
-    out = I.undistort_pixels(px(spark, sf_dir), "val", {"fx": 8.0, "fy": 8.0, "cx": 4.0, "cy": 4.0}, (0.0, 0.0, 0.0, 0.0, 0.0))
+    out = I.undistort_pixels(px(spark, sf_dir), "val", {"fx": 8.0, "fy": 8.0, "cx": 4.0, "cy": 4.0}, (0.05, -0.02, 0.003, -0.002, 0.001))
     return out.select("frame_id", "v", "u", r(F.col("val"), "val"))
 
 
@@ -167,9 +175,3 @@ def a22(spark, sf_dir):
 def a23(spark, sf_dir):
     pairs = val_pairs(spark, sf_dir).select("frame_id", F.col("a").alias("predicted"), F.col("b").alias("target"))
     return I.align_depth(pairs).select("frame_id", r(F.col("scale"), "scale"), r(F.col("bias"), "bias"))
-
-
-@query("z1_densified", tables("SELECT frame_id, count(*) AS n_points FROM {samples} s JOIN {pixels_gt} g USING (frame_id, v, u) WHERE conf > 5e-1 AND (g.depth <= 0 OR 2 * conf < g.depth) GROUP BY frame_id"))
-def z1(spark, sf_dir):
-    s = px(spark, sf_dir, "samples").withColumns({"depth": 2 * F.col("conf"), "p": F.col("conf"), "r": F.col("conf"), "g": F.col("conf"), "b": F.col("conf")})
-    return I.densify(s, px(spark, sf_dir, "pixels_gt"), INTR, 5, SIZE).groupBy("frame_id").agg(F.count("*").alias("n_points"))

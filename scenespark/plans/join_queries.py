@@ -14,6 +14,7 @@ from .registry import query
 FOV_X, FOV_Y, ZFAR, ZNEAR = 1.5707963267948966, 1.032126, 30.0, 0.01
 _FACES = [float(x) for x in V.projection(ZNEAR, ZFAR, FOV_X, FOV_Y)]
 _PLANES = V.frustum_planes(_FACES)
+_POSES = "k.tx AS otx, k.ty AS oty, k.tz AS otz, 1 - 2 * k.qz * k.qz AS oc, 2 * k.qw * k.qz AS os, u.tx AS ntx, u.ty AS nty, u.tz AS ntz, 1 - 2 * u.qz * u.qz AS nc, 2 * u.qw * u.qz AS ns"
 
 
 def _plane_tests() -> tuple[str, str]:
@@ -74,16 +75,15 @@ def j2(spark, sf_dir):
     return J.associate_trajectories(fixture(spark, sf_dir, "poses"), fixture(spark, sf_dir, "poses_est"), 0.1).select("run_id", "ref_id", "est_id")
 
 
-_TOPIC_A, _TOPIC_B = "SELECT frame_id AS id, t FROM {poses} WHERE frame_id % 2 = 0", "SELECT frame_id AS id, t + ((frame_id % 9) - 4) * 1e-2 AS t FROM {poses} WHERE frame_id % 2 = 0 AND frame_id % 14 <> 0"
+_TOPIC_A, _TOPIC_B = "SELECT frame_id AS id, t FROM {poses}", "SELECT frame_id AS id, t + ((frame_id % 9) - 4) * 2e-2 AS t FROM {poses}"
 
 
 def topics(spark, sf_dir):
     p = fixture(spark, sf_dir, "poses")
-    a = p.filter("frame_id % 2 = 0").selectExpr("frame_id AS id", "t")
-    return a, p.filter("frame_id % 2 = 0 and frame_id % 14 <> 0").selectExpr("frame_id AS id", "t + ((frame_id % 9) - 4) * 1e-2 AS t")
+    return p.selectExpr("frame_id AS id", "t"), p.selectExpr("frame_id AS id", "t + ((frame_id % 9) - 4) * 2e-2 AS t")
 
 
-@query("j3_synced_topics", tables(f"SELECT a_id, b_id FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.t - b.t), b.id) AS n FROM ({_TOPIC_A}) a JOIN ({_TOPIC_B}) b ON abs(a.t - b.t) <= 5e-2) WHERE n = 1"))
+@query("j3_synced_topics", tables(f"SELECT a_id, b_id FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.t - b.t), b.id) AS n FROM ({_TOPIC_A}) a JOIN ({_TOPIC_B}) b ON b.t BETWEEN a.t - 5e-2 AND a.t + 5e-2) WHERE n = 1"))
 def j3(spark, sf_dir):
     return J.sync_topics(*topics(spark, sf_dir), 0.05).select("a_id", "b_id")
 
@@ -118,10 +118,10 @@ def j10(spark, sf_dir):
 _NEAR = "(SELECT q.fid, o.fid AS other, row_number() OVER (PARTITION BY q.fid ORDER BY sqrt((q.tx - o.tx) * (q.tx - o.tx) + (q.ty - o.ty) * (q.ty - o.ty) + (q.tz - o.tz) * (q.tz - o.tz)), o.fid) AS rank FROM {keyframes} q JOIN {keyframes} o ON o.fid <> q.fid)"
 
 
-@query("j11_closest_keyframes", tables(f"SELECT fid, pick, other AS neighbour FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY CASE WHEN (rank - 1) % 2 = 0 AND rank <= 6 THEN 0 ELSE 1 END, rank) AS pick FROM {_NEAR}) WHERE pick <= 3"))
+@query("j11_closest_keyframes", tables(f"SELECT fid, pick, other AS neighbour FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY CASE WHEN (rank - 1) % 6 = 0 AND rank <= 36 THEN 0 ELSE 1 END, rank) AS pick FROM {_NEAR} WHERE rank <= 36) WHERE pick <= 6"))
 def j11(spark, sf_dir):
     kf = fixture(spark, sf_dir, "keyframes")
-    return J.closest_keyframes(kf, kf, 3, 2)
+    return J.closest_keyframes(kf, kf)
 
 
 @query("j12_with_camera", tables("SELECT fid, c_nationkey AS camera_id, fx FROM (SELECT fid, fid % 5 AS c_nationkey FROM {keyframes}) k JOIN (SELECT n_nationkey, 600e0 + n_nationkey AS fx FROM nation) n ON n.n_nationkey = k.c_nationkey"))
@@ -130,7 +130,10 @@ def j12(spark, sf_dir):
     return J.with_camera(fixture(spark, sf_dir, "keyframes").selectExpr("fid", "fid % 5 AS camera_id"), cameras).select("fid", "camera_id", "fx")
 
 
-@query("j16_pose_updates", tables(f"SELECT k.fid, {r6('coalesce(u.tx, k.tx)')} AS tx, {r6('coalesce(u.qz, k.qz)')} AS qz, CASE WHEN u.fid IS NULL THEN 'kept' ELSE 'updated' END AS state FROM {{keyframes}} k LEFT JOIN {{pose_updates}} u ON u.fid = k.fid"))
+_TAKEN = "k.fid IS NULL OR (u.fid IS NOT NULL AND u.fid % 4 <> 0)"
+
+
+@query("j16_pose_updates", tables(f"SELECT coalesce(k.fid, u.fid) AS fid, {r6(f'CASE WHEN {_TAKEN} THEN u.tx ELSE k.tx END')} AS tx, {r6(f'CASE WHEN {_TAKEN} THEN u.qz ELSE k.qz END')} AS qz, CASE WHEN k.fid IS NULL THEN 'inserted' WHEN {_TAKEN} THEN 'updated' ELSE 'kept' END AS state FROM {{keyframes}} k FULL JOIN {{pose_updates}} u ON u.fid = k.fid"))
 def j16(spark, sf_dir):
     out = J.apply_pose_updates(fixture(spark, sf_dir, "keyframes"), fixture(spark, sf_dir, "pose_updates"), 0.001)
     return out.select("fid", r(F.col("tx"), "tx"), r(F.col("qz"), "qz"), "state")
@@ -159,17 +162,29 @@ def u11(spark, sf_dir):
     return out.select("fid", *[r(F.col(c), c) for c in ("tx", "ty", "tz", "qw")])
 
 
-@query("u12_map_points", tables("SELECT point_id, CASE WHEN point_id IN (SELECT point_id FROM {observations} WHERE fid % 2 = 0) THEN 'reference' ELSE 'current' END AS part FROM (SELECT DISTINCT point_id FROM {observations}) WHERE point_id % 7 <> 0"))
+@query("u12_map_points", tables("SELECT point_id, CASE WHEN point_id IN (SELECT point_id FROM {observations} WHERE fid >= 20) THEN 'reference' ELSE 'current' END AS part FROM (SELECT DISTINCT point_id FROM {observations}) WHERE point_id % 7 <> 0"))
 def u12(spark, sf_dir):
     obs = fixture(spark, sf_dir, "observations")
     points = obs.select("point_id").distinct().withColumn("bad", F.col("point_id") % 7 == 0)
-    current, reference = J.split_map_points(points, obs.filter("fid % 2 = 0"))
+    current, reference = J.split_map_points(points, obs.filter("fid >= 20"))
     return current.select("point_id", F.lit("current").alias("part")).union(reference.select("point_id", F.lit("reference")))
 
 
-@query("w10_loop_closure", tables(f"SELECT gaussian_id, moved_by FROM (SELECT p.gaussian_id, k.fid AS moved_by, row_number() OVER (PARTITION BY p.gaussian_id ORDER BY k.seq) AS n FROM {{chunked}} p JOIN (SELECT k.fid, k.seq, k.creation_iter, k.tz, s.chunk_id FROM {{keyframes}} k JOIN {{pose_updates}} u ON u.fid = k.fid JOIN {_SEEN} s ON s.fid = k.fid AND s.state <> 'OUTSIDE') k ON k.chunk_id = p.chunk_id WHERE abs(p.exist_since - k.creation_iter) < 200 AND p.z + k.tz > 2e-1) WHERE n = 1"))
-def w10(spark, sf_dir):
+_MOVES = f"(SELECT k.fid, k.seq, k.creation_iter, k.tz, s.chunk_id, {_POSES} FROM {{keyframes}} k JOIN {{pose_updates}} u ON u.fid = k.fid AND k.fid % 4 <> 0 JOIN {_SEEN} s ON s.fid = k.fid AND s.state <> 'OUTSIDE')"
+_FIRST = f"(SELECT p.gaussian_id, k.*, row_number() OVER (PARTITION BY p.gaussian_id ORDER BY k.seq) AS n FROM {{chunked}} p JOIN {_MOVES} k ON k.chunk_id = p.chunk_id WHERE abs(p.exist_since - k.creation_iter) < 200 AND p.z + k.tz > 2e-1)"
+# old world to camera, then new camera to world
+_CAMERA = f"(SELECT p.gaussian_id, p.x, p.y, p.z, f.fid AS moved_by, oc * x - os * y + otx - ntx AS cx, os * x + oc * y + oty - nty AS cy, z + otz - ntz AS cz, nc, ns FROM {{points}} p LEFT JOIN {_FIRST} f ON f.gaussian_id = p.gaussian_id AND f.n = 1)"
+MOVED = f"(SELECT gaussian_id, moved_by, coalesce(nc * cx + ns * cy, x) AS x, coalesce(-ns * cx + nc * cy, y) AS y, coalesce(cz, z) AS z FROM {_CAMERA})"
+
+
+def closing(spark, sf_dir):
+    """Keyframes with old and new poses, and the chunks they see."""
     kf = fixture(spark, sf_dir, "keyframes").select("fid", "seq", "creation_iter", "qw", "qx", "qy", "qz", "tx", "ty", "tz")
     new = fixture(spark, sf_dir, "pose_updates").select("fid", *[F.col(c).alias("n_" + c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")])
-    kf = kf.join(new, "fid").join(seen(spark, sf_dir).select("fid", "chunk_id"), "fid")
-    return J.apply_loop_closure(chunked(spark, sf_dir), kf, 200, SIZE).filter("moved_by is not null").select("gaussian_id", "moved_by")
+    return kf.join(new, "fid"), seen(spark, sf_dir)
+
+
+@query("w10_loop_closure", tables(f"SELECT gaussian_id, coalesce(moved_by, -1) AS moved_by, {r6('x')} AS x, {r6('y')} AS y, {r6('z')} AS z FROM {MOVED}"))
+def w10(spark, sf_dir):
+    out = J.apply_loop_closure(chunked(spark, sf_dir), *closing(spark, sf_dir), 200, SIZE)
+    return out.select("gaussian_id", F.coalesce("moved_by", F.lit(-1)).alias("moved_by"), *[r(F.col(a), a) for a in "xyz"])

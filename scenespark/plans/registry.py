@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import geometry_queries, image_queries, join_queries, lifecycle_queries, schedule_queries, stream_queries, trajectory_queries  # noqa: F401
+    from . import file_queries, geometry_queries, image_queries, join_queries, lifecycle_queries, scene_queries, schedule_queries, stream_queries, trajectory_queries  # noqa: F401

@@ -76,7 +76,10 @@ def read_associations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rgb_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep=" ", comment="#", schema="ts double, rgb string")
+    """Lines ``t path`` after three lines of header, whatever these hold."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = numbered_lines(spark, path).filter("line >= 3").filter(F.size(parts) >= 2)
+    return lines.select(F.get(parts, F.lit(0)).try_cast("double").alias("ts"), F.get(parts, F.lit(1)).alias("rgb")).filter("ts is not null")
 
 
 def frame_time(name: Column, layout: str) -> Column:
@@ -135,14 +138,16 @@ def read_training_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 CAMERA = (
-    "id long, img_name string, width int, height int, position array<double>, rotation array<array<double>>, fx double, fy double, cx double, cy double, "
-    "k1 double, k2 double, p1 double, p2 double, k3 double"
+    "id: bigint, img_name: string, width: int, height: int, position: array<double>, rotation: array<array<double>>, fx: double, fy: double, cx: double, cy: double, "
+    "k1: double, k2: double, p1: double, p2: double, k3: double"
 )
 
 
 def read_cameras_json(spark: SparkSession, path: str) -> DataFrame:
-    """All cameras of an array file with world-to-camera poses; missing distortion is 0, a missing centre the middle."""
-    raw = spark.read.schema(CAMERA).json(path, multiLine=True)
+    """All cameras of array files (or of files with one object a line) with world-to-camera poses; missing distortion is 0, a missing centre the middle."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    array = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace("value", r"\}\s*\n\s*\{", "},{"), F.lit("]")))
+    raw = text.select(F.explode(F.from_json(array, f"array<struct<{CAMERA}>>")).alias("c")).select("c.*")
     m = [F.get(F.get("rotation", F.lit(i)), F.lit(j)) for i in range(3) for j in range(3)]
     q = G.matrix_to_quat(m)
     raw = raw.withColumns({f"w_q{a}": q[a] for a in "wxyz"} | {f"w_t{a}": F.get("position", F.lit(i)) for i, a in enumerate("xyz")})
@@ -210,13 +215,51 @@ def run_key(path: Column) -> Column:
     return F.struct(F.lower(F.get(parts, F.lit(0))).alias("dataset"), F.get(parts, F.lit(1)).alias("camera"), F.get(parts, F.lit(2)).alias("trial"), scene.alias("scene"))
 
 
+#: Kind of each file of a run; the peak memory file is known by how its name begins.
+ARTIFACTS = {"eval.txt": "eval", "metrics_traj.txt": "trajectory", "training_time.txt": "training_time", "slowdown_factor.txt": "slowdown", "TrackingTime.txt": "tracking", "gaussianCount.txt": "points"}
+PEAK_MEMORY = "GpuPeakUsageMB"
+
+
+def artifact_kind(file: Column) -> Column:
+    """What a file of a run holds; null for other files."""
+    names = F.create_map(*[F.lit(x) for pair in ARTIFACTS.items() for x in pair])
+    return F.when(file.startswith(PEAK_MEMORY), "peak_memory").otherwise(F.element_at(names, file))
+
+
 def read_run_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Key values of the small text files under ``root/run/scene/``: run columns, file, key, value."""
+    """The small text files under ``root/run/scene/``: run columns, file, kind, line, key, value.
+
+    ``key: value`` lines give the key; lines of a number alone have none, and of tracking times each is a frame.
+    """
     files = spark.read.text(f"{root}/*/*/*.txt", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     files = files.select(run_key(F.col("path")).alias("k"), F.substring_index("path", "/", -1).alias("file"), "value").select("k.*", "file", "value")
-    lines = files.select("dataset", "camera", "trial", "scene", "file", F.explode(F.split("value", "\r?\n")).alias("line"))
-    key = F.trim(F.regexp_extract("line", r"^\s*([A-Za-z_ ]+?)\s*[:\s]\s*[-0-9.]", 1))
-    return lines.select("dataset", "camera", "trial", "scene", "file", key.alias("key"), F.expr(r"try_cast(regexp_extract(line, '([-0-9.eE+]+)\\s*$', 1) as double)").alias("value")).filter("value is not null")
+    lines = files.withColumn("kind", artifact_kind(F.col("file"))).filter("kind is not null")
+    lines = lines.select("dataset", "camera", "trial", "scene", "file", "kind", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    key = F.lower(F.trim(F.regexp_extract("text", r"^\s*([A-Za-z_ ()]+?)\s*[:\s]\s*[-0-9.]", 1)))
+    return lines.select("dataset", "camera", "trial", "scene", "file", "kind", "line", key.alias("key"), F.expr(r"try_cast(regexp_extract(text, '([-0-9.eE+]+)\\s*$', 1) as double)").alias("value")).filter("value is not null")
+
+
+RUN = ["dataset", "camera", "trial", "scene"]
+
+
+def run_table(artifacts: DataFrame) -> DataFrame:
+    """A row a run of what read_run_artifacts found; what is missing is null, a missing slowdown factor 1.
+
+    The trajectory file has two blocks, translation first: the first and last rmse of it.  Tracking times give
+    frames a second without the last three lines.
+    """
+    at = lambda kind, key=None: (F.col("kind") == kind) & (F.lit(True) if key is None else F.col("key") == key)
+    one = lambda kind, key=None: F.max(F.when(at(kind, key), F.col("value")))
+    rmse = at("trajectory", "rmse")
+    columns = {"ape_translation": F.min_by(F.when(rmse, F.col("value")), F.when(rmse, F.col("line"))), "ape_rotation": F.max_by(F.when(rmse, F.col("value")), F.when(rmse, F.col("line")))}
+    columns |= {n: one("eval", k) for n, k in (("psnr", "psnr"), ("ssim", "ssim"), ("lpips", "lpips"), ("seconds", "time s"), ("rendering_fps", "rendering fps"))}
+    columns |= {"slowdown": F.coalesce(one("slowdown"), F.lit(1.0)), "n_points": F.coalesce(one("eval", "num gaussians"), one("points")).cast("long"), "peak_mb": one("peak_memory", "peak allocated (mb)")}
+    columns["seconds"] = F.coalesce(columns["seconds"], one("training_time"))
+    runs = artifacts.groupBy(*RUN).agg(*[c.alias(n) for n, c in columns.items()])
+    times = artifacts.filter("kind = 'tracking'").withColumn("run", F.struct(*RUN))
+    from ..operators.schedule import tracking_fps
+
+    return runs.join(tracking_fps(times, "run", "line", "value").select("run.*", "tracking_fps"), RUN, "left")
 
 
 def discover_runs(paths: DataFrame, datasets: DataFrame) -> DataFrame:

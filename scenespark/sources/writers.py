@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import plain_path
+
+#: Cameras or chunks in one document of a scene, and the lines of an evaluation in their order.
+CAMERAS = 10_000
+EVAL_LINES = ("psnr", "ssim", "lpips", "time s", "rendering ms", "rendering FPS", "num gaussians")
 
 
 def _text(df: DataFrame, line: Column, path: str, order: list, partition: str | None = None) -> None:
@@ -47,28 +53,71 @@ def cameras_json(cameras: DataFrame) -> DataFrame:
     return cameras.select(*keep, F.array(inv["tx"], inv["ty"], inv["tz"]).alias("position"), rotation.alias("rotation"))
 
 
+def documents(df: DataFrame, line: Column, order: list[str], size: int, head: str = "", between: str = "\n", tail: str = "") -> DataFrame:
+    """Rows joined into documents of at most about ``size`` rows, each with a head and a tail: value."""
+    part = F.pmod(F.xxhash64(*order), F.lit(max(1, -(-df.count() // size))))
+    rows = df.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))).alias("rows"))
+    return rows.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["_line"]), between), F.lit(tail)).alias("value"))
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Each value a text file of its own."""
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """files(name, content binary): writes each below ``root`` and gives their number; a task that runs twice writes the same again."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                fs, at = plain_path(f"{root}/{name}")
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(at) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def save_scene(points: DataFrame, cameras: DataFrame, extent: float, path: str) -> None:
     """Cameras, extent, manifest and chunks below one folder."""
     from ..operators.chunks import chunk_counts
 
-    cameras_json(cameras).write.mode("overwrite").json(f"{path}/cameras")
+    rows = cameras_json(cameras)
+    write_documents(documents(rows, F.to_json(F.struct(*rows.columns)), ["id"], CAMERAS, "[", ",\n", "]"), f"{path}/cameras")
     points.sparkSession.range(1).select(F.to_json(F.array(F.lit(float(extent)))).alias("value")).write.mode("overwrite").text(f"{path}/cameras_extent")
-    chunk_counts(points).write.mode("overwrite").parquet(f"{path}/chunk_manifest")
+    write_manifest(chunk_counts(points), f"{path}/chunk_manifest")
     save_chunks(points, f"{path}/chunks")
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """Two parallel arrays, in documents of a bounded number of chunks."""
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-manifest.count() // CAMERAS))))
+    docs = manifest.groupBy(part.alias("part")).agg(F.collect_list(F.struct("chunk_id", "n_points")).alias("m"))
+    arrays = F.struct(F.col("m.chunk_id").alias("chunks_on_disk"), F.col("m.n_points").alias("chunk_gaussian_counts"))
+    write_documents(docs.select(F.to_json(arrays).alias("value")), path)
+
+
 def write_metrics(frames: DataFrame, summary: DataFrame, path: str) -> None:
     frames.write.mode("overwrite").csv(f"{path}/frames", header=True)
     summary.write.mode("overwrite").csv(f"{path}/summary", header=True)
 
 
 def eval_lines(summary: DataFrame) -> DataFrame:
-    """summary(metric, mean) -> lines ``metric: mean``."""
-    return summary.orderBy("metric").select(F.concat_ws(": ", "metric", F.format_string("%.6f", "mean")).alias("value"))
+    """summary(metric, mean) -> lines ``metric: mean``, those of EVAL_LINES first and in that order."""
+    place = F.array_position(F.array(*map(F.lit, EVAL_LINES)), F.col("metric"))
+    return summary.orderBy(F.when(place == 0, len(EVAL_LINES) + 1).otherwise(place), "metric").select(F.concat_ws(": ", "metric", F.coalesce(F.format_string("%.6f", "mean"), F.lit("None"))).alias("value"))
+
+
+def eval_summary(frames: DataFrame, seconds: float | None = None, n_points: float | None = None) -> DataFrame:
+    """frames(psnr, ssim, lpips, render_ms, ...) of a run -> the seven rows (metric, mean) of its evaluation; what is not known is null."""
+    known = (F.avg("psnr"), F.avg("ssim"), F.avg("lpips"), F.lit(seconds).cast("double"), F.avg("render_ms"), F.try_divide(F.lit(1000.0), F.avg("render_ms")), F.lit(n_points).cast("double"))
+    return frames.agg(*[v.alias(k) for k, v in zip(EVAL_LINES, known, strict=True)]).unpivot([], list(EVAL_LINES), "metric", "mean")
 
 
 def write_eval_txt(summary: DataFrame, path: str) -> None:
-    eval_lines(summary).write.mode("overwrite").text(path)
+    eval_lines(summary).coalesce(1).write.mode("overwrite").text(path)  # a few lines
 
 
 def write_run_report(report: DataFrame, path: str) -> None:
@@ -88,8 +137,12 @@ def write_points_text(points: DataFrame, path: str) -> int:
 
 
 def write_used_times(rows: DataFrame, iteration: int, path: str) -> None:
-    """Appends a section."""
-    rows.select(F.lit(iteration).alias("iteration"), "kfid", "used", "remaining").write.mode("append").parquet(path)
+    """Appends a section: a header line with the iteration, then ``kfid used remaining`` in order; a file a range, each with its header."""
+    sorted_rows = rows.select("kfid", "used", "remaining").repartitionByRange("kfid").sortWithinPartitions("kfid").withColumn("part", F.spark_partition_id())
+    body = sorted_rows.select("part", F.lit(1).alias("kind"), "kfid", F.concat_ws(" ", "kfid", "used", "remaining").alias("value"))
+    heads = sorted_rows.select("part").distinct().select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("kfid"), F.lit(f"## Iteration {iteration}").alias("value"))
+    lines = heads.unionByName(body).repartition("part").sortWithinPartitions("part", "kind", "kfid")
+    lines.select("value").write.mode("append").text(path)
 
 
 def write_run_scalars(scalars: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions import geometry as G
 from ..operators import joins as J
+from ..operators.scans import kept, scan_runs
 
 POSE = ["tx", "ty", "tz", "qw", "qx", "qy", "qz"]
 #: The gate's defaults: seconds, metres, radians.
@@ -24,32 +25,37 @@ def admit(batch: DataFrame, key: str, order: str, n: int = 20) -> DataFrame:
     return batch.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
 
-def _gate(rows: pd.DataFrame, last: tuple | None, limits: tuple) -> tuple[list[int], tuple | None]:
-    """Positions of the accepted rows (sorted by time) and the last accepted one."""
+def _gate(columns: list[list], last: tuple | None, limits: tuple) -> tuple[list[int], tuple | None]:
+    """Positions of the accepted rows (columns t, tx .. qz in time order) and the last accepted one."""
     dt, trans, rot = limits
+    far, half = trans * trans, math.cos(rot / 2)
     out = []
-    for i, r in enumerate(rows[["t", *POSE]].itertuples(index=False)):
+    for i, r in enumerate(zip(*columns, strict=True)):
         if last is not None:
-            moved = sum((a - b) ** 2 for a, b in zip(r[1:4], last[1:4], strict=True)) ** 0.5
-            dot = min(1.0, abs(sum(a * b for a, b in zip(r[4:], last[4:], strict=True))))
-            turned = 2 * math.acos(dot)
-            if r[0] - last[0] < dt or not (moved > trans or turned > rot):
+            if r[0] - last[0] < dt:
+                continue
+            x, y, z = r[1] - last[1], r[2] - last[2], r[3] - last[3]
+            # turned by more than rot: the half angle's cosine is smaller
+            if x * x + y * y + z * z <= far and abs(r[4] * last[4] + r[5] * last[5] + r[6] * last[6] + r[7] * last[7]) >= half:
                 continue
         out.append(i)
-        last = tuple(float(x) for x in r)
+        last = r
     return out, last
 
 
 def select_keyframes(frames: DataFrame, run: str = "run_id", key: str = "frame_id", min_dt: float = MIN_DT, min_trans: float = MIN_TRANS, min_rot: float = MIN_ROT) -> DataFrame:
-    """Batch form of the gate: the first frame, then each that is late and far or turned enough from the last accepted one."""
-    names = [run, key, "t", *POSE]
+    """Batch form of the gate: the first frame, then each that is late and far or turned enough from the last accepted one.
 
-    def run_gate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", key])
-        return pdf.iloc[_gate(pdf, None, (min_dt, min_trans, min_rot))[0]]
+    Frames stream past in time order; the last accepted one is all that is kept of a run.
+    """
+    names, limits = [run, key, "t", *POSE], (min_dt, min_trans, min_rot)
+
+    def step(last, batch):
+        rows, last = _gate([batch.column(c).to_pylist() for c in ("t", *POSE)], last, limits)
+        return last, kept(batch, rows)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*names).schema)
-    return frames.select(*names).groupBy(run).applyInPandas(run_gate, schema)
+    return scan_runs(frames.select(*names), run, ["t", key], lambda: None, step, schema)
 
 
 class KeyframeGate(StatefulProcessor):
@@ -63,10 +69,10 @@ class KeyframeGate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["t", self.key])
-        kept, last = _gate(pdf, self.last.get(), self.limits)
+        rows, last = _gate([pdf[c].tolist() for c in ("t", *POSE)], self.last.get(), self.limits)
         if last is not None:
-            self.last.update(last)
-        yield pdf.iloc[kept][[self.run, self.key, "t", *POSE]]
+            self.last.update(tuple(map(float, last)))
+        yield pdf.iloc[rows][[self.run, self.key, "t", *POSE]]
 
     def close(self) -> None:
         pass
@@ -81,25 +87,44 @@ def select_keyframes_stream(frames: DataFrame, run: str = "run_id", key: str = "
 
 
 def sync_streams(a: DataFrame, b: DataFrame, slop_seconds: float, wait: str = "10 seconds") -> DataFrame:
-    """a(event_time, id), b(event_time, id) -> all pairs within the slop; nearest_pairs() then keeps one a left message."""
-    left = a.select(F.col("event_time").alias("a_time"), F.col("id").alias("a_id")).withWatermark("a_time", wait)
-    right = b.select(F.col("event_time").alias("b_time"), F.col("id").alias("b_id")).withWatermark("b_time", wait)
-    near = F.expr(f"b_time >= a_time - interval {slop_seconds} seconds and b_time <= a_time + interval {slop_seconds} seconds")
-    return left.join(right, near)
-
-
-def nearest_pairs(batch: DataFrame) -> DataFrame:
-    """Of each a message the nearest b (ties: smaller id), for use in foreachBatch."""
+    """a(event_time, id), b(event_time, id) -> a_time, a_id, b_id, gap: each a with the nearest b within the slop, ties to the smaller id.
+
+    Time is cut into slots of the slop: a lies in one, b is sent to its own and the two beside it, and they meet
+    by an equality.  The nearest is an aggregate by message, given out when the watermark has passed it; rows
+    later than ``wait`` are dropped.  Tables give the same rows at once.
+    """
+    slot = lambda t: F.floor(F.unix_micros(t) / (slop_seconds * 1e6)).cast("long")
+    left = _marked(a, wait).select(F.col("event_time").alias("a_time"), F.col("id").alias("a_id"), slot("event_time").alias("a_slot"))
+    right = _marked(b, wait).select(F.col("event_time").alias("b_time"), F.col("id").alias("b_id"), slot("event_time").alias("own"))
+    right = right.select("b_time", "b_id", F.explode(F.array(*[F.col("own") + d for d in (-1, 0, 1)])).alias("b_slot"))
+    span = F.expr(f"interval {slop_seconds} seconds")
+    both = left.join(right, (F.col("a_slot") == F.col("b_slot")) & (F.col("b_time") >= F.col("a_time") - span) & (F.col("b_time") <= F.col("a_time") + span))
     gap = F.abs(F.unix_micros("a_time") - F.unix_micros("b_time"))
-    return batch.groupBy("a_id").agg(F.min(F.struct(gap.alias("gap"), "b_id")).alias("m")).select("a_id", "m.b_id", (F.col("m.gap") / 1e6).alias("gap"))
-
-
-def interpolate_pose_stream(frames: DataFrame, poses: DataFrame, wait_seconds: float = 0.5, late: str = "10 seconds") -> DataFrame:
-    """frames(event_time, run_id, frame_id), poses(event_time, run_id, pose) -> frames with the poses within the wait on either side."""
-    f = frames.select("run_id", "frame_id", F.col("event_time").alias("f_time")).withWatermark("f_time", late)
-    p = poses.select(F.col("run_id").alias("p_run"), F.col("event_time").alias("p_time"), *POSE).withWatermark("p_time", late)
-    near = F.expr(f"run_id = p_run and p_time >= f_time - interval {wait_seconds} seconds and p_time <= f_time + interval {wait_seconds} seconds")
-    return f.join(p, near).drop("p_run")
+    best = both.groupBy("a_time", "a_id").agg(F.min(F.struct(gap.alias("gap"), "b_id")).alias("m"))
+    return best.select("a_time", "a_id", "m.b_id", (F.col("m.gap") / 1e6).alias("gap"))
+
+
+def _marked(df: DataFrame, wait: str) -> DataFrame:
+    return df.withWatermark("event_time", wait) if df.isStreaming else df
+
+
+def interpolate_pose_stream(frames: DataFrame, poses: DataFrame, wait_seconds: float = 0.5, before_seconds: float | None = None, late: str = "10 seconds") -> DataFrame:
+    """frames(event_time, run_id, frame_id), poses(event_time, run_id, pose) -> frames with the pose interpolated between the two around them.
+
+    A frame waits ``wait_seconds`` for a pose at or after it and looks ``before_seconds`` back (by default as far)
+    for one at or before it; without either it is dropped.  Given out when the watermark has passed the frame.
+    """
+    back = wait_seconds if before_seconds is None else before_seconds
+    f = _marked(frames, late).select("run_id", "frame_id", F.col("event_time").alias("f_time"))
+    p = _marked(poses, late).select(F.col("run_id").alias("p_run"), F.col("event_time").alias("p_time"), *POSE)
+    near = (F.col("p_time") >= F.col("f_time") - F.expr(f"interval {back} seconds")) & (F.col("p_time") <= F.col("f_time") + F.expr(f"interval {wait_seconds} seconds"))
+    both = f.join(p, (F.col("run_id") == F.col("p_run")) & near)
+    micros = lambda t: F.unix_micros(t) / 1e6
+    pose = F.struct(micros("p_time").alias("t"), *POSE)
+    a = F.max_by(F.when(F.col("p_time") <= F.col("f_time"), pose), F.when(F.col("p_time") <= F.col("f_time"), F.col("p_time")))
+    b = F.min_by(F.when(F.col("p_time") >= F.col("f_time"), pose), F.when(F.col("p_time") >= F.col("f_time"), F.col("p_time")))
+    around = both.groupBy("f_time", "run_id", "frame_id").agg(a.alias("a"), b.alias("b")).filter("a is not null and b is not null")
+    return J.between_poses(around.withColumn("t", micros("f_time")), ["run_id", "frame_id", "f_time"], "t").withColumnRenamed("f_time", "event_time")
 
 
 def stream_stop(df: DataFrame, key: str, gap: str = "20 seconds", late: str = "1 second") -> DataFrame:
