@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import reports as R
 from ..operators import schedule
+from ..operators.chunks import chunk_counts
 from ..session import new_path
 from ..sources import readers, writers
 from .fixtures import fixture, r6, tables
@@ -136,23 +138,41 @@ def s12(spark, sf_dir):
     return back.select("iteration", r(F.col("elapsed_time_seconds"), "elapsed"), "active_count")
 
 
-def _scene(spark, sf_dir):
-    path = new_path(spark, "scene")
+def _cameras(spark, sf_dir):
     kf = fixture(spark, sf_dir, "keyframes")
-    cameras = kf.selectExpr("fid AS id", "concat('image ', fid) AS img_name", "1200 AS width", "680 AS height", "600e0 + fid AS fx", "600e0 AS fy", "600e0 AS cx", "340e0 AS cy", "1e-1 AS k1", "0e0 AS k2", "0e0 AS p1", "0e0 AS p2", "0e0 AS k3", "qw", "qx", "qy", "qz", "tx", "ty", "tz")
-    writers.save_scene(chunked(spark, sf_dir).select("gaussian_id", "chunk_id"), cameras, 2.5, path)
-    return path
+    return kf.selectExpr("fid AS id", "concat('image ', fid) AS img_name", "1200 AS width", "680 AS height", "600e0 + fid AS fx", "600e0 AS fy", "600e0 AS cx", "340e0 AS cy", "1e-1 AS k1", "0e0 AS k2", "0e0 AS p1", "0e0 AS p2", "0e0 AS k3", "qw", "qx", "qy", "qz", "tx", "ty", "tz")
 
 
 @query("s13_cameras", tables(f"SELECT fid AS id, 'image ' || fid AS img_name, {r6('600e0 + fid')} AS fx, {r6('abs(qw)')} AS qw, {r6('tx')} AS tx, {r6('ty')} AS ty, {r6('tz')} AS tz, 1e-1 AS k1 FROM {{keyframes}}"))
 def s13(spark, sf_dir):
-    back = readers.read_cameras_json(spark, f"{_scene(spark, sf_dir)}/cameras")
+    path = new_path(spark, "cameras")
+    writers.write_cameras(_cameras(spark, sf_dir), path)
+    back = readers.read_cameras_json(spark, path)
     return back.select("id", "img_name", r(F.col("fx"), "fx"), r(F.abs("qw"), "qw"), *[r(F.col(c), c) for c in ("tx", "ty", "tz")], "k1")
 
 
 @query("s14_saved_manifest", tables("SELECT chunk_id, count(*) AS n_points FROM {chunked} GROUP BY chunk_id"))
 def s14(spark, sf_dir):
-    return readers.read_manifest(spark, f"{_scene(spark, sf_dir)}/chunk_manifest")
+    path = new_path(spark, "manifest")
+    writers.write_manifest(chunk_counts(chunked(spark, sf_dir)), path)
+    return readers.read_manifest(spark, path)
+
+
+_WIDE = "((CAST(floor((x + 25) / 50) AS BIGINT) + 1048576) * 4398046511104 + (CAST(floor((y + 25) / 50) AS BIGINT) + 1048576) * 2097152 + (CAST(floor((z + 25) / 50) AS BIGINT) + 1048576))"
+
+
+def _wide(spark, sf_dir):
+    return G.with_chunk_id(fixture(spark, sf_dir, "points"), 50.0).select("gaussian_id", "chunk_id")
+
+
+@query("k3_saved_scene", tables(f"SELECT chunk_id, n_points, (SELECT count(*) FROM {{keyframes}}) AS n_cameras, 25e-1 AS extent FROM (SELECT {_WIDE} AS chunk_id, count(*) AS n_points FROM {{points}} GROUP BY 1)"))
+def k3(spark, sf_dir):
+    path = new_path(spark, "scene")
+    writers.save_scene(_wide(spark, sf_dir), _cameras(spark, sf_dir), 2.5, path)
+    points = spark.read.parquet(f"{path}/chunks").groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).count()
+    same = points.join(readers.read_manifest(spark, f"{path}/chunk_manifest"), "chunk_id").filter(F.col("count") == F.col("n_points"))
+    cameras = readers.read_cameras_json(spark, f"{path}/cameras").agg(F.count("*").alias("n_cameras"))
+    return same.select("chunk_id", "n_points").crossJoin(cameras).crossJoin(readers.read_extent(spark, f"{path}/cameras_extent"))  # one row each
 
 
 @query("s15_extent", "SELECT max(s_acctbal) AS extent FROM supplier")
@@ -222,11 +242,11 @@ def z3(spark, sf_dir):
     return out.select("dataset", "trial", "scene", *[r(F.col(c), c) for c in ("psnr", "ape_translation", "ape_rotation", "rendering_fps")], "n_points", "peak_mb", "slowdown", r(F.col("tracking_fps"), "tracking_fps"))
 
 
-@query("k2_saved_chunks", tables("SELECT chunk_id, CAST(sum(n) AS BIGINT) AS n_points FROM (SELECT chunk_id, count(*) * CASE WHEN count(*) > 20 THEN 2 ELSE 1 END AS n FROM {chunked} GROUP BY chunk_id) GROUP BY chunk_id"))
+@query("k2_saved_chunks", tables(f"SELECT chunk_id, n * CASE WHEN n > 100 THEN 2 ELSE 1 END AS n_points FROM (SELECT {_WIDE} AS chunk_id, count(*) AS n FROM {{points}} GROUP BY 1)"))
 def k2(spark, sf_dir):
-    path, points = new_path(spark, "chunks"), chunked(spark, sf_dir).select("gaussian_id", "chunk_id")
+    path, points = new_path(spark, "chunks"), _wide(spark, sf_dir)
     writers.save_chunks(points, path)
-    dense = points.groupBy("chunk_id").count().filter("count > 20")
+    dense = points.groupBy("chunk_id").count().filter("count > 100")
     writers.save_chunks(points.unionByName(points), path, dense)  # dense chunks again, with every point twice
     return spark.read.parquet(path).groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.count("*").alias("n_points"))
 

@@ -80,12 +80,17 @@ def write_files(files: DataFrame, root: str) -> int:
     return files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def write_cameras(cameras: DataFrame, path: str) -> None:
+    """Arrays of cameras, in documents of a bounded number of them."""
+    rows = cameras_json(cameras)
+    write_documents(documents(rows, F.to_json(F.struct(*rows.columns)), ["id"], CAMERAS, "[", ",\n", "]"), path)
+
+
 def save_scene(points: DataFrame, cameras: DataFrame, extent: float, path: str) -> None:
     """Cameras, extent, manifest and chunks below one folder."""
     from ..operators.chunks import chunk_counts
 
-    rows = cameras_json(cameras)
-    write_documents(documents(rows, F.to_json(F.struct(*rows.columns)), ["id"], CAMERAS, "[", ",\n", "]"), f"{path}/cameras")
+    write_cameras(cameras, f"{path}/cameras")
     points.sparkSession.range(1).select(F.to_json(F.array(F.lit(float(extent)))).alias("value")).write.mode("overwrite").text(f"{path}/cameras_extent")
     write_manifest(chunk_counts(points), f"{path}/chunk_manifest")
     save_chunks(points, f"{path}/chunks")
