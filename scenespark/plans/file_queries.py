@@ -121,7 +121,7 @@ def s10(spark, sf_dir):
     return readers.read_kf_metric(spark, path, "psnr").select("kfid", r(F.col("psnr"), "psnr"))
 
 
-@query("s11_used_times", "SELECT i AS iteration, s_suppkey AS kfid, (s_suppkey % 7) + i AS used, s_suppkey % 3 AS remaining FROM supplier, (SELECT 100 AS i UNION ALL SELECT 200)")
+@query("s11_used_times", "SELECT i AS iteration, s_suppkey AS kfid, (s_suppkey % 7) + i AS used, s_suppkey % 3 AS remaining FROM supplier, (SELECT CAST(100 AS BIGINT) AS i UNION ALL SELECT 200)")
 def s11(spark, sf_dir):
     path = new_path(spark, "used-times")
     for i in (100, 200):
