@@ -77,40 +77,47 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, n_chars, head (the first floor(n_chars/2) code points of the next text), next_sketch.
+    """docs(doc_id, text) -> doc_id, text, n_chars, sketch, head (the first floor(n_chars/2) code points of the next text), next_sketch.
 
     Rows that agree in id and text are each other's next, and the last of them has the following row.
-    Null texts are empty; null ids come first.
+    Null texts are empty; null ids come first; an empty table gives an empty result; further columns are left
+    behind.  A text is sketched once, before it is sent.
     """
     # Plain equality on keys without nulls, and no column that only one branch needs: the join, the
     # window, the second join and what is sent share one shuffle of the texts.
     key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit(""))
-    rows = docs.select(key.alias("key"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(key.alias("key"), text.alias("text")).withColumns({"tie": F.xxhash64("text"), "own": sketch(F.col("text"))})
     keys = rows.select("key", "tie", F.char_length("text").cast("long").alias("n")).groupBy("key", "tie").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     ring = cut(neighbours(keys).select("key", "tie", "copies", "prev"), "ring-next")
     rows = rows.join(ring, ["key", "tie"])
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("key", "tie").orderBy(F.lit(1))))
     sent = rows.filter("copy = 1").select(
         F.col("prev.key").alias("key"), F.col("prev.tie").alias("tie"),
-        F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("next_head"), sketch(F.col("text")).alias("sent_sketch"),
+        F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("next_head"), F.col("own").alias("sent_sketch"),
     )
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).drop("prev")
     rows = rows.join(sent, ["key", "tie"], "left")
     last = F.col("copy") == F.col("copies")
     own_head = F.expr("substring(text, 1, cast(n_chars div 2 as int))")
-    return rows.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "n_chars", F.when(last, F.col("next_head")).otherwise(own_head).alias("head"), F.when(last, F.col("sent_sketch")).alias("next_sketch"))
+    return rows.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "n_chars", F.col("own").alias("sketch"), F.when(last, F.col("next_head")).otherwise(own_head).alias("head"), F.when(last, F.col("sent_sketch")).alias("next_sketch"))
 
 
 def document_sketches(docs: DataFrame, ngram: int = NGRAM, scale: int = SCALE) -> DataFrame:
-    """docs(doc_id, text, ...) -> docs with sketch array<long>.  Null and empty texts have an empty sketch."""
+    """docs(doc_id, text, ...) -> docs with sketch array<long>.
+
+    Null and empty texts have an empty sketch, long ones are read whole; rows are sketched one by one, so null
+    ids and repeated rows are like any other; a column named sketch is replaced, others are kept; an empty table
+    gives an empty result.
+    """
     return docs.withColumn("sketch", sketch(F.col("text"), ngram, scale))
 
 
 def op10_sketch(spark, sf_dir):
+    """Sketches of all documents and of their edited texts; see ``with_next`` for nulls, repeated rows and empty tables."""
     docs = with_next(table(spark, sf_dir, "documents"))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.coalesce("head", F.lit("")))
     docs = docs.withColumn("edited", edited)
-    docs = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"), "next_sketch")
+    docs = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("sketch").alias("own"), sketch(F.col("edited")).alias("changed"), "next_sketch")
     return docs.select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
