@@ -194,7 +194,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = cut(integer_vectors(queries).distinct(), "bit-queries")
     chunks = max(1, -(-asked.count() // QUERY_ROWS))
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    everywhere = asked.select("vec_id", "value", "chunk", F.explode(F.array(*map(F.lit, sorted(files))) if files else F.array().cast("array<int>")).alias("block"))
+    # the hash leaves next to no number without a block; such a number finds nothing
+    everywhere = asked.select("vec_id", "value", "chunk", F.explode(F.sequence(F.lit(0), F.lit(max(files, default=0)))).alias("block"))
     tasks = max(1, min(len(files) * chunks, TASKS * spark.sparkContext.defaultParallelism))
     met = everywhere.repartition(tasks, "block", "chunk").sortWithinPartitions("block")
 
@@ -204,8 +205,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             found = [], [], []
             for b, q, value in zip(*(batch.column(c).to_pylist() for c in ("block", "vec_id", "value")), strict=True):
                 if b != have:
-                    have, block = b, Block(_read(f"{path}/{files[b]}"))
-                best = block.search(q, value, k)
+                    have, block = b, Block(_read(f"{path}/{files[b]}")) if b in files else None
+                best = block.search(q, value, k) if block else []
                 for column, x in zip(found, ([q] * len(best), [i for _, i in best], [s for s, _ in best]), strict=True):
                     column += x
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
