@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, new_path, plain_path, shared_dir  # noqa: F401
+
 #: Words are runs of anything but these white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,39 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir.  A local session without one gets a folder of its own; a cluster must name it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it back: survives lost executors, ends the lineage."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def plain_path(uri: str) -> tuple[object, str]:
-    """pyarrow file system and path of a URI or of a plain local path, for use inside tasks."""
-    from pyarrow import fs
-
-    if "://" in uri or uri.startswith("file:"):
-        if uri.startswith("file:"):
-            return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
