@@ -10,6 +10,7 @@ driver.  Gaps are then updated and the round repeats; pieces that no gap can hol
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import insort
 from heapq import heappop, heappush
@@ -130,7 +131,6 @@ def _ranges(df: DataFrame, ranges: int) -> DataFrame:
 
 def _round(pieces: DataFrame, gaps: DataFrame, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """One round.  pieces(id, size), gaps(seq, gap) -> placed(id, seq, offset), pieces left, gaps after it, and totals."""
-    spark = pieces.sparkSession
     both = pieces.select(F.lit(PIECE).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(GAP).alias("kind"), F.col("seq").alias("id"), F.col("gap").alias("size")))
     swept = cut(_ranges(both, ranges).mapInArrow(_sweep(capacity), SWEPT), "pack-sweep")
     told = swept.filter(F.col("kind") == SUMMARY).collect()  # a row a range
@@ -142,9 +142,14 @@ def _round(pieces: DataFrame, gaps: DataFrame, ranges: int, capacity: int) -> tu
     free = swept.filter(F.col("kind") == GAP).select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), "seq", F.col("size").alias("gap"))
     if not links:
         return placed, left.select("id", "size"), free.select("seq", "gap"), totals
-    links = F.broadcast(spark.createDataFrame(links, "_part int, lo long, hi long, gap_part int, top long"))  # at most two rows a range
-    left = left.join(links, (F.col("part") == F.col("_part")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
-    left = left.select("id", "size", "gap_part", (F.col("top") - (F.col("rank") - F.col("lo"))).alias("gap_rank"))
+    # the links of each range by its number, at most two rows a range in all
+    by_part: list[list] = [[] for _ in range(1 + max(part for part, *_ in links))]
+    for part, lo, hi, gap_part, top in links:
+        by_part[part].append({"lo": lo, "hi": hi, "gap_part": gap_part, "top": top})
+    known = F.from_json(F.lit(json.dumps(by_part)), "array<array<struct<lo:bigint,hi:bigint,gap_part:int,top:bigint>>>")
+    link = F.get(F.filter(F.get(known, F.col("part")), lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), F.lit(0))
+    left = left.select("id", "size", "rank", link.alias("link"))
+    left = left.select("id", "size", "link.gap_part", (F.col("link.top") - (F.col("rank") - F.col("link.lo"))).alias("gap_rank"))
     met = left.filter("gap_part is not null").join(free.filter("gap_rank >= 0"), ["gap_part", "gap_rank"])
     met = cut(met.select("id", "size", "gap_part", "gap_rank", "seq", "gap"), "pack-met")
     after = free.join(met.select("gap_part", "gap_rank", "size"), ["gap_part", "gap_rank"], "left")
