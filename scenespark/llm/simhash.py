@@ -28,7 +28,7 @@ from .token_files import _mix
 #: Bits of a fingerprint of a set of shingles, bands of minima and minima in a band.
 LANES, BANDS, MINIMA = 4, 16, 4
 #: Words a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: Reference fingerprints of a pivot table, and rows of a bucket that one task takes at most twice of.
 PIVOTS, CHUNK = 24, 2048
 #: Links that one task thins out to a forest, and rows of a bucket beyond which keys are lengthened.
