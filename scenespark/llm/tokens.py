@@ -6,8 +6,8 @@ import os
 import re
 from array import array
 
-#: Cuts an encoder remembers (about 200 bytes each) and the longest one it keeps; when it is full it forgets them all.
-REMEMBERED, LONGEST = 300_000, 48
+#: Cuts an encoder remembers (about 200 bytes each) and the longest one it keeps.
+REMEMBERED, LONGEST = 250_000, 48
 #: Texts taken from a batch at once.
 TEXTS = 512
 _SPACE_AFTER_SPACE, _WORD_THEN_SPACE = re.compile(r"\s "), re.compile(r"(?<=\S) ")
@@ -30,16 +30,22 @@ _LETTERS = _byte_letters()
 
 
 class _Known(dict):
-    """Ids of cuts, found when they are first asked for."""
+    """Ids of cuts, found when they are first asked for.
+
+    The first cuts are kept, which are the frequent ones and some rare ones; after four times as many misses they
+    are all forgotten, so that the memory follows a change of language.
+    """
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.missed = find, 0
 
     def __missing__(self, cut: str) -> bytes:
         ids = self.find(cut)
-        if len(cut) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        self.missed += 1
+        if self.missed > 4 * REMEMBERED:
+            self.clear()
+            self.missed = 0
+        if len(self) < REMEMBERED and len(cut) <= LONGEST:
             self[cut] = ids
         return ids
 
