@@ -10,37 +10,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenespark.llm import language, mixing, near_copies, packing, pii
-from scenespark.llm.common import cut, table, tokenizer_path
+from scenespark.llm import language, mixing, packing, pii, simhash
+from scenespark.llm.common import cut, quoted, table, tokenizer_path
 
 #: Below this share of its own mixture no language counts as the document's.
 LEAST_SHARE = 0.3
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in which no language reaches LEAST_SHARE, go."""
-    model = language.train(docs.filter(~language.held_out()))
-    found = language.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    """Documents without a letter, or in which no language reaches LEAST_SHARE, go; if no row names a language, all stay."""
+    model = language.train(docs)
+    if not model[0]:
+        return docs
+    found = language.identify(docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "text"), model)
+    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays, once; rows without an id stay."""
-    groups = near_copies.near_copies(docs, ngram=5, least=0.8)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return kept.filter("_copy = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The document with the smallest id of each group of near duplicates stays, once; rows without an id stay.
+
+    Of several texts with one id the first by code point stays.
+    """
+    groups = simhash.near_duplicate_sets(docs, ngram=5, similarity=0.8)
+    first = cut(groups.filter("doc_id = component_id").groupBy("doc_id").count(), "first-copies")
+    # texts meet the ids in one shuffle and are not sorted for it, at every size
+    kept = docs.join(first.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*map(quoted, docs.columns))
+    several = first.filter("count > 1").select("doc_id")
+    if several.limit(1).count():
+        row = F.struct(*map(quoted, docs.columns)).alias("row")
+        one = docs.join(several, "doc_id", "left_semi").select("doc_id", "text", row)
+        one = one.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("n = 1").select("row.*")
+        kept = kept.join(several, "doc_id", "left_anti").select(*map(quoted, docs.columns)).unionByName(one)
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def personal_data_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data is replaced by the name of its kind; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document."""
     taken = mixing.mixed(docs).filter("times > 0")
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    row = F.struct(*map(quoted, docs.columns)).alias("row")
+    return taken.select(row, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).select("row.*")
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
