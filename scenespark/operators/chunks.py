@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_chunk_id
+from .ranges import numbered, running_before
 
 
 def chunk_counts(points: DataFrame) -> DataFrame:
@@ -121,18 +122,13 @@ def touch_chunks(manifest: DataFrame, visible: DataFrame, now: float) -> DataFra
 def lru_evict(chunks: DataFrame, target: int) -> DataFrame:
     """Least recently used chunks until their points reach ``target``, the crossing one included.
 
-    Two levels, so that no task holds the whole manifest: sums by (access, id) range, then a running sum
-    in each range.  Chunks never accessed come first; ties go to the smaller id.
+    Chunks never accessed come first; ties go to the smaller id.  A running sum over ranges: no task holds
+    the whole manifest.
     """
     if target <= 0:
         return chunks.limit(0)
     rows = chunks.withColumn("_access", F.coalesce("last_access", F.lit(0.0)))
-    rows = rows.repartitionByRange("_access", "chunk_id").withColumn("_part", F.spark_partition_id())
-    sums = rows.groupBy("_part").agg(F.sum("n_points").alias("_sum"))
-    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row a range
-    before = F.coalesce(F.sum("n_points").over(Window.partitionBy("_part").orderBy("_access", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(F.broadcast(sums), "_part").withColumn("points_before", before + F.col("_base"))
-    return rows.filter(F.col("points_before") < target).drop("_part", "_base", "_access")
+    return running_before(rows, ["_access", "chunk_id"], "n_points", "points_before").filter(F.col("points_before") < target).drop("_access")
 
 
 def plan_load(requested: DataFrame, manifest: DataFrame, limit: int, protect: str = "requested") -> DataFrame:
@@ -159,9 +155,5 @@ def chunk_filename(c: Column) -> Column:
 
 
 def assign_ids(df: DataFrame, order: list[str], start: int = 0, column: str = "gaussian_id") -> DataFrame:
-    """Dense new ids from ``start`` in a declared order, by range partition and prefix sum."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sums = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    sums = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row a range
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + start
-    return parts.withColumn(column, number.cast("long")).join(F.broadcast(sums), "_part").withColumn(column, F.col(column) + F.col("_base")).drop("_part", "_base")
+    """Dense new ids from ``start`` in a declared order."""
+    return numbered(df, order, column, start)
