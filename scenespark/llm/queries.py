@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, kneser_ney, language, mixing, packing, pii, quality, simhash, sketch, token_files
+from . import bitsliced, kneser_ney, language, merkle, mixing, packing, pii, quality, simhash, sketch, token_files
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_topk": bitsliced.op9_topk,
     "op10_sketch": sketch.op10_sketch,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
