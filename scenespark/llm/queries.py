@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, kneser_ney, language, merkle, mixing, packing, pii, quality, simhash, sketch, token_files
+from . import bitsliced, divergence, kneser_ney, language, merkle, mixing, packing, pii, quality, simhash, sketch, token_files
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_topk": bitsliced.op9_topk,
     "op10_sketch": sketch.op10_sketch,
     "op11_merkle": merkle.op11_merkle,
+    "op12_divergence": divergence.op12_divergence,
 }
 
 ORACLES = {
     "op5_mix": mixing.ORACLE,
     "op9_topk": bitsliced.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
