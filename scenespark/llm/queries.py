@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, divergence, kneser_ney, language, merkle, mixing, packing, pii, quality, simhash, sketch, token_files
+from . import bitsliced, divergence, kneser_ney, language, merkle, mixing, outliers, packing, pii, quality, simhash, sketch, token_files
 
 QUERIES = {
     "op1_pack": packing.op1_pack,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sketch": sketch.op10_sketch,
     "op11_merkle": merkle.op11_merkle,
     "op12_divergence": divergence.op12_divergence,
+    "op13_outliers": outliers.op13_outliers,
 }
 
 ORACLES = {
