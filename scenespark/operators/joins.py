@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .ranges import with_bracket
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, tol: float, by: list[str] | None = None, strict: bool = True, left_id: str = "lid", right_id: str = "rid") -> DataFrame:
@@ -43,17 +44,17 @@ def sync_topics(a: DataFrame, b: DataFrame, slop: float, t: str = "t") -> DataFr
 def interpolate_pose(frames: DataFrame, poses: DataFrame, wait: float, by: str = "run_id", t: str = "t") -> DataFrame:
     """frames(by, t, frame_id), poses(by, t, tx.., qw..) -> frames with the interpolated pose; dropped when no pose follows within ``wait`` or none precedes.
 
-    One union and one ordered window per run find the bracket; translation is linear, rotation spherical.
+    One union, ordered once over ranges, finds the bracket in time linear in its rows; translation is linear,
+    rotation spherical.  A frame at the time of a pose takes that pose.
     """
     names = ["tx", "ty", "tz", "qw", "qx", "qy", "qz"]
-    held = F.struct(t, *names)
-    both = poses.select(by, t, F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("frame_id"), held.alias("_p")).unionByName(
-        frames.select(by, t, F.lit(1).alias("_kind"), F.col("frame_id").cast("long").alias("frame_id"), F.lit(None).cast(poses.select(held.alias("p")).schema["p"].dataType).alias("_p"))
+    nothing = [F.lit(None).cast("double").alias(c) for c in names]
+    both = poses.select(by, t, F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("frame_id"), *[F.col(c).cast("double").alias(c) for c in names]).unionByName(
+        frames.select(by, t, F.lit(1).alias("_kind"), F.col("frame_id").cast("long").alias("frame_id"), *nothing)
     )
-    before = Window.partitionBy(by).orderBy(t, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy(t, F.desc("_kind")).rowsBetween(0, Window.unboundedFollowing)
-    both = both.select("*", F.last("_p", ignorenulls=True).over(before).alias("a"), F.first("_p", ignorenulls=True).over(after).alias("b")).filter("_kind = 1 and a is not null and b is not null")
-    both = both.filter(F.col(f"b.{t}") - F.col(t) <= wait)
+    both = with_bracket(both, [by], [t, "_kind"], F.col("_kind") == 0, [t, *names]).filter("_kind = 1")
+    both = both.select(by, t, "frame_id", F.col("last").alias("a"), F.when(F.col(f"last.{t}") == F.col(t), F.col("last")).otherwise(F.col("following")).alias("b"))
+    both = both.filter((F.col("a").isNotNull()) & (F.col(f"b.{t}") - F.col(t) <= wait))
     return between_poses(both, [by, "frame_id"], t)
 
 
@@ -152,18 +153,46 @@ def link_keypoints(keypoints: DataFrame, points: DataFrame) -> DataFrame:
     return keypoints.join(points, "point_id", "left")
 
 
-def covisibility(observations: DataFrame, min_shared: int = 100, parents: DataFrame | None = None, loops: DataFrame | None = None, block: int = 1000) -> DataFrame:
-    """Keyframe pairs (lower id first) that share at least ``min_shared`` points, with parent and loop edges.
+def _met_at(rows: DataFrame, block: int) -> DataFrame:
+    """rows(point_id, fid) -> (a, b), a < b, for every two keyframes of a point.
 
-    The observers of a point are dealt into blocks and every two blocks meet under a key of their own, so a
-    point that a third of all keyframes see is no task's alone; pairs are counted before they are shuffled.
+    The observers of a point are dealt into blocks and every two blocks meet under a key of their own, so a point
+    that a third of all keyframes see is no task's alone.
     """
-    o = observations.select("fid", "point_id").distinct()
-    blocks = o.groupBy("point_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    o = o.join(blocks, "point_id").withColumn("_b", F.pmod(F.xxhash64("fid"), F.col("_n")).cast("int"))
+    blocks = rows.groupBy("point_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    o = rows.select("point_id", "fid").join(blocks, "point_id").withColumn("_b", F.pmod(F.xxhash64("fid"), F.col("_n")).cast("int"))
     left = o.select("point_id", "_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"), "fid")
     right = o.select("point_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), F.col("_b").alias("_o"), F.col("fid").alias("b"))
-    shared = left.join(right, ["point_id", "_b", "_o"]).filter("fid < b").groupBy(F.col("fid").alias("a"), "b").agg(F.count("*").alias("weight"))
+    return left.join(right, ["point_id", "_b", "_o"]).filter("fid < b").select(F.col("fid").alias("a"), "b")
+
+
+def overlap_candidates(observations: DataFrame, min_shared: int, block: int = 1000) -> DataFrame:
+    """observations(fid, point_id, distinct) -> (a, b): every pair that can share ``min_shared`` points, and few others.
+
+    Points are put in order of rarity.  Of a keyframe with n points all but the last ``min_shared`` - 1 are its
+    prefix; two keyframes that share enough points share one of both prefixes.  Points that very many keyframes
+    see stand last and are rarely in a prefix.  Keyframes with fewer points are out at once.
+    """
+    seen_by = observations.groupBy("point_id").agg(F.count("*").alias("_f"))
+    enough = observations.groupBy("fid").agg(F.count("*").alias("_s")).filter(F.col("_s") >= min_shared)
+    rarity = F.row_number().over(Window.partitionBy("fid").orderBy("_f", "point_id"))  # a keyframe's points
+    prefix = observations.join(enough, "fid").join(seen_by, "point_id").withColumn("_r", rarity).filter(F.col("_r") <= F.col("_s") - min_shared + 1)
+    return _met_at(prefix, block).distinct()
+
+
+def covisibility(observations: DataFrame, min_shared: int = 100, parents: DataFrame | None = None, loops: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """Keyframe pairs (lower id first) that share at least ``min_shared`` points, with parent and loop edges.
+
+    An overlap join: candidates by prefixes of rare points, then the exact count from the two keyframes' sets of
+    points, which are as large as what one image shows.
+    """
+    from ..session import cut
+
+    o = cut(observations.select("fid", "point_id").distinct(), "observed")
+    sets = o.groupBy("fid").agg(F.collect_list("point_id").alias("_p"))
+    pairs = overlap_candidates(o, max(1, min_shared), block)
+    both = pairs.join(sets.withColumnsRenamed({"fid": "a", "_p": "_pa"}), "a").join(sets.withColumnsRenamed({"fid": "b", "_p": "_pb"}), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("_pa", "_pb")).cast("long").alias("weight"))
     out = shared.filter(F.col("weight") >= min_shared).withColumn("kind", F.lit("shared"))
     for kind, edges in (("parent", parents), ("loop", loops)):
         if edges is not None:
@@ -177,19 +206,64 @@ def split_map_points(points: DataFrame, reference: DataFrame) -> tuple[DataFrame
     return good.join(ref, "point_id", "left_anti"), good.join(ref, "point_id", "left_semi")
 
 
+#: Views of a chunk tried in the first round of a loop closure, and how many times more in each further one.
+FIRST_VIEWS, MORE_VIEWS = 8, 8
+#: Points of a chunk that share one key of a join.
+HOT_POINTS = 100_000
+
+
+def _spread(points: DataFrame, views: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _salt: a chunk of more than ``most`` points is dealt by point over keys that each get its views."""
+    from ..session import cut
+
+    hot = points.groupBy("chunk_id").agg(F.ceil(F.count("*") / most).cast("int").alias("_keys")).filter("_keys > 1")
+    hot = cut(hot, "hot-chunks")
+    if not hot.limit(1).count():
+        return points.withColumn("_salt", F.lit(0)), views.withColumn("_salt", F.lit(0))
+    keys = F.coalesce("_keys", F.lit(1))
+    dealt = points.join(hot, "chunk_id", "left").withColumn("_salt", F.pmod(F.xxhash64("gaussian_id"), keys).cast("int")).drop("_keys")
+    return dealt, views.join(hot, "chunk_id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), keys - 1))).drop("_keys")
+
+
+def first_views(points: DataFrame, views: DataFrame, accepts: Column, most: int = HOT_POINTS) -> DataFrame:
+    """points(gaussian_id, chunk_id, ...), views(chunk_id, seq, ...) -> gaussian_id, seq: the first accepting view of the point's chunk.
+
+    Views of a chunk are tried in bands of growing size; a point that one accepts leaves before the next band, so
+    at most FIRST_VIEWS + MORE_VIEWS times the views it needed are tried.  Each round is written: the next starts
+    from the points that are left.
+    """
+    from ..session import cut
+    from .ranges import numbered_within
+
+    size = lambda b: FIRST_VIEWS * (MORE_VIEWS ** (b + 1) - 1) // (MORE_VIEWS - 1)
+    columns = points.columns
+    left, views = _spread(points, numbered_within(views, ["chunk_id"], ["seq"], "_place"), most)
+    views = cut(views, "banded-views")
+    last = views.agg(F.max("_place")).first()[0]
+    found, band = None, 0
+    while last is not None and (not band or size(band - 1) <= last):
+        tried = views.filter((F.col("_place") < size(band)) & (F.col("_place") >= (size(band - 1) if band else 0))).drop("_place")
+        met = left.join(tried, ["chunk_id", "_salt"]).groupBy(*columns, "_salt").agg(F.min(F.when(accepts, F.col("seq"))).alias("seq"))
+        met = cut(met, "loop-band")
+        hits = met.filter("seq is not null").select("gaussian_id", "seq")
+        found = hits if found is None else found.unionByName(hits)
+        left, band = met.filter("seq is null").drop("seq"), band + 1
+    return found if found is not None else points.limit(0).join(views.select("chunk_id", "seq"), "chunk_id").select("gaussian_id", "seq")
+
+
 def apply_loop_closure(points: DataFrame, keyframes: DataFrame, seen: DataFrame, recent: int, size: float, scale: float = 1.0, rot_th: float = 0.05, trans_th: float = 0.1) -> DataFrame:
     """Each point is moved once, by the first divergent keyframe in order that sees it and for which it is recent.
 
-    keyframes(fid, seq unique, creation_iter, old pose, new pose n_*), seen(fid, chunk_id); a point meets the
-    keyframes of its chunk only.  Rotations are worked out once a keyframe; a pair carries the four numbers of
-    its depth test, the first keyframe is a min of one long, and its move is joined to the points at the end.
+    points(gaussian_id unique), keyframes(fid, seq unique, creation_iter, old pose, new pose n_*), seen(fid, chunk_id);
+    a point meets the keyframes of its chunk only, in bands (see ``first_views``).  Rotations are worked out once a
+    keyframe; a view carries the four numbers of its depth test, and its move is joined to the points at the end.
     """
     kf = keyframes.filter(G.pose_divergent(G.pose_of(), G.pose_of("n_"), rot_th, trans_th))
     depth = [*G.quat_to_matrix(G.rotation_of(G.pose_of()))[6:], F.col("tz")]
     views = kf.select("fid", "seq", "creation_iter", *[c.alias(f"_d{i}") for i, c in enumerate(depth)]).join(seen.select("fid", "chunk_id"), "fid").drop("fid")
-    met = points.select("gaussian_id", "x", "y", "z", "exist_since", "chunk_id").join(views, "chunk_id")
     in_front = F.col("_d0") * F.col("x") + F.col("_d1") * F.col("y") + F.col("_d2") * F.col("z") + F.col("_d3") > 0.2
-    first = met.filter((F.abs(F.col("exist_since") - F.col("creation_iter")) < recent) & in_front).groupBy("gaussian_id").agg(F.min("seq").alias("seq"))
+    accepts = (F.abs(F.col("exist_since") - F.col("creation_iter")) < recent) & in_front
+    first = first_views(points.select("gaussian_id", "x", "y", "z", "exist_since", "chunk_id"), views, accepts)
     # world move: new camera-to-world after old world-to-camera
     d = G.se3_mul(G.se3_inv(G.pose_of("n_")), G.pose_of())
     moves = kf.select("seq", F.col("fid").alias("moved_by"), *[v.alias("_m" + k) for k, v in d.items()])

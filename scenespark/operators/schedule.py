@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import MEDIAN_ROWS, affine_scan, exact_median, largest_group, meet, numbered, numbered_within, with_neighbours
+
 
 def every_n(df: DataFrame, column: str, n: int) -> DataFrame:
     """Rows at multiples of ``n``; none for 0."""
     return df.filter(F.col(column) % n == 0) if n else df.limit(0)
 
 
-def top_loss(keyframes: DataFrame, divisor: int = 4) -> DataFrame:
-    """Keyframes with the highest losses of each chunk: max(1, count div divisor) of them; ties to the smaller id."""
-    w = Window.partitionBy("chunk_id")
-    rank = F.row_number().over(w.orderBy(F.desc("loss"), "fid"))
-    return keyframes.withColumns({"_r": rank, "_n": F.count("*").over(w)}).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") / divisor))).drop("_r", "_n")
+def with_loss(keyframes: DataFrame, losses: DataFrame, default: float = 0.0) -> DataFrame:
+    """Keyframes with the loss of the table losses(fid, loss); one without a loss, or with a null one, has ``default``.
+
+    Of several losses of a keyframe the largest counts; a loss column of the keyframes is replaced.
+    """
+    known = losses.groupBy("fid").agg(F.max("loss").alias("_loss"))
+    return keyframes.drop("loss").join(known, "fid", "left").withColumn("loss", F.coalesce("_loss", F.lit(float(default)))).drop("_loss")
+
+
+def top_loss(keyframes: DataFrame, divisor: int = 4, losses: DataFrame | None = None) -> DataFrame:
+    """Keyframes with the highest losses of each chunk: max(1, count div divisor) of them; ties to the smaller id.
+
+    ``losses`` is looked up if given (see ``with_loss``).  Places come from ranges, so a chunk that holds most
+    keyframes is spread over all tasks.
+    """
+    if losses is not None:
+        keyframes = with_loss(keyframes, losses)
+    places = numbered_within(keyframes, ["chunk_id"], [F.desc("loss"), F.col("fid")], "_r", "_n")
+    return places.filter(F.col("_r") < F.greatest(F.lit(1), F.floor(F.col("_n") / divisor))).select(keyframes.columns)
 
 
-def refill_uses(keyframes: DataFrame, divisor: int = 4) -> DataFrame:
-    """Where no keyframe of a chunk has uses left, each gets one more, and the high-loss ones another."""
+def refill_uses(keyframes: DataFrame, divisor: int = 4, losses: DataFrame | None = None) -> DataFrame:
+    """Where no keyframe of a chunk has uses left, each gets one more, and the high-loss ones another; losses as in ``top_loss``."""
     left = keyframes.groupBy("chunk_id").agg(F.max("remaining").alias("_left"))
-    high = top_loss(keyframes, divisor).select("fid", F.lit(1).alias("_high"))
+    high = top_loss(keyframes, divisor, losses).select("fid", F.lit(1).alias("_high"))
     both = keyframes.join(left, "chunk_id").join(high, "fid", "left")
     more = F.when(F.col("_left") <= 0, 1 + F.coalesce("_high", F.lit(0))).otherwise(0)
     return both.withColumn("remaining", F.col("remaining") + more).drop("_left", "_high")
@@ -41,8 +56,8 @@ def recent_distinct(log: DataFrame, key: str, t: str, k: int) -> DataFrame:
 
 
 def last_n(df: DataFrame, run: str, t: str, key: str, n: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(run).orderBy(F.desc(t), F.desc(key)))
-    return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+    """The last n rows of each run; a run's rows are numbered from its end over ranges."""
+    return numbered_within(df, [run], [F.desc(t), F.desc(key)], "_r").filter(F.col("_r") < n).select(df.columns)
 
 
 def top_k(df: DataFrame, column: str, k: int, key: str) -> DataFrame:
@@ -56,9 +71,7 @@ def nearest_n(df: DataFrame, point: tuple[float, float, float], n: int, key: str
 
 def frame_order(df: DataFrame, path: str = "path") -> DataFrame:
     """Frame index by name, from 0."""
-    from .chunks import assign_ids
-
-    return assign_ids(df, [path], 0, "frame_index")
+    return numbered(df, [path], "frame_index")
 
 
 def oldest_first(chunks: DataFrame) -> DataFrame:
@@ -66,19 +79,15 @@ def oldest_first(chunks: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.4) -> DataFrame:
-    """Exponential moving average of each run, from 0: out = alpha x + (1 - alpha) out; a null value leaves it as it is."""
-    from .scans import scan_runs
-
-    def smooth(now: float, batch: pa.RecordBatch):
-        out = []
-        for x in batch.column(value).to_pylist():
-            if x is not None:
-                now = alpha * x + (1 - alpha) * now
-            out.append(now)
-        return now, pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "ema"])
+    """Exponential moving average of each run, from 0: out = alpha x + (1 - alpha) out; a null value leaves it as it is.
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(run, order, value).schema)
-    return scan_runs(df.select(run, order, value), run, [order], float, smooth, f"{schema}, ema double")
+    A step is an affine map, and maps compose: a run is scanned by all tasks, without Python.  Rows of a run that
+    agree in ``order`` come by value.
+    """
+    known = F.col(value).isNotNull()
+    rows = numbered_within(df.select(run, order, value), [run], [order, value], "_n")
+    a, b = F.when(known, 1 - alpha).otherwise(1.0), F.when(known, alpha * F.col(value)).otherwise(0.0)
+    return affine_scan(rows, [run], "_n", a, b, "ema").drop("_n")
 
 
 def ema_window(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.4, horizon: int = 80) -> DataFrame:
@@ -95,8 +104,8 @@ def pyramid_level(use_no: Column, levels: int, budget: int) -> Column:
 
 
 def pyramid_schedule(log: DataFrame, levels: int, budget: int, key: str = "fid", t: str = "t") -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(key).orderBy(t))
-    return log.withColumn("level", pyramid_level(n, levels, budget))
+    uses = numbered_within(log, [key], [t], "_n")
+    return uses.withColumn("level", pyramid_level(F.col("_n") + 1, levels, budget)).drop("_n")
 
 
 def used_counts(log: DataFrame, key: str = "fid") -> DataFrame:
@@ -104,10 +113,16 @@ def used_counts(log: DataFrame, key: str = "fid") -> DataFrame:
 
 
 def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """A row a metric: mean, population deviation, min, max, exact median."""
+    """A row a metric: mean, population deviation, min, max, exact median (in bounded memory, see ``exact_median``)."""
     long = df.select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
-    v = F.col("value")
-    return long.groupBy("metric").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"))
+    return summarised(long, ["metric"], "value", [F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")])
+
+
+def summarised(df: DataFrame, by: list[str], value: str, aggregates: list[Column]) -> DataFrame:
+    """``aggregates`` and the median of each group: in one aggregate where the largest group is small, else by nested histograms."""
+    if largest_group(df, by) <= MEDIAN_ROWS:
+        return df.groupBy(*by).agg(*aggregates, F.median(value).alias("median"))
+    return meet(df.groupBy(*by).agg(*aggregates), exact_median(df, by, value, MEDIAN_ROWS), by, "left")
 
 
 def render_fps(df: DataFrame, run: str, ms: str) -> DataFrame:
@@ -117,8 +132,7 @@ def render_fps(df: DataFrame, run: str, ms: str) -> DataFrame:
 def tracking_fps(lines: DataFrame, run: str, line: str, seconds: str) -> DataFrame:
     """1 / mean of all but the last three lines; 0 for three lines or fewer, or a mean of 0."""
     ends = lines.groupBy(run).agg(F.count("*").alias("_n"))
-    rank = F.row_number().over(Window.partitionBy(run).orderBy(F.desc(line)))
-    kept = lines.withColumn("_r", rank).filter("_r > 3").groupBy(run).agg(F.avg(seconds).alias("_mean"))
+    kept = numbered_within(lines, [run], [F.desc(line)], "_r").filter("_r >= 3").groupBy(run).agg(F.avg(seconds).alias("_mean"))
     return ends.join(kept, run, "left").select(run, F.coalesce(F.try_divide(F.lit(1.0), F.col("_mean")), F.lit(0.0)).alias("tracking_fps"))
 
 
@@ -128,8 +142,9 @@ def timing_stats(df: DataFrame, name: str, ms: str) -> DataFrame:
 
 def training_rate(df: DataFrame, run: str, iteration: str, seconds: str) -> DataFrame:
     """Iterations a second since the snapshot before."""
-    w = Window.partitionBy(run).orderBy(iteration)
-    return df.withColumn("rate", F.try_divide((F.col(iteration) - F.lag(iteration).over(w)).cast("double"), F.col(seconds) - F.lag(seconds).over(w)))
+    near = with_neighbours(df, [run], [iteration, seconds], [iteration, seconds])
+    rate = F.try_divide((F.col(iteration) - F.col(f"prev.{iteration}")).cast("double"), F.col(seconds) - F.col(f"prev.{seconds}"))
+    return near.withColumn("rate", rate).drop("prev", "next")
 
 
 def training_schedule(keyframes: DataFrame, seed: int, divisor: int = 4) -> DataFrame:

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut
+from .ranges import with_neighbours
+from .schedule import summarised
 
 
 def frame_interval(df: DataFrame, run: str, t: str) -> DataFrame:
-    """Seconds to the next frame of the run; the last frame takes the interval before it."""
-    w = Window.partitionBy(run).orderBy(t)
-    return df.withColumn("interval", F.coalesce(F.lead(t).over(w) - F.col(t), F.col(t) - F.lag(t).over(w)))
+    """Seconds to the next frame of the run; the last frame takes the interval before it.  Neighbours are met over ranges."""
+    near = with_neighbours(df, [run], [t], [t])
+    return near.withColumn("interval", F.coalesce(F.col(f"next.{t}") - F.col(t), F.col(t) - F.col(f"prev.{t}"))).drop("prev", "next")
 
 
 def relative_motion(poses: DataFrame, run: str = "run_id", t: str = "t", key: str = "frame_id") -> DataFrame:
-    """Angle and distance from the pose before."""
+    """Angle and distance from the pose before, which is met over ranges."""
     names = ["qw", "qx", "qy", "qz", "tx", "ty", "tz"]
-    w = Window.partitionBy(run).orderBy(t, key)
-    both = poses.select(run, key, t, *names, *[F.lag(c).over(w).alias("p_" + c) for c in names]).filter("p_qw is not null")
+    near = with_neighbours(poses.select(run, key, t, *names), [run], [t, key], names).filter("prev.qw is not null")
+    both = near.select(run, key, *names, *[F.col(f"prev.{c}").alias("p_" + c) for c in names])
     d = G.se3_mul(G.se3_inv(G.pose_of("p_")), G.pose_of())
     return both.select(run, key, G.rotation_angle(G.rotation_of(d)).alias("angle"), G.norm3(d["tx"], d["ty"], d["tz"]).alias("distance"))
 
@@ -77,9 +80,11 @@ def align(pairs: DataFrame, similarity: DataFrame, run: str = "run_id") -> DataF
     return both.withColumns(moved).select(pairs.columns)
 
 
-def _summary(value: str) -> list:
-    v = F.col(value)
-    return [F.sqrt(F.avg(v * v)).alias("rmse"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * v).alias("sse")]
+def _summary(errors: DataFrame, run: str) -> DataFrame:
+    """Errors of each run summed up; they are written once, since a large run's median takes several passes."""
+    v = F.col("error")
+    sums = [F.sqrt(F.avg(v * v)).alias("rmse"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * v).alias("sse")]
+    return summarised(cut(errors, "pose-errors"), [run], "error", sums)
 
 
 def ape(pairs: DataFrame, relation: str = "translation", align_to: str | None = None, run: str = "run_id") -> DataFrame:
@@ -89,8 +94,8 @@ def ape(pairs: DataFrame, relation: str = "translation", align_to: str | None =
     """
     if relation == "rotation":
         q = G.quat_mul(G.quat_conj(G.Fields({a: F.col(f"rq{a}") for a in "wxyz"})), G.Fields({a: F.col(f"eq{a}") for a in "wxyz"}))
-        return pairs.select(run, G.rotation_distance(q).alias("error")).groupBy(run).agg(*_summary("error"))
+        return _summary(pairs.select(run, G.rotation_distance(q).alias("error")), run)
     if align_to:
         pairs = align(pairs, umeyama(pairs, align_to == "similarity", run), run)
     error = G.norm3(*[F.col(f"e{a}") - F.col(f"r{a}") for a in "xyz"])
-    return pairs.select(run, error.alias("error")).groupBy(run).agg(*_summary("error"))
+    return _summary(pairs.select(run, error.alias("error")), run)

@@ -13,6 +13,7 @@ from ..functions import geometry as G
 from ..operators import reports as R
 from ..operators import schedule
 from ..operators.chunks import chunk_counts
+from ..operators.ranges import numbered_within
 from ..session import new_path
 from ..sources import readers, writers
 from .fixtures import fixture, r6, tables
@@ -42,6 +43,22 @@ def s2(spark, sf_dir):
     return back.select(*[r(F.col(c), c) for c in ("tx", "ty", "tz")], *[r(F.abs(c), c) for c in ("qw", "qz")])
 
 
+@query("s2_kitti_sequences", tables("SELECT run_id, count(*) AS n, count(DISTINCT line) AS lines, " + r6("sum(2e-1 * line + run_id)") + " AS sum_ts FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY t, frame_id) - 1 AS line FROM {poses}) GROUP BY run_id"))
+def s2_sequences(spark, sf_dir):
+    """Each run a sequence of its own, poses in a file of its name and times in a folder of its name."""
+    path = new_path(spark, "kitti-sequences")
+    rows = numbered_within(_poses(spark, sf_dir).select("run_id", "ts", "frame_id"), ["run_id"], ["ts", "frame_id"], "line")
+    line = F.concat(F.lit("1 0 0 "), F.col("line").cast("string"), F.lit(" 0 1 0 0 0 0 1 0"))
+    time = F.format_string("%.6f", 0.2 * F.col("line") + F.col("run_id"))
+    for name, value in (("poses", line), ("times", time)):
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", value.alias("v")))), lambda x: x["v"]), "\n")
+        files = rows.groupBy("run_id").agg(text.cast("binary").alias("content"))
+        run = F.col("run_id").cast("string")
+        writers.write_files(files.select((F.concat(F.lit("poses/"), run, F.lit(".txt")) if name == "poses" else F.concat(F.lit("sequences/"), run, F.lit("/times.txt"))).alias("name"), "content"), path)
+    back = readers.read_kitti(spark, f"{path}/poses", readers.read_times(spark, f"{path}/sequences/*/times.txt"))
+    return back.groupBy(F.col("sequence").cast("long").alias("run_id")).agg(F.count("*").alias("n"), F.countDistinct("tx").alias("lines"), r(F.sum("ts"), "sum_ts"))
+
+
 _C, _S = "(1 - 2 * qz * qz)", "(2 * qw * qz)"
 
 

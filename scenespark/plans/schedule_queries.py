@@ -29,6 +29,27 @@ def w3(spark, sf_dir):
     return S.refill_uses(kf(spark, sf_dir)).select("fid", "remaining")
 
 
+# two measurements of a loss, none for every fifth keyframe
+_LOSSES = "(SELECT fid, CASE WHEN fid % 5 = 0 THEN 0e0 ELSE loss + 2e-1 END AS loss FROM {keyframes})"
+_LOOKED_UP = f"(SELECT c.fid, c.chunk_id, remaining, row_number() OVER (PARTITION BY c.chunk_id ORDER BY l.loss DESC, c.fid) AS n, greatest(1, count(*) OVER (PARTITION BY c.chunk_id) // 4) AS k, max(remaining) OVER (PARTITION BY c.chunk_id) AS most FROM {{kf_chunked}} c JOIN {_LOSSES} l ON l.fid = c.fid)"
+
+
+def _losses(spark, sf_dir):
+    """A loss table of its own: measured more than once, missing for every fifth keyframe."""
+    keyframes = fixture(spark, sf_dir, "keyframes")
+    return keyframes.filter("fid % 5 <> 0").select("fid", F.explode(F.array(F.col("loss"), F.col("loss") + 0.1, F.col("loss") + 0.2, F.lit(None))).alias("loss"))
+
+
+@query("j17_refilled_by_lookup", tables(f"SELECT fid, remaining + CASE WHEN most <= 0 THEN 1 + CASE WHEN n <= k THEN 1 ELSE 0 END ELSE 0 END AS remaining FROM {_LOOKED_UP}"))
+def j17(spark, sf_dir):
+    return S.refill_uses(kf(spark, sf_dir).drop("loss"), losses=_losses(spark, sf_dir)).select("fid", "remaining")
+
+
+@query("j17_top_by_lookup", tables(f"SELECT fid, chunk_id FROM {_LOOKED_UP} WHERE n <= k"))
+def j17_top(spark, sf_dir):
+    return S.top_loss(kf(spark, sf_dir).drop("loss"), losses=_losses(spark, sf_dir)).select("fid", "chunk_id")
+
+
 @query("w4_weighted_pick")
 def w4(spark, sf_dir):
     return S.weighted_pick(kf(spark, sf_dir), 42)

@@ -40,17 +40,30 @@ def _pose_columns(rotation: list[Column], t: list[Column]) -> list[Column]:
     return [*[c.alias(f"t{a}") for c, a in zip(t, "xyz", strict=True)], *[q[a].alias(f"q{a}") for a in "xyzw"]]
 
 
+def sequence_of(path: Column) -> Column:
+    """Name of the sequence that a file belongs to: its folder for a file called times, else the file's own name without ending."""
+    name = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return F.when(name == "times", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).otherwise(name)
+
+
 def read_kitti(spark: SparkSession, poses: str, times: DataFrame | None = None) -> DataFrame:
-    """Twelve numbers a line (3 x 4, row by row); the line number finds the time in times(line, ts), else is the time."""
+    """Twelve numbers a line (3 x 4, row by row) of one or more sequences.
+
+    times(sequence, line, ts) gives each pose the time of its line in its own sequence, times(line, ts) that of one
+    sequence; a pose whose line has no time is dropped.  Without times the line number is the time.
+    """
     m = _numbers(numbered_lines(spark, poses), 12)
     at = lambda i: F.get("m", F.lit(i))
-    out = m.select("path", "line", *_pose_columns([at(i) for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)], [at(3), at(7), at(11)]))
-    return out.join(times.select("line", "ts"), "line") if times is not None else out.withColumn("ts", F.col("line").cast("double"))
+    out = m.select("path", "line", sequence_of(F.col("path")).alias("sequence"), *_pose_columns([at(i) for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)], [at(3), at(7), at(11)]))
+    if times is None:
+        return out.withColumn("ts", F.col("line").cast("double"))
+    keys = [k for k in ("sequence", "line") if k in times.columns]
+    return out.join(times.select(*keys, "ts"), keys)
 
 
 def read_times(spark: SparkSession, path: str) -> DataFrame:
-    """One number a line -> line, ts."""
-    return numbered_lines(spark, path).select("line", F.trim("value").cast("double").alias("ts"))
+    """One number a line -> sequence, line, ts; files are named by their sequence, or ``times`` in a folder of its name."""
+    return numbered_lines(spark, path).select(sequence_of(F.col("path")).alias("sequence"), "line", F.trim("value").cast("double").alias("ts"))
 
 
 def read_replica(spark: SparkSession, path: str) -> DataFrame:

@@ -142,12 +142,14 @@ def write_points_text(points: DataFrame, path: str) -> int:
 
 
 def write_used_times(rows: DataFrame, iteration: int, path: str) -> None:
-    """Appends a section: a header line with the iteration, then ``kfid used remaining`` in order; a file a range, each with its header."""
-    sorted_rows = rows.select("kfid", "used", "remaining").repartitionByRange("kfid").sortWithinPartitions("kfid").withColumn("part", F.spark_partition_id())
-    body = sorted_rows.select("part", F.lit(1).alias("kind"), "kfid", F.concat_ws(" ", "kfid", "used", "remaining").alias("value"))
-    heads = sorted_rows.select("part").distinct().select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("kfid"), F.lit(f"## Iteration {iteration}").alias("value"))
-    lines = heads.unionByName(body).repartition("part").sortWithinPartitions("part", "kind", "kfid")
-    lines.select("value").write.mode("append").text(path)
+    """Appends a section: a header line with the iteration, then ``kfid used remaining`` in order; a file a range, each with its header.
+
+    The first row of a range writes the header with its own line, so no file can miss it.
+    """
+    lines = rows.repartitionByRange("kfid").sortWithinPartitions("kfid").withColumn("_at", F.monotonically_increasing_id())  # low 33 bits: row of the range
+    line = F.concat_ws(" ", "kfid", "used", "remaining")
+    head = F.when(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.concat(F.lit(f"## Iteration {iteration}\n"), line)).otherwise(line)
+    lines.select(head.alias("value")).write.mode("append").text(path)
 
 
 def write_run_scalars(scalars: DataFrame, path: str) -> None:
