@@ -70,8 +70,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(UNIT (count + PRIOR) / (total + PRIOR kept)), exactly; null where no term is kept."""
     whole = lambda c, digits: c.cast(f"decimal({digits},0)")
-    above = whole(count + PRIOR, 20) * whole(F.lit(UNIT), 10)
-    below = whole(total + kept * PRIOR, 20)
+    above = whole(count.cast("long") + PRIOR, 20) * whole(F.lit(UNIT), 10)
+    below = whole(total.cast("long") + kept.cast("long") * PRIOR, 20)
     return F.when(kept > 0, 1 + F.floor((above - above % below) / below).cast("long"))
 
 
@@ -97,7 +97,7 @@ def _distances(rows: pa.Table, groups: pa.Table) -> pa.Table:
                 sums[a] += np.abs(shares - shares[:, a : a + 1]).sum(axis=0)
     a, b = np.triu_indices(len(names), 1)
     lang = groups.column("lang")[0].as_py()
-    return pa.table({"lang": [lang] * len(a), "a": pa.array([names[i] for i in a], pa.string()), "b": pa.array([names[i] for i in b], pa.string()), "part": pa.array(sums[a, b], pa.int64())})
+    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array([names[i] for i in a], pa.string()), "b": pa.array([names[i] for i in b], pa.string()), "part": pa.array(sums[a, b], pa.int64())})
 
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TERM_RANKS) -> DataFrame:

@@ -29,14 +29,14 @@ LEAST_ROWS = 50
 UNIT, BUCKETS = 1000, 32
 #: Transformed statistics and the deviation that is always allowed; a statistic that hardly varies in a group decides nothing below it.
 VECTOR = {
-    "word_length": (F.log(F.col("word_chars") / F.col("n_words")), 0.05),
-    "symbols": (F.sqrt(F.col("n_symbols") / F.col("word_chars")), 0.04),
-    "capitals": (F.sqrt(F.col("n_capitals") / F.col("word_chars")), 0.04),
-    "digits": (F.sqrt(F.col("n_digits") / F.col("word_chars")), 0.15),
-    "marks": (F.sqrt(F.col("n_marks") / F.col("n_words")), 0.15),
-    "twice": (F.sqrt(F.col("n_twice") / F.col("n_words")), 0.08),
-    "repeated": (F.sqrt(F.col("n_repeat_words") / F.col("n_words")), 0.2),
-    "lines": (F.sqrt(F.col("n_dup_lines") / F.col("n_lines")), 0.2),
+    "word_length": ("ln(try_divide(word_chars, n_words))", 0.05),
+    "symbols": ("sqrt(try_divide(n_symbols, word_chars))", 0.04),
+    "capitals": ("sqrt(try_divide(n_capitals, word_chars))", 0.04),
+    "digits": ("sqrt(try_divide(n_digits, word_chars))", 0.15),
+    "marks": ("sqrt(try_divide(n_marks, n_words))", 0.15),
+    "twice": ("sqrt(try_divide(n_twice, n_words))", 0.08),
+    "repeated": ("sqrt(try_divide(n_repeat_words, n_words))", 0.2),
+    "lines": ("sqrt(try_divide(n_dup_lines, n_lines))", 0.2),
 }
 X = [f"x{i}" for i in range(len(VECTOR))]
 CELLS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
@@ -142,7 +142,7 @@ def _distance() -> Column:
     """Squared Mahalanobis distance of x0.. from m under w."""
     v = [F.col(x) - F.get("m", F.lit(i)) for i, x in enumerate(X)]
     total = sum((v[i] * v[j] * F.get("w", F.lit(i * len(X) + j)) * (1 if i == j else 2) for i, j in CELLS), F.lit(0.0))
-    return F.greatest(total, F.lit(0.0))
+    return F.when(total < 0, 0.0).otherwise(total)  # null without an estimate
 
 
 def _middles(counts: DataFrame) -> DataFrame:
@@ -179,7 +179,8 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
             near, share = far.filter(F.col("_d") <= chi_square_quantile(NEAR, len(X))), NEAR
         near = _sent(middle, near, ["pool"])
         v = [F.col(x) - F.get("c", F.lit(i)) for i, x in enumerate(X)]
-        sums = near.groupBy("pool").agg(F.count("*").alias("n"), F.max("c").alias("c"), *[F.sum(v[i]).alias(f"s_{i}") for i in range(len(X))], *[F.sum(v[i] * v[j]).alias(f"q_{i}_{j}") for i, j in CELLS])
+        sums = near.groupBy("pool").agg(F.count("*").alias("n"), *[F.sum(v[i]).alias(f"s_{i}") for i in range(len(X))], *[F.sum(v[i] * v[j]).alias(f"q_{i}_{j}") for i, j in CELLS])
+        sums = _sent(middle, sums, ["pool"])
         mean = [F.col(f"s_{i}") / F.col("n") for i in range(len(X))]
         covariance = {(i, j): F.col(f"q_{i}_{j}") / F.col("n") - mean[i] * mean[j] for i, j in CELLS}
         found = _estimate(sums, [F.get("c", F.lit(i)) + mean[i] for i in range(len(X))], covariance, share)
@@ -201,7 +202,7 @@ def screen(docs: DataFrame, least_rows: int = LEAST_ROWS, keep: float = KEEP, st
     empty result; further columns are left behind.
     """
     stats = cut(with_statistics(docs), "text-statistics")
-    vector = [F.round(value * UNIT).cast("long").alias(x) for x, (value, _) in zip(X, VECTOR.values(), strict=True)]
+    vector = [F.round(F.expr(value) * UNIT).cast("long").alias(x) for x, (value, _) in zip(X, VECTOR.values(), strict=True)]
     fit = stats.filter(~F.col("base_failed")).select("lang", "source", *vector)
     groups = cut(fit.groupBy("lang", "source").agg(F.count("*").alias("n")), "mcd-groups")
     langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
