@@ -154,7 +154,7 @@ def training_schedule(keyframes: DataFrame, seed: int, divisor: int = 4) -> Data
     return full.join(pick, "chunk_id").withColumn("remaining", F.col("remaining") - F.when((F.col("fid") == F.col("picked")) & (F.col("remaining") > 0), 1).otherwise(0))
 
 
-def sample_by_probability(df: DataFrame, p: Column, penalty: Column, k: float, key: list[str], seed: int = 0) -> DataFrame:
-    """Rows kept where a uniform below k (p - penalty); the uniform is a hash of the key and seed, so reruns agree."""
-    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+def sample_by_probability(df: DataFrame, p: Column, penalty: Column, k: float, key: list[str], seed: int = 0, uniform: Column | None = None) -> DataFrame:
+    """Rows kept where a uniform below k (p - penalty); the uniform is a hash of the key and seed unless given, so reruns agree."""
+    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) if uniform is None else uniform
     return df.filter(u < k * (p - penalty))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.geometry import with_chunk_id
 from ..operators import chunks as C
 from ..operators import images as I
 from ..operators import lifecycle as L
+from ..session import new_path
+from ..sources.store import SceneStore
 from .fixtures import fixture, tables
 from .geometry_queries import SIZE, chunked
 from .join_queries import _SEEN, seen
@@ -63,6 +66,22 @@ def u5(spark, sf_dir):
     return C.plan_load(m.filter(_ASK), m, 200)
 
 
+_MOVED = "(SELECT gaussian_id, (CAST(floor((x + 3 + 5) / 10) AS BIGINT) + 1048576) * 4398046511104 + (cy + 1048576) * 2097152 + (cz + 1048576) AS chunk_id, opacity FROM {chunked} WHERE opacity > 3e-1)"
+
+
+@query("u6_written_back", tables(f"SELECT chunk_id, count(*) AS n_points, count(DISTINCT gaussian_id) AS n_ids, CAST(sum(gaussian_id) AS BIGINT) AS sum_ids FROM {_MOVED} GROUP BY chunk_id"))
+def u6_written(spark, sf_dir):
+    """Points of a stored map moved to their chunks, then the faint ones deleted, and the map read again."""
+    store = SceneStore(spark, new_path(spark, "scene"))
+    points = chunked(spark, sf_dir).select("gaussian_id", "chunk_id", "x", "y", "z", "opacity")
+    store.create(points)
+    store.apply(with_chunk_id(store.points().drop("chunk_id").withColumn("x", F.col("x") + 3), SIZE))
+    store.apply(C.delete_where(store.points(), F.col("opacity") <= 0.3))
+    back = store.points()
+    counts = back.groupBy("chunk_id").agg(F.countDistinct("gaussian_id").alias("n_ids"), F.sum("gaussian_id").alias("sum_ids"))
+    return counts.join(store.manifest().select("chunk_id", "n_points"), "chunk_id", "full").select("chunk_id", "n_points", "n_ids", "sum_ids")
+
+
 @query("u6_redistributed", tables("SELECT gaussian_id, old_chunk_id, chunk_id FROM (SELECT c.gaussian_id, c.chunk_id AS old_chunk_id, (CAST(floor((x + 3 + 5) / 10) AS BIGINT) + 1048576) * 4398046511104 + (cy + 1048576) * 2097152 + (cz + 1048576) AS chunk_id FROM {chunked} c) WHERE chunk_id <> old_chunk_id"))
 def u6(spark, sf_dir):
     moved = chunked(spark, sf_dir).withColumn("x", F.col("x") + 3)

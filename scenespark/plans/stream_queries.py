@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import reports as R
 from ..session import new_path
 from ..sources import readers
+from ..sources.store import FoldedTable
 from ..streaming import frames as S
 from .fixtures import fixture, r6, tables
 from .geometry_queries import SIZE, r
@@ -52,6 +53,19 @@ def drained(stream: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def in_files(df: DataFrame, turn) -> DataFrame:
+    """A stream over the rows of a table in three batches, those of turn 0 first."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "stream-files")
+    for i in range(3):
+        df.filter(turn == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained_into(writer) -> None:
+    """Runs a writer until all that is there has been taken in."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def timed(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long"))).drop("t")
 
@@ -72,13 +86,17 @@ def t4(spark, sf_dir):
 
 @query("t5_stream_stops", tables("SELECT run_id, count(*) AS frames FROM (SELECT run_id, sum(CASE WHEN gap IS NULL OR gap > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY t) AS session FROM (SELECT run_id, t, t - lag(t) OVER (PARTITION BY run_id ORDER BY t) AS gap FROM {poses})) GROUP BY run_id, session"))
 def t5(spark, sf_dir):
-    frames = fixture(spark, sf_dir, "poses").select("run_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("event_time"))
-    return S.stream_stop(frames, "run_id", "20000 seconds").select("run_id", "frames")
+    frames = as_stream(timed(fixture(spark, sf_dir, "poses").select("run_id", "t")), {"run_id": -1})
+    return drained(S.stream_stop(frames, "run_id", "20000 seconds"), "stops").select("run_id", "frames")
 
 
 @query("t6_latest_frame", tables("SELECT run_id, max_by(frame_id, t) AS frame_id FROM {poses} GROUP BY run_id"))
 def t6(spark, sf_dir):
-    return S.latest_frame(fixture(spark, sf_dir, "poses"), "run_id", "t", "frame_id").select("run_id", "frame_id")
+    frames = fixture(spark, sf_dir, "poses").select("run_id", "t", "frame_id")
+    latest = FoldedTable(spark, new_path(spark, "latest"))
+    latest.create(frames.limit(0))
+    drained_into(S.latest_frame_stream(in_files(frames, F.col("frame_id") % 3), latest, new_path(spark, "latest-state"), "run_id", "t", "frame_id"))
+    return latest.read().select("run_id", "frame_id")
 
 
 @query("t7_applied_operations", tables(f"SELECT fid, {r6('max_by(tx, op_id)')} AS tx FROM {{operations}} WHERE op_type = 'LoopClosingBA' GROUP BY fid"))
@@ -86,9 +104,28 @@ def t7(spark, sf_dir):
     return S.apply_operations(fixture(spark, sf_dir, "keyframes"), fixture(spark, sf_dir, "operations")).select("fid", r(F.col("tx"), "tx"))
 
 
+@query("t7_operation_stream", tables(f"SELECT fid, {r6('max_by(tx, op_id)')} AS tx FROM {{operations}} WHERE op_type <> 'ScaleRefinement' GROUP BY fid"))
+def t7_stream(spark, sf_dir):
+    """The feed in three batches, one after the other, merged into a table of keyframes."""
+    keyframes = FoldedTable(spark, new_path(spark, "keyframes"))
+    keyframes.create(fixture(spark, sf_dir, "keyframes").select("fid", *S.POSE))
+    operations = fixture(spark, sf_dir, "operations")
+    drained_into(S.operations_stream(in_files(operations, F.col("op_id") - 3 * F.col("fid")), keyframes, new_path(spark, "operations-state")))
+    return keyframes.read().select("fid", r(F.col("tx"), "tx"))
+
+
+@query("t1_admitted_stream", tables("SELECT frame_id FROM (SELECT frame_id, row_number() OVER (PARTITION BY run_id, frame_id % 3 ORDER BY frame_id) AS n FROM {poses}) WHERE n <= 20"))
+def t1_stream(spark, sf_dir):
+    """Admission batch after batch: twenty frames of each run in each of three batches."""
+    path = new_path(spark, "admitted")
+    frames = in_files(fixture(spark, sf_dir, "poses").select("run_id", "frame_id"), F.col("frame_id") % 3)
+    drained_into(S.admitted_stream(frames, path, new_path(spark, "admitted-state"), "run_id", "frame_id", 20))
+    return spark.read.parquet(path).select("frame_id")
+
+
 @query("t8_snapshots", tables("SELECT kfid FROM {frame_metrics} WHERE kfid % 1000 = 0"))
 def t8(spark, sf_dir):
-    return S.snapshot_metrics(fixture(spark, sf_dir, "frame_metrics"), "kfid").select("kfid")
+    return drained(S.snapshot_metrics(in_files(fixture(spark, sf_dir, "frame_metrics").select("kfid"), F.col("kfid") % 3), "kfid"), "snapshots").select("kfid")
 
 
 @query("z5_keyframe_chunks", tables(f"SELECT run_id, frame_id, (CAST(floor((tx + 5) / 10) AS BIGINT) + 1048576) * 4398046511104 + (CAST(floor((ty + 5) / 10) AS BIGINT) + 1048576) * 2097152 + (CAST(floor((tz + 5) / 10) AS BIGINT) + 1048576) AS chunk_id FROM {_GATE}"))

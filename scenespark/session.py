@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,13 +25,46 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Tables written since the innermost ``scratch`` began; outside of one they stay until their user removes the folder.
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write a table to the shared folder and read it back: survives lost executors, ends the lineage."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a URI."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes the intermediate tables of its body at the end: write the result inside it, since plans made there read those tables."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def plain_path(uri: str) -> tuple[object, str]:
     """pyarrow file system and path of a URI or of a plain local path, for use inside tasks."""
     from pyarrow import fs

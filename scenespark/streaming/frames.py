@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import geometry as G
 from ..operators import joins as J
 from ..operators.scans import kept, scan_runs
+from ..sources.store import FoldedTable
 
 POSE = ["tx", "ty", "tz", "qw", "qx", "qy", "qz"]
 #: The gate's defaults: seconds, metres, radians.
@@ -151,6 +152,29 @@ def apply_operations(keyframes: DataFrame, batch: DataFrame) -> DataFrame:
     return J.apply_pose_updates(keyframes, ordered)
 
 
+def admitted_stream(frames: DataFrame, path: str, state: str, key: str, order: str, n: int = 20):
+    """Writes what ``admit`` lets through of each batch below ``path``, a folder a batch; a repeated batch overwrites its own.  Gives a writer to start."""
+    return frames.writeStream.option("checkpointLocation", state).foreachBatch(lambda batch, i: admit(batch, key, order, n).write.mode("overwrite").parquet(f"{path}/batch={i}"))
+
+
+def operations_stream(operations: DataFrame, keyframes: FoldedTable, state: str):
+    """Applies a feed of pose updates to the table of keyframes batch after batch, each once.  Gives a writer to start."""
+
+    def fold(table: DataFrame, batch: DataFrame) -> DataFrame:
+        return apply_operations(table, batch).drop("state")
+
+    return operations.writeStream.option("checkpointLocation", state).foreachBatch(lambda batch, i: keyframes.merge(batch, i, fold) and None)
+
+
+def latest_frame_stream(frames: DataFrame, latest: FoldedTable, state: str, key: str, order: str, value: str):
+    """Keeps the last value of each key in a table, batch after batch, each once.  Gives a writer to start."""
+
+    def fold(table: DataFrame, batch: DataFrame) -> DataFrame:
+        return latest_frame(table.unionByName(batch.select(table.columns)), key, order, value)
+
+    return frames.writeStream.option("checkpointLocation", state).foreachBatch(lambda batch, i: latest.merge(batch, i, fold) and None)
+
+
 def snapshot_metrics(df: DataFrame, iteration: str, n: int = 1000) -> DataFrame:
     from ..operators.schedule import every_n
 
