@@ -24,10 +24,10 @@ from .common import cut, table, tokenizer_path
 from .tokens import encoder, slices
 
 CAPACITY = 2048
-#: Lower ends of the size classes as shares of the capacity, and rounds a class takes at most.
-CLASSES, ROUNDS = (1 / 2, 1 / 3, 1 / 6, 1 / 20, 0), 12
-#: Rows that one range holds at most, and at least where there are more ranges than one.
-RANGE_ROWS, LEAST_ROWS = 100_000, 2_000
+#: Lower ends of the size classes as shares of the capacity.
+CLASSES = (1 / 2, 1 / 3, 1 / 6, 1 / 20, 0)
+#: Rows of one range, about; the rows alone decide how many ranges there are, whatever the cluster.
+RANGE_ROWS = 100_000
 GAP, PIECE, PLACED, SUMMARY = 0, 1, 2, 3
 #: GAP: seq, size left, rank among the gaps that later ranges may take (else -1).  PIECE: id, size, rank.
 #: PLACED: id, seq, offset.  SUMMARY: pieces left, gaps that later ranges may take, smallest piece, largest gap, placed.
@@ -119,9 +119,8 @@ def _between_ranges(left: list[tuple[int, int, int]]) -> list[tuple[int, int, in
     return out
 
 
-def n_ranges(spark, rows: int) -> int:
-    """As many as the session has cores, more if they would hold too many rows, fewer if too few."""
-    return max(1, -(-rows // RANGE_ROWS), min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS))
+def n_ranges(rows: int) -> int:
+    return max(1, -(-rows // RANGE_ROWS))
 
 
 def _ranges(df: DataFrame, ranges: int) -> DataFrame:
@@ -164,7 +163,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Sequences are named by the piece that opened them; offsets are gapless from 0 and no sequence holds
     more than ``capacity``.  Ties of size go by id.  An empty table gives an empty result.
     """
-    spark = pieces.sparkSession
     lower = [int(capacity * share) for share in CLASSES]
     which = F.size(F.filter(F.array(*map(F.lit, lower)), lambda x: x >= F.col("size")))
     counts = {r["class"]: r["count"] for r in pieces.groupBy(which.alias("class")).count().collect()}  # a row a class
@@ -175,16 +173,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     held = counts.get(0, 0)
     for level in range(1, len(lower)):
         todo, n = pieces.filter(which == level).select("id", "size"), counts.get(level, 0)
-        for _ in range(ROUNDS if n else 0):
-            ranges = n_ranges(spark, n + held)
-            placed, todo, gaps, totals = _round(todo, gaps, ranges, capacity)
+        # gaps that hold no piece of the class are left out of its rounds
+        aside, gaps = gaps.filter(F.col("gap") <= lower[level]), gaps.filter(F.col("gap") > lower[level])
+        more = n > 0
+        while more:
+            placed, todo, gaps, totals = _round(todo, gaps, n_ranges(n + held), capacity)
             out, n = out.unionByName(placed), totals["left"] - totals["linked"]
-            # one range is swept to the end; several may still hold what another needs
-            if not n or totals["ranges"] <= 1 or not totals["linked"] + totals["placed"] or totals["smallest"] > totals["largest"]:
-                break
+            # one range is swept to the end; several may still hold what another needs, as long as a round places something
+            more = n > 0 and totals["ranges"] > 1 and totals["linked"] + totals["placed"] > 0 and totals["smallest"] <= totals["largest"]
+        gaps = gaps.unionByName(aside)
         if n:
             order = todo.withColumn("kind", F.lit(PIECE))
-            opened = cut(_ranges(order, n_ranges(spark, n)).mapInArrow(_fill(capacity), SWEPT), "pack-open")
+            opened = cut(_ranges(order, n_ranges(n)).mapInArrow(_fill(capacity), SWEPT), "pack-open")
             out = out.unionByName(opened.filter(F.col("kind") == PLACED).select("id", "seq", "offset"))
             gaps = gaps.unionByName(opened.filter(F.col("kind") == GAP).select("seq", F.col("size").alias("gap")))
             held += n

@@ -1,5 +1,6 @@
 """Edge cases and brute-force checks of the training-data operators on small tables."""
 
+import bisect
 import re
 import zlib
 
@@ -57,9 +58,18 @@ def test_packing_over_many_ranges(spark, monkeypatch):
     rng = np.random.default_rng(1)
     sizes = np.minimum(rng.geometric(0.004, 3000), 2048)
     pieces = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "id long, size int").repartition(4).cache()
-    one = packing.pack(pieces).agg({"seq": "max"}).count() and packing.pack(pieces).select("seq").distinct().count()
-    monkeypatch.setattr(packing, "LEAST_ROWS", 300)
-    assert packing.n_ranges(spark, 3000) > 1
+    one = packing.pack(pieces).select("seq").distinct().count()
+    gaps, opened = [], 0  # plain best fit, largest first
+    for size in sorted(map(int, sizes), reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        if at < len(gaps):
+            rest = gaps.pop(at) - size
+        else:
+            opened, rest = opened + 1, 2048 - size
+        bisect.insort(gaps, rest)
+    assert abs(one - opened) <= 0.01 * opened + 1
+    monkeypatch.setattr(packing, "RANGE_ROWS", 300)
+    assert packing.n_ranges(3000) > 1
     out = packing.pack(pieces).join(pieces, "id").toPandas()
     assert sorted(out.id) == list(range(3000))
     for _, g in out.sort_values("offset").groupby("seq"):
