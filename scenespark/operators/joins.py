@@ -86,45 +86,45 @@ def pair_renders(renders: DataFrame, truths: DataFrame) -> DataFrame:
     return renders.join(truths, ["iteration", "kfid", "suffix"])
 
 
-def closest_keyframes(keyframes: DataFrame, queries: DataFrame, n: int = 6, k: int = 6, cell: float = 10.0) -> DataFrame:
+def closest_keyframes(keyframes: DataFrame, queries: DataFrame, n: int = 6, k: int = 6, levels: int = 24) -> DataFrame:
     """For each query keyframe: of its nearest others by centre distance every k-th, filled to n by rank.
 
-    Candidates come from the 27 cells around the query; queries with fewer than n x k there ask again with
-    cells twice as large, until the cells hold everything.  Ties go to the smaller id.
+    Space is halved ``levels`` - 1 times and keyframes are counted in the cells of each level.  The smallest cell
+    around a query that holds enough of them bounds how far the last one can be: less than two of its edges, so
+    the 27 cells of the next larger size hold the answer.  Every query is answered by one join on cells of a size
+    that its surroundings choose.  Ties go to the smaller id.
     """
     if n <= 0:
         return queries.select("fid").limit(0).select("fid", F.lit(0).alias("pick"), F.col("fid").alias("neighbour"))
+    pairs = near_candidates(keyframes, queries, n * k, levels)
+    rank = F.row_number().over(Window.partitionBy("fid").orderBy("dist", "other"))
+    ranked = pairs.withColumn("rank", rank).filter(F.col("rank") <= n * k).withColumn("strided", (F.col("rank") - 1) % k == 0)
+    order = F.row_number().over(Window.partitionBy("fid").orderBy(F.when(F.col("strided"), 0).otherwise(1), "rank"))
+    return ranked.withColumn("pick", order).filter(F.col("pick") <= n).select("fid", "pick", F.col("other").alias("neighbour"))
+
+
+def near_candidates(keyframes: DataFrame, queries: DataFrame, want: int, levels: int = 24) -> DataFrame:
+    """fid, other, dist: pairs that hold the ``want`` nearest others of each query (all, if there are fewer)."""
     from ..session import cut
 
-    total = keyframes.count()
-    spread = keyframes.agg(*[(F.max(f"t{a}") - F.min(f"t{a}")).alias(a) for a in "xyz"]).first()
-    widest = max([x or 0.0 for x in spread] or [0.0])
-    todo, found = queries.select("fid", "tx", "ty", "tz"), None
-    want = min(n * k, total - 1)
-    while True:
-        grid = lambda c: F.floor(F.col(c) / cell).cast("long")  # noqa: B023, E731
-        asks = todo.select("*", F.explode(F.array(*[F.struct(*[(grid(f"t{a}") + d).alias(f"g{a}") for a, d in zip("xyz", ds, strict=True)]) for ds in _AROUND])).alias("g")).select("fid", "tx", "ty", "tz", "g.*")
-        have = keyframes.select(F.col("fid").alias("other"), *[F.col(f"t{a}").alias(f"o{a}") for a in "xyz"], *[grid(f"t{a}").alias(f"g{a}") for a in "xyz"])
-        dist = G.norm3(F.col("tx") - F.col("ox"), F.col("ty") - F.col("oy"), F.col("tz") - F.col("oz"))
-        met = asks.join(have, ["gx", "gy", "gz"]).filter("fid <> other").select("fid", "other", dist.alias("dist"))
-        rank = F.row_number().over(Window.partitionBy("fid").orderBy("dist", "other"))
-        if cell <= widest:  # only what lies within one cell's length is surely complete
-            met = met.filter(F.col("dist") <= cell)
-        # the nearest of each ring, written out: the next round starts from rows, not from this round's plan
-        near = cut(met.withColumn("rank", rank).filter(F.col("rank") <= want), "nearest-keyframes")
-        if cell > widest:
-            found = near if found is None else found.unionByName(near)
-            break
-        enough = near.filter(F.col("rank") == want).select("fid")
-        done = near.join(enough, "fid", "left_semi")
-        todo = cut(todo.join(enough, "fid", "left_anti"), "keyframes-left")
-        found = done if found is None else found.unionByName(done)
-        if not todo.limit(1).count():
-            break
-        cell *= 4
-    ranked = found.withColumn("strided", (F.col("rank") - 1) % k == 0)
-    order = F.row_number().over(Window.partitionBy("fid").orderBy(F.when(F.col("strided") & (F.col("rank") <= n * k), 0).otherwise(1), "rank"))
-    return ranked.withColumn("pick", order).filter(F.col("pick") <= n).select("fid", "pick", F.col("other").alias("neighbour"))
+    spread = keyframes.agg(F.count("*").alias("n"), *[f(f"t{a}").alias(f"{name}{a}") for a in "xyz" for f, name in ((F.min, "low"), (F.max, "high"))]).first()
+    total = spread["n"]
+    low = {a: spread[f"low{a}"] or 0.0 for a in "xyz"}
+    widest = max([(spread[f"high{a}"] or 0.0) - low[a] for a in "xyz"]) * (1 + 1e-9) or 1.0
+    want = min(want, total - 1)
+    cells = lambda level: [F.floor((F.col(f"t{a}") - low[a]) / (F.lit(widest * 1.0000001) / F.pow(F.lit(2.0), level))).cast("long").alias(f"g{a}") for a in "xyz"]
+    leveled = lambda df, which: df.select("fid", "tx", "ty", "tz", F.explode(F.array(*map(F.lit, which))).alias("level")).select("*", *cells(F.col("level")))
+    key = ["level", "gx", "gy", "gz"]
+    full = leveled(keyframes, range(levels)).groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > want).select(*key)
+    deepest = leveled(queries, range(levels)).join(full, key).groupBy("fid", "tx", "ty", "tz").agg(F.greatest(F.max("level") - 1, F.lit(0)).alias("level"))
+    deepest = cut(deepest, "query-levels")
+    used = sorted(r.level for r in deepest.select("level").distinct().collect())  # at most ``levels``
+    here = deepest.select("*", *cells(F.col("level")))
+    around = F.explode(F.array(*[F.struct(*[(F.col(f"g{a}") + d).alias(f"g{a}") for a, d in zip("xyz", ds, strict=True)]) for ds in _AROUND]))
+    asks = here.withColumn("g", around).select("fid", "tx", "ty", "tz", "level", "g.*")
+    have = leveled(keyframes, used or [0]).select(*key, F.col("fid").alias("other"), *[F.col(f"t{a}").alias(f"o{a}") for a in "xyz"])
+    dist = G.norm3(F.col("tx") - F.col("ox"), F.col("ty") - F.col("oy"), F.col("tz") - F.col("oz"))
+    return asks.join(have, key).filter("fid <> other").select("fid", "other", dist.alias("dist"))
 
 
 _AROUND = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
