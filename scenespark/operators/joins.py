@@ -12,16 +12,18 @@ from .ranges import with_bracket
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, tol: float, by: list[str] | None = None, strict: bool = True, left_id: str = "lid", right_id: str = "rid") -> DataFrame:
     """Nearest right row within ``tol`` of each left row; one right row may serve many; ties go to the smaller right id.
 
-    Both sides are cut into buckets of the tolerance and the right side enters three of them, so rows
-    meet by an equi-join; the nearest is then an aggregate, not a sort of each group.
+    Both sides are ordered together once; the nearest is the last right row before or the first one after a left
+    row, carried over ranges.  The work is linear in the rows however many of them share one moment or one run.
     """
     by = by or []
-    lhs = left.withColumn("_b", F.floor(F.col(on) / tol).cast("long")).withColumnRenamed(on, "_lt")
-    rhs = right.withColumn("_b", F.explode(F.array(*[F.floor(F.col(on) / tol).cast("long") + d for d in (-1, 0, 1)]))).withColumnRenamed(on, "_rt")
-    gap = F.abs(F.col("_lt") - F.col("_rt"))
-    met = lhs.join(rhs.select(*by, "_b", "_rt", right_id), [*by, "_b"]).filter(gap < tol if strict else gap <= tol)
-    best = met.groupBy(*by, left_id, "_lt").agg(F.min(F.struct(gap.alias("gap"), F.col(right_id), F.col("_rt"))).alias("m"))
-    return best.select(*by, left_id, F.col("_lt").alias("left_time"), f"m.{right_id}", F.col("m._rt").alias("right_time"), "m.gap")
+    rid, at = right.schema[right_id].dataType, left.schema[on].dataType
+    points = right.groupBy(*by, F.col(on).alias("_t")).agg(F.min(right_id).alias("_rid")).select(*by, "_t", F.lit(0).alias("_kind"), F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), "_rid")
+    asks = left.select(*by, F.col(on).alias("_t"), F.lit(1).alias("_kind"), left_id, F.lit(None).cast(rid).alias("_rid")).distinct()
+    both = with_bracket(points.unionByName(asks), by, ["_t", "_kind"], F.col("_kind") == 0, ["_t", "_rid"]).filter("_kind = 1")
+    side = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("_t") - F.col(f"{s}._t")).alias("gap"), F.col(f"{s}._rid").alias("rid"), F.col(f"{s}._t").alias("t")))
+    best = both.select(*by, left_id, F.col("_t").cast(at).alias("left_time"), F.least(side("last"), side("following")).alias("m"))
+    best = best.filter(F.col("m.gap") < tol if strict else F.col("m.gap") <= tol)
+    return best.select(*by, left_id, "left_time", F.col("m.rid").alias(right_id), F.col("m.t").alias("right_time"), "m.gap")
 
 
 def associate_trajectories(ref: DataFrame, est: DataFrame, max_diff: float = 0.1, run: str = "run_id", key: str = "frame_id", t: str = "t") -> DataFrame:
