@@ -45,19 +45,32 @@ def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by the name of its kind; n_chars follows the text."""
+    """Every span of personal data is replaced by the name of its kind; n_chars follows the text.
+
+    Rows are redacted one by one: null and empty texts stay as they are (n_chars null and 0), null ids and repeated
+    rows are like any other, an empty table gives an empty one, and columns of any name are kept.
+    """
     return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document."""
+    """A row for each time the mix takes a document.
+
+    A null text counts no words and goes or stays by its hash; a null source is a source of its own; rows with one
+    id are taken together, repeated rows each as often; an empty table gives an empty one, and columns of any name
+    are kept.
+    """
     taken = mixing.mixed(docs).filter("times > 0")
     row = F.struct(*map(quoted, docs.columns)).alias("row")
     return taken.select(row, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).select("row.*")
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in the training sequences."""
+    """Pieces of at most 2048 tokens with their places in the training sequences.
+
+    A null or empty text is its end id alone, a long one is cut and never shortened; null ids, repeated rows and
+    equal sizes are packed like any other row; an empty table gives an empty result; further columns are left behind.
+    """
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
