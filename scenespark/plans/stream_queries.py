@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import chunks as C
+from ..operators import frustum as V
 from ..operators import joins as J
 from ..operators import reports as R
 from ..session import new_path
@@ -12,8 +14,8 @@ from ..sources import readers
 from ..sources.store import FoldedTable
 from ..streaming import frames as S
 from .fixtures import fixture, r6, tables
-from .geometry_queries import SIZE, r
-from .join_queries import _TOPIC_A, _TOPIC_B, topics
+from .geometry_queries import SIZE, chunked, r
+from .join_queries import _SEEN, _TOPIC_A, _TOPIC_B, FOV_X, FOV_Y, ZFAR, ZNEAR, topics
 from .registry import query
 
 
@@ -133,6 +135,17 @@ def z5(spark, sf_dir):
     return S.keyframe_stream(slow(spark, sf_dir), SIZE, min_trans=4.0, min_rot=1.0).select("run_id", "frame_id", "chunk_id")
 
 
+_KEPT = _GATE.replace("SELECT run_id, frame_id, tx, ty, tz FROM g", "SELECT frame_id AS fid, tx, ty, tz, qw, qz FROM g")
+
+
+@query("z5_keyframe_views", tables(f"SELECT fid, count(*) AS n_chunks, count(*) FILTER (state = 'INSIDE') AS n_inside FROM {_SEEN.replace('{keyframes}', _KEPT)} WHERE state <> 'OUTSIDE' GROUP BY fid"))
+def z5_views(spark, sf_dir):
+    """What the keyframes that the gate lets through see of the map."""
+    kept = S.keyframe_stream(slow(spark, sf_dir), SIZE, min_trans=4.0, min_rot=1.0).withColumnRenamed("frame_id", "fid")
+    seen = V.visible_chunks(kept, C.distinct_chunks(chunked(spark, sf_dir)), SIZE, ZFAR, FOV_X, FOV_Y, ZNEAR)
+    return seen.groupBy("fid").agg(F.count("*").alias("n_chunks"), F.count(F.when(F.col("state") == "INSIDE", 1)).alias("n_inside"))
+
+
 _NAMES = "CASE WHEN event_id % 50 = 0 THEN 'broken' WHEN event_id % 3 = 0 THEN event_id || '_' || regexp_extract(props, '([0-9]+)', 1) || '_' || event_type || '.jpg' ELSE event_id || '_' || regexp_extract(props, '([0-9]+)', 1) || '.jpg' END"
 
 
