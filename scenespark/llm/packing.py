@@ -125,7 +125,9 @@ def n_ranges(rows: int) -> int:
 
 def _ranges(df: DataFrame, ranges: int) -> DataFrame:
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    return df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # one range, of RANGE_ROWS rows at most, needs no borders
+    dealt = df.repartition(1) if ranges == 1 else df.repartitionByRange(ranges, *order)
+    return dealt.sortWithinPartitions(*order)
 
 
 def _round(pieces: DataFrame, gaps: DataFrame, ranges: int, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
