@@ -88,3 +88,17 @@ def test_medians_by_nested_histograms(adaptive):
     odd = adaptive.createDataFrame([("a", float("nan")), ("a", float("inf")), ("a", 1.0), ("b", float("-inf")), ("b", 2.0), ("b", 2.0), ("c", None)], "g string, v double")
     assert {r.g: r.median for r in R.exact_median(odd, ["g"], "v", 1).collect()} == {"a": float("inf"), "b": 2.0}
     assert R.exact_median(odd.limit(0), ["g"], "v").count() == 0
+
+
+def test_summaries_of_large_groups_take_the_other_way(spark, monkeypatch):
+    from scenespark.operators import schedule
+    from scenespark.operators import trajectory as T
+
+    df = _runs(spark, 5000).select(F.coalesce("v", F.lit(0.5)).alias("a"), (F.col("t") % 17).alias("b"))
+    pairs = _runs(spark, 5000).select("run", *[(F.col("t") % n).cast("double").alias(f"{k}{a}") for k in "re" for a, n in zip("xyz", (3, 5, 7 if k == "r" else 11))])
+    cells = lambda rows: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else str(v) for v in r.asDict().values()) for r in rows)
+    whole = [cells(schedule.metric_summary(df, ["a", "b"]).collect()), cells(T.ape(pairs, run="run").select("run", "median").filter("run is not null").collect())]
+    monkeypatch.setattr(schedule, "MEDIAN_ROWS", 100)
+    columns = schedule.metric_summary(df, ["a", "b"]).columns
+    assert columns == ["metric", "mean", "std", "min", "max", "median"]
+    assert [cells(schedule.metric_summary(df, ["a", "b"]).collect()), cells(T.ape(pairs, run="run").select("run", "median").filter("run is not null").collect())] == whole
