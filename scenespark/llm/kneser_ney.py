@@ -3,10 +3,11 @@
 Words are known by a 64-bit hash.  The model is a folder of sorted arrays, cut into shards of bounded text:
 
 * ``words-*``: the hashes of a hash range in order, with counts; a word's number is its place in all of them;
-* ``triples-*``: 64-bit hashes of three numbers in order, with counts;
+* ``contexts-*``: hashes of two words; of a context with one follower that word and its count, of others a row of
+  ``branches-*``: how often a token follows them and how many of their followers were seen once, twice and more;
+* ``triples-*``: 64-bit hashes of three numbers in order, with counts, where the context has several followers;
 * ``pairs-*``: hashes of a word and its follower, with the number of different words before the two;
-* ``contexts-*`` and ``wide-*``: hashes of two words, how often a token follows them and how many of their followers
-  were seen once, twice and more;
+* ``wide-*``: hashes of two words with what ``branches-*`` says of others;
 * ``stats-*``: for the words of a range the same of single words (by different words before), and how many
   different words they follow.
 
@@ -15,33 +16,34 @@ words frequent enough to fill a shard are dealt over all shards by their followe
 them are then summed once more (``wide-*``).  Tasks count their own rows first and send packed pieces of those
 counts.  Everything is counted over all training texts; the model grows with them.
 
-Triples seen once are counted for the orders below and for the discounts, but not stored: their whole count goes to
-what a context leaves to the pair model (a discount of 1), and a context of such triples alone says nothing.
+Every triple is stored if ``least`` is 1, as ``op6_kneser_ney`` has it.  With 2, triples seen once are counted for the
+orders below and for the discounts, but not stored: their whole count goes to what a context leaves to the pair model
+(a discount of 1), and a context of such triples alone says nothing.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import json
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_crc, new_path, plain_path, table, words_of
+from .common import cut, id_crc, new_path, plain_path, table, words_of  # noqa: F401
 from .token_files import _mix, _read, _write
 
 END, START = 0, 1  # hashes of the end of a text and of what stands before its first word
 UNKNOWN = np.int64(-1)
-#: Words a task remembers, distinct words and tokens it holds before it sends their counts, tokens it scores at once.
-REMEMBERED, HELD_WORDS, HELD_TOKENS, SCORED = 250_000, 250_000, 1_500_000, 300_000
-#: Bytes of text for which the model gets a shard, and the least count of a stored triple.
+#: Distinct words and tokens a task holds before it sends their counts, tokens it scores at once.
+HELD_WORDS, HELD_TOKENS, SCORED = 250_000, 1_500_000, 300_000
+#: Bytes of text for which the model gets a shard, and the least count of a triple stored by ``train`` unless told otherwise.
 SHARD_BYTES, LEAST = 12 << 20, 2
+#: Instead of the count of a context's only follower: the context has a row of its own.
+MANY = 255
 _memory: dict = {}
 
 
@@ -58,10 +60,48 @@ def _unpack(packed: bytes, n: int, columns: int = 2, steps: int = 1) -> list[np.
 
 
 def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+    order, first = _groups(keys)
+    return keys[order[first]], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def _parts(shard: np.ndarray) -> list[np.ndarray]:
+    """Places of the rows of each shard."""
+    order = np.argsort(shard.astype(counter_type(shard)), kind="stable")  # a radix sort for up to 65,536 shards
+    return [part for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(part)]
+
+
+def split_words(texts: pa.Array) -> pa.Array:
+    """``words_of`` every text, as lists."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = found.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text leaves empty words
+    at = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))][found.offsets.to_numpy()]
+    return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), words.filter(full))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of all of them at a time."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+    size, at, data = np.diff(at), at[:-1], np.append(np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))
+    eights, hashes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)), _mix(size, 41)
+    left, done = np.arange(len(size)), 0
+    while len(left):
+        rest = size[left] - done
+        some = eights[at[left] + done] & (np.uint64(2**64 - 1) >> (8 * (8 - np.clip(rest, 1, 8))).astype(np.uint64))
+        hashes[left] = _mix(hashes[left] ^ some, 42)
+        left, done = left[rest > 8], done + 8
+    return hashes
+
+
+def coded(texts: pa.Array | list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of texts -> hashes of the different ones, and which of these stand one after another."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.list_(pa.binary()))
+    words = texts.flatten().dictionary_encode()
+    return word_hashes(words.dictionary), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 PACKED = "shard int, packed binary, n int"
@@ -69,9 +109,7 @@ PACKED = "shard int, packed binary, n int"
 
 def _send(shard: np.ndarray, *columns: np.ndarray, order: np.ndarray | None = None, steps: int = 1):
     """Columns with the shard of each row -> one packed row a shard, in ``order`` inside it."""
-    order = np.argsort(shard, kind="stable") if order is None else order
-    bounds = np.flatnonzero(np.diff(shard[order])) + 1
-    parts = [part for part in np.split(order, bounds) if len(part)]
+    parts = _parts(shard) if order is None else [part for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(part)]
     if parts:
         columns = [np.ascontiguousarray(c).astype(np.uint64) for c in columns]
         rows = [(int(shard[part[0]]), _pack([c[part] for c in columns], steps), len(part)) for part in parts]
@@ -91,22 +129,29 @@ def word_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def _count_words(shards: int):
     def run(batches):
-        held: Counter = Counter()
+        held, count, ends = [], 0, 0
 
-        def send():
-            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in held], np.uint64)
-            keys, counts = _sum(hashes, np.fromiter(held.values(), np.int64, len(held)))
-            yield from _send(word_shard(keys, shards), keys, counts)
+        def send(all_of_them: bool):
+            """Adds up what is held; sends it if told to or if there are many different words."""
+            keys, counts = _sum(*(np.concatenate(c) for c in zip(*held, strict=True)))
             held.clear()
+            if all_of_them or len(keys) > HELD_WORDS:
+                yield from _send(word_shard(keys, shards), keys, counts)
+            else:
+                held.append((keys, counts))
 
-        ends = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(words_of(text))
-                ends += 1
-                if len(held) > HELD_WORDS:
-                    yield from send()
-        yield from send()
+            texts = batch.column("text")
+            ends += len(texts)
+            for s in _batches_of(texts, 1 << 21):
+                hashes, codes = coded(split_words(texts[s]))
+                held.append((hashes, np.bincount(codes, minlength=len(hashes))))
+                count += len(hashes)
+                if count > 4 * HELD_WORDS:
+                    yield from send(False)
+                    count = sum(len(keys) for keys, _ in held)
+        if held:
+            yield from send(True)
         if ends:
             yield from _send(np.array([0]), np.array([END]), np.array([ends]))
 
@@ -117,7 +162,7 @@ def _by_shard(shard: np.ndarray, v: np.ndarray, u: np.ndarray, shards: int) -> n
     """Order by shard, and inside it about by v and u (by as many of their bits as fit, which only serves to pack them)."""
     bits = (63 - shards.bit_length()) // 2
     low = (1 << bits) - 1
-    return np.argsort(shard << 2 * bits | (v & low) << bits | u & low, kind="stable")
+    return np.argsort(shard << 2 * bits | (v & low) << bits | u & low)
 
 
 def counter_type(values: np.ndarray) -> str:
@@ -132,7 +177,7 @@ def _map(path: str, dtype: str, offset: int, n: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, dtype)
     if fs.type_name == "local":
-        return np.memmap(at, dtype, "r", offset, (n,))
+        return np.memmap(at, dtype, "r", offset, (n,)).view(np.ndarray)
     with fs.open_input_file(at) as f:
         return np.frombuffer(f.read_at(n * np.dtype(dtype).itemsize, offset), dtype)
 
@@ -145,7 +190,6 @@ class Words:
         self.parts = [_map(f"{path}/{f}", "<u8", 0, n) for f, n in files]
         self.counts = [_map(f"{path}/{f}", "<i8", 8 * n, n) for f, n in files]
         self.base = np.cumsum([0, *(n for _, n in files)])
-        self.known: dict[bytes, int] = {}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), UNKNOWN)
@@ -160,14 +204,10 @@ class Words:
                 out[part[hit]] = self.base[s] + at[hit]
         return out
 
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+    def numbers(self, texts: pa.Array) -> np.ndarray:
         """Numbers of the words of the texts, one after another."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.find(np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)).tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        hashes, codes = coded(texts)
+        return self.find(hashes)[codes]
 
 
 def joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -183,14 +223,19 @@ def triple_hash(first_two: np.ndarray, third: np.ndarray) -> np.ndarray:
     return joined(first_two, third, 21)
 
 
+def follower_mark(numbers: np.ndarray) -> np.ndarray:
+    """What a context with one follower keeps of its number."""
+    return numbers & 0xFFFFFFFF
+
+
 def shard_of(middle: np.ndarray, frequent: np.ndarray, pair: np.ndarray, shards: int) -> np.ndarray:
     """By the middle word; by the pair if that word is frequent."""
     return (_mix(np.where(frequent, pair, middle.astype(np.uint64)), 5) % np.uint64(shards)).astype(np.int64)
 
 
-def padded(texts: list[list[bytes]], numbers: np.ndarray, end: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+def padded(texts: pa.Array | list[list[bytes]], numbers: np.ndarray, end: int, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words of the texts -> start, start, words, end of each text; and the lengths with the end."""
-    n = np.array([len(x) + 1 for x in texts], np.int64)
+    n = (np.array([len(x) for x in texts], np.int64) if isinstance(texts, list) else texts.value_lengths().to_numpy().astype(np.int64)) + 1
     out = np.full(int(n.sum()) + 2 * len(n), end, np.int64)
     first = np.cumsum(n + 2) - n - 2
     keep = np.ones(len(out), bool)
@@ -208,15 +253,14 @@ def windows(sequence: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def _batches_of(texts: list, size: int = 1 << 20):
-    at = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held > size:
-            yield slice(at, i + 1)
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def _batches_of(texts: pa.Array, size: int):
+    """Slices of about so many bytes, of one text at least."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(at, size + (at[first - 1] if first else 0), "right")))
+        yield slice(first, last)
+        first = last
 
 
 def _opened(path: str, files: list) -> Words:
@@ -244,33 +288,39 @@ class Model:
 
 
 class File:
-    """A sorted array of hashes with columns of counts behind it."""
+    """Columns of a file; if the first of them are sorted hashes, the rest is found by these."""
 
     def __init__(self, path: str, name: str, n: int, kinds: list[str]):
-        self.keys, at, self.columns = _map(f"{path}/{name}", "<u8", 0, n), 8 * n, []
+        self.columns, at = [], 0
         for kind in kinds:
             self.columns.append(_map(f"{path}/{name}", kind, at, n))
             at += n * np.dtype(kind).itemsize
 
     def find(self, keys: np.ndarray, out: np.ndarray) -> None:
         """out (columns x keys): counts of the keys, left as they are where a key is not held."""
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            for i, c in enumerate(self.columns):
-                out[i, hit] = c[at[hit]]
+        held, *columns = self.columns
+        if len(held):
+            at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            hit = np.flatnonzero(held[at] == keys)
+            at = at[hit]
+            for i, c in enumerate(columns):
+                out[i, hit] = c[at]
 
 
-def _store(path: str, what: str, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> tuple[str, int, list[str]]:
+def _store(path: str, what: str, shard: int, columns: list[np.ndarray], kinds: list[str] | None = None) -> tuple[str, int, list[str]]:
     """Writes a File; a task that runs twice writes two of them, one of which is kept."""
-    name, kinds = f"{what}-{shard:05d}-{np.random.bytes(8).hex()}", [counter_type(c) for c in columns]
-    _write(f"{path}/{name}", [keys.astype("<u8").tobytes(), *(c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True))])
-    return name, len(keys), kinds
+    name, kinds = f"{what}-{shard:05d}-{np.random.bytes(8).hex()}", kinds or [counter_type(c) for c in columns]
+    _write(f"{path}/{name}", [c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True)])
+    return name, len(columns[0]), kinds
+
+
+def _store_keyed(path: str, what: str, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> tuple[str, int, list[str]]:
+    return _store(path, what, shard, [keys, *columns], ["<u8", *map(counter_type, columns)])
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by key, and where each key begins in it."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     held = keys[order]
     return order, np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
@@ -280,13 +330,13 @@ def _by_count(counts: np.ndarray, weights: np.ndarray | None = None) -> list[np.
     return [counts if weights is None else weights, *(x.astype(np.int64) for x in (counts == 1, counts == 2, counts > 2))]
 
 
-def telling(stats: list[np.ndarray]) -> np.ndarray:
-    """Contexts with a stored triple: by their followers seen twice and more."""
-    return stats[2] + stats[3] > 0
+def telling(stats: list[np.ndarray], least: int) -> np.ndarray:
+    """Contexts with a stored triple: all, or by their followers seen twice and more."""
+    return stats[0] > 0 if least == 1 else stats[2] + stats[3] > 0
 
 
-def train(docs: DataFrame, path: str | None = None, shards: int | None = None) -> Model:
-    """docs(text) -> trigram model of all of them, written to ``path``.
+def train(docs: DataFrame, path: str | None = None, shards: int | None = None, least: int = LEAST) -> Model:
+    """docs(text) -> trigram model of all of them, written to ``path``; ``least`` 1 stores every triple, 2 no triple seen once.
 
     Null texts are empty (an end and nothing else); texts of any length are read whole; repeated rows count
     each; further columns are ignored; an empty table gives a model that knows no word.
@@ -332,15 +382,16 @@ def train(docs: DataFrame, path: str | None = None, shards: int | None = None) -
         def send():
             u, v, w = (np.concatenate(c) for c in zip(*held, strict=True))
             pair = pair_hash(v, w)
-            keys, first, n = np.unique(joined(pair, u, 31), return_index=True, return_counts=True)
+            order, at = _groups(joined(pair, u, 31))
+            first, n = order[at], np.diff(np.append(at, len(u)))
             u, v, w, pair = u[first], v[first], w[first], pair[first]
             shard = shard_of(v, np.isin(v, frequent), pair, shards)
             yield from _send(shard, v, u, w, n, order=_by_shard(shard, v, u, shards), steps=2)
 
         for batch in batches:
-            all_texts = batch.column("text").to_pylist()
+            all_texts = batch.column("text")
             for s in _batches_of(all_texts, 1 << 21):
-                split = [words_of(t) for t in all_texts[s]]
+                split = split_words(all_texts[s])
                 sequence, n = padded(split, known.numbers(split), end, start)
                 at = windows(sequence, n)
                 held.append((sequence[at - 2], sequence[at - 1], sequence[at]))
@@ -359,12 +410,11 @@ def train(docs: DataFrame, path: str | None = None, shards: int | None = None) -
         shard = int(pdf["shard"].iloc[0])
         v, u, w, counts = (x.astype(np.int64) for x in _gathered(pdf, 4, 2))
         context = pair_hash(u, v)
-        order, at = _groups(triple_hash(context, w))
+        keys = triple_hash(context, w)
+        order, at = _groups(keys)
         counts, keep = np.add.reduceat(counts[order], at), order[at]
-        u, v, w, context = u[keep], v[keep], w[keep], context[keep]
-        often = np.flatnonzero(counts >= LEAST)
-        files = {"triples": _store(path, "triples", shard, triple_hash(context, w)[often], [counts[often]])}
-        rows = []
+        keys, u, v, w, context = keys[keep], u[keep], v[keep], w[keep], context[keep]
+        rows, files = [], {}
 
         def piece(kind: int, target: np.ndarray, *columns: np.ndarray):
             for batch in _send(target, *columns):
@@ -374,16 +424,25 @@ def train(docs: DataFrame, path: str | None = None, shards: int | None = None) -
         wide = np.isin(v, frequent)
         order, at = _groups(context)
         stats = [np.add.reduceat(x[order], at) for x in _by_count(counts, counts)]
-        first = order[at]
-        own, far = np.flatnonzero(~wide[first] & telling(stats)), np.flatnonzero(wide[first])
-        files["contexts"] = _store(path, "contexts", shard, context[first][own], [x[own] for x in stats])
+        first, followers = order[at], np.diff(np.append(at, len(order)))
+        one = (followers == 1) & ~wide[first] & (counts[first] < MANY)
+        own, far = np.flatnonzero(~wide[first] & telling(stats, least)), np.flatnonzero(wide[first])
+        many = own[~one[own]]
+        row = np.zeros(len(first), np.int64)
+        row[many] = np.arange(len(many))
+        files["contexts"] = _store(path, "contexts", shard, [context[first][own], np.where(one, follower_mark(w[first]), row)[own], np.where(one, counts[first], MANY)[own]], ["<u8", "<u4", "<u1"])
+        files["branches"] = _store(path, "branches", shard, [x[many] for x in stats])
+        alone = np.zeros(len(keys), bool)
+        alone[first[one]] = True
+        often = np.flatnonzero((counts >= least) & ~alone)
+        files["triples"] = _store_keyed(path, "triples", shard, keys[often], [counts[often]])
         far = far[np.argsort(context[first][far], kind="stable")]
         piece(2, shard_of(v[first][far], np.ones(len(far), bool), context[first][far], shards), context[first][far], *[x[far] for x in stats])
         # pairs by the number of different words before them
         pair = pair_hash(v, w)
         order, at = _groups(pair)
         before, v, w = np.diff(np.r_[at, len(pair)]), v[order[at]], w[order[at]]
-        files["pairs"] = _store(path, "pairs", shard, pair[order[at]], [before])
+        files["pairs"] = _store_keyed(path, "pairs", shard, pair[order[at]], [before])
         order, at = _groups(v)
         stats = [np.add.reduceat(x[order], at) for x in _by_count(before, before)]
         piece(0, np.searchsorted(base, v[order[at]], "right") - 1, v[order[at]], *stats)
@@ -395,7 +454,7 @@ def train(docs: DataFrame, path: str | None = None, shards: int | None = None) -
 
     found = cut(texts.mapInArrow(count_triples, PACKED).groupBy("shard").applyInPandas(write_triples, told), "lm-triples")
     named = {r["shard"]: json.loads(r["files"]) for r in found.filter("kind = -1").select("shard", "files").collect()}  # one short row a shard
-    model.files = {what: {s: x[0][what] for s, x in named.items()} for what in ("triples", "contexts", "pairs")}
+    model.files = {what: {s: x[0][what] for s, x in named.items()} for what in ("triples", "contexts", "branches", "pairs")}
     high, middle = ({i: sum(x[1][k][i] for x in named.values()) for i in range(1, 5)} for k in (0, 1))
 
     def write_wide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -403,8 +462,8 @@ def train(docs: DataFrame, path: str | None = None, shards: int | None = None) -
         keys, *stats = _gathered(pdf, 5)
         order, at = _groups(keys)
         stats = [np.add.reduceat(x[order].astype(np.int64), at) for x in stats]
-        some = telling(stats)
-        stored = _store(path, "wide", shard, keys[order[at]][some], [x[some] for x in stats])
+        some = telling(stats, least)
+        stored = _store_keyed(path, "wide", shard, keys[order[at]][some], [x[some] for x in stats])
         return pd.DataFrame({"shard": [shard], "files": [json.dumps(stored)]})
 
     wide = found.filter("kind = 2").select("shard", "packed", "n").groupBy("shard").applyInPandas(write_wide, "shard int, files string")
@@ -430,7 +489,7 @@ def train(docs: DataFrame, path: str | None = None, shards: int | None = None) -
     model.stats = [stats[s]["file"] if s in stats else "empty" for s in range(shards + 1)]
     model.follows = sum(r["total"] for r in stats.values())
     seen = {i: sum(r["ones"][i] for r in stats.values()) for i in range(1, 6)}
-    model.discounts = [discounts(seen), discounts(middle), (1.0, *discounts(high)[1:])]
+    model.discounts = [discounts(seen), discounts(middle), discounts(high) if least == 1 else (1.0, *discounts(high)[1:])]
     model.low_seen = (seen[1], seen[2], sum(seen[i] for i in range(3, 6)))
     return model
 
@@ -440,7 +499,7 @@ def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray
 
 
 class Scorer:
-    """A model opened in a task.  Words are kept by slots of small arrays; slot 0 is the start, 1 the end."""
+    """A model opened in a task.  Words at hand are known by slots of small arrays; slot 0 is the start, 1 the end."""
 
     def __init__(self, model: Model):
         self.m, self.words = model, _opened(model.path, model.words)
@@ -448,14 +507,8 @@ class Scorer:
         self.base = np.cumsum([0, *sizes])
         missing = [f == "empty" for f in model.stats]
         self.stats = [np.zeros((5, n), np.int64) if gone else _map(f"{model.path}/{f}", "<i8", 0, 5 * n).reshape(5, n) for f, n, gone in zip(model.stats, sizes, missing, strict=True)]
-        self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.arrays = None
-        self._add(np.array([self.m.start, self.m.end]))
-
-    def _add(self, numbers: np.ndarray) -> None:
+    def _load(self, numbers: np.ndarray) -> None:
         """Slots for words of these numbers (-1: unknown): number, low-order share, log10 base, count > 0, context sum and spare, frequent."""
         m, n = self.m, len(numbers)
         stats, counts = np.zeros((5, n), np.int64), np.zeros(n, np.int64)
@@ -472,26 +525,35 @@ class Scorer:
         spare = np.dot(m.discounts[0], m.low_seen) / m.follows if m.follows else 1.0
         low = _discounted(stats[4], m.discounts[0]) / max(m.follows, 1) + spare / (m.types + 1)
         base = np.log10((counts + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-        new = [numbers, low, base, counts > 0, stats[0], np.array(m.discounts[1]) @ stats[1:4], np.isin(numbers, m.frequent)]
-        self.arrays = new if self.arrays is None else [np.concatenate(x) for x in zip(self.arrays, new, strict=True)]
-
-    def slots(self, texts: list[list[bytes]]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = list(set().union(*texts).difference(self.known))
-        if new:
-            first = len(self.arrays[0])
-            self._add(self.words.find(np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)))
-            self.known.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-
-    def _find(self, what: str, keys: np.ndarray, shard: np.ndarray, out: np.ndarray) -> None:
-        order = np.argsort(shard, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-            if len(part) and (stored := self.m.files[what].get(int(shard[part[0]]))):
-                some = np.zeros((len(out), len(part)), np.int64)
+        self.arrays = [numbers, low, base, counts > 0, stats[0], np.array(m.discounts[1]) @ stats[1:4], np.isin(numbers, m.frequent)]
+
+    def slots(self, texts: pa.Array | list[list[bytes]]) -> np.ndarray:
+        """Slots of the words of the texts, one after another, which stand until other texts come."""
+        hashes, codes = coded(texts)
+        self._load(np.concatenate([[self.m.start, self.m.end], self.words.find(hashes)]))
+        return codes + 2
+
+    def _found(self, what: str, columns: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Columns x keys of the files of the shards, zero where a key is not held."""
+        out = np.zeros((columns, len(keys)), np.int64)
+        for part in _parts(shard):
+            if stored := self.m.files[what].get(int(shard[part[0]])):
+                some = np.zeros((columns, len(part)), np.int64)
                 File(self.m.path, *stored).find(keys[part], some)
                 out[:, part] = some
+        return out
+
+    def _contexts(self, keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Statistics of contexts, and what is kept of an only follower's number (-1 elsewhere)."""
+        word, times = self._found("contexts", 2, keys, shard)
+        stats, one = np.zeros((4, len(keys)), np.int64), np.flatnonzero((times > 0) & (times < MANY))
+        stats[0, one], stats[np.minimum(times[one], 3), one] = times[one], 1
+        many = np.flatnonzero(times == MANY)
+        for part in _parts(shard[many]):
+            at = many[part]
+            for i, c in enumerate(File(self.m.path, *self.m.files["branches"][int(shard[at[0]])]).columns):
+                stats[i, at] = c[word[at]]
+        return stats, np.where((times > 0) & (times < MANY), word, -1)
 
     def probabilities(self, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the tokens at these places of a sequence of slots, each after the two before it."""
@@ -499,34 +561,38 @@ class Scorer:
         number, low, _, _, total, spare, frequent = self.arrays
         # every two neighbours once: as a context they are followed by a token, as a pair their second is the token
         first, second = sequence[:-1], sequence[1:]
-        keys, place, back = np.unique(pair_hash(number[first], number[second]), return_index=True, return_inverse=True)
-        first, second = first[place], second[place]
+        keys = pair_hash(number[first], number[second])
+        order, same = _groups(keys)
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.repeat(np.arange(len(same)), np.diff(np.append(same, len(keys))))
+        place = order[same]
+        keys, first, second = keys[place], first[place], second[place]
         real = (number[first] >= 0) & (number[second] >= 0)
-        before, context = np.zeros((1, len(keys)), np.int64), np.zeros((4, len(keys)), np.int64)
-        for middle, what, wide, out in ((first, "pairs", False, before), (second, "contexts", False, context), (second, "wide", True, context)):
-            some = np.flatnonzero(real & ((frequent[second] == wide) if what != "pairs" else True))
-            found = np.zeros((len(out), len(some)), np.int64)
-            self._find(what, keys[some], shard_of(number[middle[some]], frequent[middle[some]], keys[some], m.shards), found)
-            out[:, some] = found
+        before, context, mark = np.zeros((1, len(keys)), np.int64), np.zeros((4, len(keys)), np.int64), np.full(len(keys), -1)
+
+        def shards(some: np.ndarray, middle: np.ndarray) -> np.ndarray:
+            return shard_of(number[middle[some]], frequent[middle[some]], keys[some], m.shards)
+
+        some = np.flatnonzero(real)
+        before[0, some] = self._found("pairs", 1, keys[some], shards(some, first))[0]
+        some = np.flatnonzero(real & frequent[second])
+        context[:, some] = self._found("wide", 4, keys[some], shards(some, second))
+        some = np.flatnonzero(real & ~frequent[second])
+        context[:, some], mark[some] = self._contexts(keys[some], shards(some, second))
         pair, two = back[at - 1], back[at - 2]
         v, w = sequence[at - 1], sequence[at]
         p = low[w]
         some = total[v] > 0
         p = np.where(some, (_discounted(before[0][pair], m.discounts[1]) + spare[v] * p) / np.where(some, total[v], 1), p)
-        counts = np.zeros((1, len(at)), np.int64)
-        seen = context[0][two] > 0
-        ask = np.flatnonzero(seen & (before[0][pair] > 0))
-        triples, back = np.unique(triple_hash(keys[two[ask]], number[w[ask]]), return_inverse=True)
-        which = np.zeros(len(triples), np.int64)
-        which[back] = ask
-        found = np.zeros((1, len(triples)), np.int64)
-        self._find("triples", triples, shard_of(number[v[which]], frequent[v[which]], keys[pair[which]], m.shards), found)
-        counts[:, ask] = found[:, back]
+        seen, only = context[0][two] > 0, mark[two]
+        counts = np.where(only == follower_mark(number[w]), context[0][two], 0)
+        ask = np.flatnonzero(seen & (only < 0) & (before[0][pair] > 0))
+        counts[ask] = self._found("triples", 1, triple_hash(keys[two[ask]], number[w[ask]]), shard_of(number[v[ask]], frequent[v[ask]], keys[pair[ask]], m.shards))[0]
         left = np.array(m.discounts[2]) @ context[1:][:, two]
-        return np.where(seen, (_discounted(counts[0], m.discounts[2]) + left * p) / np.where(seen, context[0][two], 1), p)
+        return np.where(seen, (_discounted(counts, m.discounts[2]) + left * p) / np.where(seen, context[0][two], 1), p)
 
-    def score(self, texts: list) -> dict[str, np.ndarray]:
-        split = [words_of(t) for t in texts]
+    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        split = split_words(texts)
         sequence, n = padded(split, self.slots(split), 1, 0)
         at = windows(sequence, n)
         p, starts, w = self.probabilities(sequence, at), np.cumsum(n) - n, sequence[at]
@@ -545,7 +611,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(model)
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            texts, ids = batch.column("text"), batch.column("doc_id")
             for s in _batches_of(texts, 6 * SCORED):
                 out = scorer.score(texts[s])
                 k = len(out["score"])
@@ -559,5 +625,5 @@ def op6_kneser_ney(spark, sf_dir):
     """Log probabilities of all documents by a model of those outside the fold; see ``train`` and ``score`` for nulls, empty and long texts."""
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc(F.col("doc_id")) % 5 == 1
-    model = train(docs.filter(~held_out))
+    model = train(docs.filter(~held_out), least=1)
     return score(docs, model).withColumn("held_out", held_out)

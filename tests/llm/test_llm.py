@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from scenespark.llm import bitsliced, components, kneser_ney, language, mixing, packing, pii, quality, simhash, sketch, token_files
@@ -299,6 +300,54 @@ def test_kneser_ney(spark, docs, rows, empty):
     assert kneser_ney.score(docs, kneser_ney.train(empty)).count() == len(rows)
 
 
+def _full_scores(model, kept, scored):
+    """Sorted id, tokens, known tokens and score of rows by the plain model with all its triples; texts of over 1,000 tokens are left out."""
+    plain = PlainModel([_words(r[1]) + [None] for r in kept])
+    plain.d[2] = _discounts(list(plain.three.values()))
+    assert 0 < plain.d[2][1] < 1 and model.discounts[2] == pytest.approx(plain.d[2][1:], rel=1e-12)
+    known = {w for _, _, w in plain.three}
+    texts = [(str(r[0]), _words(r[1]) + [None]) for r in scored]
+    return sorted((i, len(s), sum(w in known for w in s), plain.score(s)) for i, s in texts if len(s) < 1000)
+
+
+def test_kneser_ney_with_triples_seen_once(spark, rows, tmp_path, monkeypatch):
+    rows = [*rows, *((1000 + i, "north south east " * 300 + "once said", "en", "a", 1) + rows[0][5:] for i in range(3))]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, train, models = spark.read.parquet(f"{tmp_path}/documents.parquet"), kneser_ney.train, []
+    monkeypatch.setattr(kneser_ney, "train", lambda *a, **b: models.append(train(*a, **b)) or models[-1])
+    for kept, score in (
+        ([r for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 1], lambda: kneser_ney.op6_kneser_ney(spark, str(tmp_path))),
+        # so many shards that usual words are frequent ones
+        (rows, lambda: kneser_ney.score(docs, kneser_ney.train(docs, shards=100, least=1))),
+    ):
+        out = score().collect()
+        got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.score) for r in out if r.n_tokens < 1000)
+        for g, w in zip(got, _full_scores(models[-1], kept, rows), strict=True):
+            assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9)
+    assert len(models[0].frequent) < 5 and len(models[1].frequent) > 10
+    for model in models:
+        scorer = kneser_ney.Scorer(model)
+        every = sorted({w for r in rows for w in _words(r[1])} | {"unseenword"})
+        every = [w for w in every if w == "unseenword" or scorer.words.find(kneser_ney.word_hashes(pa.array([w.encode()])))[0] >= 0]
+        for before in ("", "north south", "the and", "once said", "unseenword river"):
+            split = [kneser_ney.words_of(f"{before} {w}") for w in every] + [kneser_ney.words_of(before)]
+            sequence, sizes = kneser_ney.padded(split, scorer.slots(split), 1, 0)
+            assert scorer.probabilities(sequence, np.cumsum(sizes + 2) - sizes + len(before.split())).sum() == pytest.approx(1, rel=1e-9)
+
+
+def test_kneser_ney_words():
+    texts = ["", None, " ", "Ab\tcD\n\x0b\x0c\r e ", "\u0085É\xa0ß\u3000x y", "a\x00 a \x1c\x1fb", "12345678 123456789 1234567 " * 2, "long" * 5000 + " end"]
+    split = kneser_ney.split_words(pa.array(texts))
+    assert split.cast(pa.list_(pa.binary())).to_pylist() == [kneser_ney.words_of(t) for t in texts]
+    assert kneser_ney.split_words(pa.array(["x y", *texts])[2:]).slice(1).flatten().equals(split.slice(2).flatten())
+    hashes, codes = kneser_ney.coded(split)
+    words = [w for t in texts for w in kneser_ney.words_of(t)]
+    assert len(hashes) == len(set(hashes.tolist())) == len(set(words)) and len(codes) == len(words)
+    alone = [kneser_ney.word_hashes(pa.array([w]))[0] for w in words]
+    assert hashes[codes].tolist() == alone == kneser_ney.word_hashes(pa.array([b"cut", *words])[1:]).tolist()
+    assert [s for s in kneser_ney._batches_of(pa.array(["abc", None, "de", "x" * 9, "f"]), 5)] == [slice(0, 3), slice(3, 4), slice(4, 5)]
+
+
 def test_language(spark, docs, rows, empty):
     model = language.train(docs)
     out = {r.doc_id: r for r in language.identify(docs, model).collect()}
