@@ -170,14 +170,19 @@ def counter_type(values: np.ndarray) -> str:
     return "<" + np.min_scalar_type(int(values.max(initial=0))).str[1:]
 
 
-@functools.lru_cache(4000)
+@functools.lru_cache(64)
+def _mapped(path: str) -> np.ndarray:
+    """The bytes of a file, mapped once for all its columns."""
+    return np.memmap(path, np.uint8, "r").view(np.ndarray)
+
+
 def _map(path: str, dtype: str, offset: int, n: int) -> np.ndarray:
     """An array of a model file: mapped if the folder is mounted here, else that part of the file is read."""
     fs, at = plain_path(path)
     if n == 0:
         return np.zeros(0, dtype)
     if fs.type_name == "local":
-        return np.memmap(at, dtype, "r", offset, (n,)).view(np.ndarray)
+        return np.frombuffer(_mapped(at), dtype, n, offset)
     with fs.open_input_file(at) as f:
         return np.frombuffer(f.read_at(n * np.dtype(dtype).itemsize, offset), dtype)
 
@@ -290,7 +295,7 @@ class Model:
 class File:
     """Columns of a file; if the first of them are sorted hashes, the rest is found by these."""
 
-    def __init__(self, path: str, name: str, n: int, kinds: list[str]):
+    def __init__(self, path: str, name: str, n: int, kinds: tuple[str, ...]):
         self.columns, at = [], 0
         for kind in kinds:
             self.columns.append(_map(f"{path}/{name}", kind, at, n))
@@ -307,14 +312,19 @@ class File:
                 out[i, hit] = c[at]
 
 
-def _store(path: str, what: str, shard: int, columns: list[np.ndarray], kinds: list[str] | None = None) -> tuple[str, int, list[str]]:
-    """Writes a File; a task that runs twice writes two of them, one of which is kept."""
+@functools.lru_cache(16_000)
+def _file(path: str, name: str, n: int, *kinds: str) -> File:
+    return File(path, name, n, kinds)
+
+
+def _store(path: str, what: str, shard: int, columns: list[np.ndarray], kinds: list[str] | None = None) -> tuple:
+    """Writes a File and says what ``_file`` opens it by; a task that runs twice writes two of them, one of which is kept."""
     name, kinds = f"{what}-{shard:05d}-{np.random.bytes(8).hex()}", kinds or [counter_type(c) for c in columns]
     _write(f"{path}/{name}", [c.astype(k).tobytes() for c, k in zip(columns, kinds, strict=True)])
-    return name, len(columns[0]), kinds
+    return name, len(columns[0]), *kinds
 
 
-def _store_keyed(path: str, what: str, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> tuple[str, int, list[str]]:
+def _store_keyed(path: str, what: str, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> tuple:
     return _store(path, what, shard, [keys, *columns], ["<u8", *map(counter_type, columns)])
 
 
@@ -479,14 +489,13 @@ def train(docs: DataFrame, path: str | None = None, shards: int | None = None, l
                 context[:, ids - lo] += np.stack(values)  # a piece names a word once
             else:
                 follows[ids - lo] += values[0]
-        name = f"stats-{shard:05d}-{np.random.bytes(8).hex()}"
-        _write(f"{path}/{name}", [context.astype("<i8").tobytes(), follows.astype("<i8").tobytes()])
+        stored = _store(path, "stats", shard, [*context, follows])
         some = np.bincount(np.minimum(follows, 5), minlength=6)
-        return pd.DataFrame({"shard": [shard], "file": [name], "total": [int(follows.sum())], "ones": [some.tolist()]})
+        return pd.DataFrame({"shard": [shard], "file": [json.dumps(stored)], "total": [int(follows.sum())], "ones": [some.tolist()]})
 
     stats = found.filter("kind in (0, 1)").select("shard", "kind", "packed", "n").groupBy("shard").applyInPandas(write_stats, "shard int, file string, total long, ones array<long>")
     stats = {r["shard"]: r for r in cut(stats, "lm-stats").collect()}  # one short row a shard
-    model.stats = [stats[s]["file"] if s in stats else "empty" for s in range(shards + 1)]
+    model.stats = [json.loads(stats[s]["file"]) if s in stats else None for s in range(shards + 1)]
     model.follows = sum(r["total"] for r in stats.values())
     seen = {i: sum(r["ones"][i] for r in stats.values()) for i in range(1, 6)}
     model.discounts = [discounts(seen), discounts(middle), discounts(high) if least == 1 else (1.0, *discounts(high)[1:])]
@@ -505,8 +514,7 @@ class Scorer:
         self.m, self.words = model, _opened(model.path, model.words)
         sizes = [*(n for _, n in model.words), 1]
         self.base = np.cumsum([0, *sizes])
-        missing = [f == "empty" for f in model.stats]
-        self.stats = [np.zeros((5, n), np.int64) if gone else _map(f"{model.path}/{f}", "<i8", 0, 5 * n).reshape(5, n) for f, n, gone in zip(model.stats, sizes, missing, strict=True)]
+        self.stats = [stored and _file(model.path, *stored).columns for stored in model.stats]
 
     def _load(self, numbers: np.ndarray) -> None:
         """Slots for words of these numbers (-1: unknown): number, low-order share, log10 base, count > 0, context sum and spare, frequent."""
@@ -518,7 +526,8 @@ class Scorer:
         for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(where)) + 1):
             if len(part):
                 s, at = int(where[part[0]]), numbers[order[part]] - self.base[where[part[0]]]
-                stats[:, order[part]] = self.stats[s][:, at]
+                for i, c in enumerate(self.stats[s] or ()):
+                    stats[i, order[part]] = c[at]
                 if s < m.shards:
                     counts[order[part]] = self.words.counts[s][at]
         # single words by the number of different words before them, down to a uniform share for unknown words
@@ -539,7 +548,7 @@ class Scorer:
         for part in _parts(shard):
             if stored := self.m.files[what].get(int(shard[part[0]])):
                 some = np.zeros((columns, len(part)), np.int64)
-                File(self.m.path, *stored).find(keys[part], some)
+                _file(self.m.path, *stored).find(keys[part], some)
                 out[:, part] = some
         return out
 
@@ -551,7 +560,7 @@ class Scorer:
         many = np.flatnonzero(times == MANY)
         for part in _parts(shard[many]):
             at = many[part]
-            for i, c in enumerate(File(self.m.path, *self.m.files["branches"][int(shard[at[0]])]).columns):
+            for i, c in enumerate(_file(self.m.path, *self.m.files["branches"][int(shard[at[0]])]).columns):
                 stats[i, at] = c[word[at]]
         return stats, np.where((times > 0) & (times < MANY), word, -1)
 
