@@ -34,3 +34,7 @@ def _same_as_sql(spark, close, name):
 
 def test_pose_errors_are_those_of_a_frame_and_its_own_estimate(spark, close):
     _same_as_sql(spark, close, "a9_pose_error")
+
+
+def test_rotation_errors_are_those_of_a_frame_and_its_own_estimate(spark, close):
+    _same_as_sql(spark, close, "a9_rotation_error")
