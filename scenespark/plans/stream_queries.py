@@ -74,8 +74,8 @@ def timed(df: DataFrame) -> DataFrame:
 
 @query("t3_synced", tables(f"SELECT a_id, b_id FROM (SELECT a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY round(abs(a.t - b.t) * 1e6), b.id) AS n FROM ({_TOPIC_A}) a JOIN ({_TOPIC_B}) b ON b.t BETWEEN a.t - 5e-2 AND a.t + 5e-2) WHERE n = 1"))
 def t3(spark, sf_dir):
-    a, b = (as_stream(timed(x), {"id": -1}) for x in topics(spark, sf_dir))
-    return drained(S.sync_streams(a, b, 0.05), "synced").select("a_id", "b_id")
+    a, b = (as_stream(timed(x.withColumn("seconds", F.col("t"))), {"id": -1, "seconds": 0.0}) for x in topics(spark, sf_dir))
+    return drained(S.sync_streams(a, b, 0.05, seconds="seconds"), "synced").select("a_id", "b_id")
 
 
 @query("t4_interpolated_poses", tables("SELECT e.run_id, e.frame_id, round(a.tx + (b.tx - a.tx) * (e.t - a.t) / (b.t - a.t), 4) AS tx, round(a.tz + (b.tz - a.tz) * (e.t - a.t) / (b.t - a.t), 4) AS tz FROM {poses_est} e JOIN (SELECT *, lead(t) OVER (PARTITION BY run_id ORDER BY t) AS t_next, lead(frame_id) OVER (PARTITION BY run_id ORDER BY t) AS next_id FROM {poses}) a ON a.run_id = e.run_id AND a.t <= e.t AND e.t < a.t_next JOIN {poses} b ON b.frame_id = a.next_id WHERE b.t - e.t <= 20000 AND e.t - a.t <= 20000"))

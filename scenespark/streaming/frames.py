@@ -87,19 +87,28 @@ def select_keyframes_stream(frames: DataFrame, run: str = "run_id", key: str = "
     return frames.select(*names).groupBy(run).transformWithStateInPandas(gate, schema, "Append", "None")
 
 
-def sync_streams(a: DataFrame, b: DataFrame, slop_seconds: float, wait: str = "10 seconds") -> DataFrame:
+def sync_streams(a: DataFrame, b: DataFrame, slop_seconds: float, wait: str = "10 seconds", seconds: str | None = None) -> DataFrame:
     """a(event_time, id), b(event_time, id) -> a_time, a_id, b_id, gap: each a with the nearest b within the slop, ties to the smaller id.
 
     Time is cut into slots of the slop: a lies in one, b is sent to its own and the two beside it, and they meet
     by an equality.  The nearest is an aggregate by message, given out when the watermark has passed it; rows
     later than ``wait`` are dropped.  Tables give the same rows at once.
+
+    Whole microseconds decide what lies within the slop; with ``seconds``, a column of both that holds the time as
+    a double, those doubles do (a double between microseconds, or rounded, may lie on the other side of the slop).
     """
-    slot = lambda t: F.floor(F.unix_micros(t) / (slop_seconds * 1e6)).cast("long")
-    left = _marked(a, wait).select(F.col("event_time").alias("a_time"), F.col("id").alias("a_id"), slot("event_time").alias("a_slot"))
-    right = _marked(b, wait).select(F.col("event_time").alias("b_time"), F.col("id").alias("b_id"), slot("event_time").alias("own"))
-    right = right.select("b_time", "b_id", F.explode(F.array(*[F.col("own") + d for d in (-1, 0, 1)])).alias("b_slot"))
-    span = F.expr(f"interval {slop_seconds} seconds")
-    both = left.join(right, (F.col("a_slot") == F.col("b_slot")) & (F.col("b_time") >= F.col("a_time") - span) & (F.col("b_time") <= F.col("a_time") + span))
+    # microseconds that two rounded times can be off
+    reach = round(slop_seconds * 1e6) + (2 if seconds else 0)
+    slot = lambda t: F.floor(F.unix_micros(t) / reach).cast("long")
+    exact = lambda name: [F.col(seconds).alias(name)] if seconds else []
+    left = _marked(a, wait).select(F.col("event_time").alias("a_time"), F.col("id").alias("a_id"), slot("event_time").alias("a_slot"), *exact("a_seconds"))
+    right = _marked(b, wait).select(F.col("event_time").alias("b_time"), F.col("id").alias("b_id"), slot("event_time").alias("own"), *exact("b_seconds"))
+    right = right.select("b_time", "b_id", F.explode(F.array(*[F.col("own") + d for d in (-1, 0, 1)])).alias("b_slot"), *(["b_seconds"] if seconds else []))
+    span = F.expr(f"interval {reach} microseconds")
+    near = (F.col("a_slot") == F.col("b_slot")) & (F.col("b_time") >= F.col("a_time") - span) & (F.col("b_time") <= F.col("a_time") + span)
+    if seconds:
+        near = near & (F.col("b_seconds") >= F.col("a_seconds") - slop_seconds) & (F.col("b_seconds") <= F.col("a_seconds") + slop_seconds)
+    both = left.join(right, near)
     gap = F.abs(F.unix_micros("a_time") - F.unix_micros("b_time"))
     best = both.groupBy("a_time", "a_id").agg(F.min(F.struct(gap.alias("gap"), "b_id")).alias("m"))
     return best.select("a_time", "a_id", "m.b_id", (F.col("m.gap") / 1e6).alias("gap"))

@@ -47,3 +47,14 @@ def test_pose_errors_are_those_of_a_frame_and_its_own_estimate(spark, close):
 
 def test_rotation_errors_are_those_of_a_frame_and_its_own_estimate(spark, close):
     _same_as_sql(spark, close, "a9_rotation_error")
+
+
+def test_a_gap_of_exactly_the_slop_is_decided_by_the_times_as_given(spark, tmp_path):
+    """Events ten seconds apart, each with one 10 to 130 ms before it: many a message has one other within reach, at just 50 ms."""
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (timestamp '2024-03-01' + to_milliseconds(10000 * (event_id // 2) + (event_id % 2) * (10 + 20 * ((event_id // 2) % 7))) as ts) from '{SF}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    _same_as_sql(spark, (str(tmp_path), con), "t3_synced")
