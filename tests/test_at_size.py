@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 from scenespark.operators import joins as J
+from scenespark.operators import scenes
 
 
 def _moved(spark) -> int:
@@ -52,3 +53,38 @@ def test_nearest_keyframes_of_one_place_and_of_places_far_off(shuffled):
             assert [got[(q[0], i + 1)] for i in range(10)] == [o for _, o in want]
     assert len(got) == 6005 * 10
     assert moved < 40_000_000, moved
+
+
+def _rows_out_of_joins(spark, df) -> int:
+    """Most rows that a join of the plan of df gave."""
+    found = 0
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    values, todo = store.executionMetrics(last), store.planGraph(last).allNodes()
+    for i in range(todo.size()):
+        node = todo.apply(i)
+        if "Join" in node.name():
+            for k in range(node.metrics().size()):
+                m = node.metrics().apply(k)
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    found = max(found, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return found
+
+
+def test_pruning_meets_only_views_that_come_near(spark):
+    """50 views see a chunk of 4,000 points, and each pair of them was made before."""
+    at = lambda a: (F.pmod(F.xxhash64("id", F.lit(a)), F.lit(1000)) / 100 - 5).alias(a)
+    points = spark.range(0, 4000, 1, 4).select(F.col("id").alias("gaussian_id"), F.lit(7).cast("long").alias("chunk_id"), at("x"), at("y"), at("z"), (F.col("id") % 41 / 40.0).alias("opacity"), (F.col("id") % 50 / 50.0).alias("max_scale"))
+    points = points.unionByName(points.limit(1).selectExpr("gaussian_id + 9000 as gaussian_id", "8L as chunk_id", "x", "y", "z", "0.0D as opacity", "9.0D as max_scale"))
+    keyframes = spark.range(0, 50, 1, 2).selectExpr("id as fid", "1.0D as qw", "0.0D as qx", "0.0D as qy", "0.0D as qz", "id * 2.0D as tx", "0.0D as ty", "1.5D as tz")
+    seen = keyframes.selectExpr("fid", "7L as chunk_id")
+    pruned = scenes.prune_seen(points, seen, keyframes, 6.0, 8)
+    want = set()
+    for p in points.collect():
+        near = min(math.sqrt((p.x + 2.0 * i) ** 2 + p.y**2 + (p.z + 1.5) ** 2) for i in range(50))
+        if p.chunk_id == 8 or not (p.opacity <= 0.05 or near == 0 or 6.0 * p.max_scale / near >= 4):
+            want.add(p.gaussian_id)
+    assert {r.gaussian_id for r in pruned.collect()} == want and 9000 in want and 500 < len(want) < 3900
+    assert _rows_out_of_joins(spark, pruned) < 50 * 4000 / 4
