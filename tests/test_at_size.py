@@ -4,8 +4,14 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from scenespark.operators import frustum as V
 from scenespark.operators import joins as J
 from scenespark.operators import scenes
+from scenespark.plans import registry
+from scenespark.sources import readers, writers
+
+registry.load()
+SF = "/root/testdata/sf0.001"
 
 
 def _moved(spark) -> int:
@@ -88,3 +94,8 @@ def test_pruning_meets_only_views_that_come_near(spark):
             want.add(p.gaussian_id)
     assert {r.gaussian_id for r in pruned.collect()} == want and 9000 in want and 500 < len(want) < 3900
     assert _rows_out_of_joins(spark, pruned) < 50 * 4000 / 4
+
+
+def test_points_of_visible_chunks_are_counted_once_a_chunk(spark):
+    pairs = registry.QUERIES["j8_visible_points"](spark, SF)
+    assert _rows_out_of_joins(spark, pairs) < pairs.agg(F.sum("n_points")).first()[0]
