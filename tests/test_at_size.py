@@ -99,3 +99,16 @@ def test_pruning_meets_only_views_that_come_near(spark):
 def test_points_of_visible_chunks_are_counted_once_a_chunk(spark):
     pairs = registry.QUERIES["j8_visible_points"](spark, SF)
     assert _rows_out_of_joins(spark, pairs) < pairs.agg(F.sum("n_points")).first()[0]
+
+
+def test_points_before_views_without_a_pair_each(spark):
+    """Turned views and one direction of many; depths that equal the limit."""
+    at = lambda a, n: (F.pmod(F.xxhash64("id", F.lit(a)), F.lit(n)) / 10 - 5).alias(a)
+    points = spark.range(0, 3000, 1, 4).select(F.pmod(F.col("id"), F.lit(3)).alias("chunk_id"), at("x", 100), at("y", 100), (at("z", 100) + F.pmod(F.col("id"), F.lit(3)) * 10).alias("z"))
+    keyframes = spark.range(0, 200, 1, 4).selectExpr("id as fid", *[c + " as " + n for c, n in (("cos(if(id % 10 = 0, id / 50.0D, 0.0D))", "qw"), ("sin(if(id % 10 = 0, id / 50.0D, 0.0D))", "qx"), ("0.0D", "qy"), ("0.0D", "qz"), ("0.0D", "tx"), ("0.0D", "ty"), ("id % 31 - 15.0D + 0.2D", "tz"))])
+    seen = keyframes.select("fid", F.explode(F.array(*[F.lit(c).cast("long") for c in (0, 1, 2, 9)])).alias("chunk_id"))
+    pairs = V.visible_points(points, seen).join(keyframes, "fid").filter(V.point_visible(V.G.pose_of(), "x", "y", "z"))
+    want = {r.fid: r.n for r in pairs.groupBy("fid").agg(F.count("*").alias("n")).collect()}
+    front = V.points_in_front(points, keyframes, seen)
+    assert {r.fid: r.n for r in front.collect()} == want and len(want) > 150
+    assert _rows_out_of_joins(spark, registry.QUERIES["f4_points_in_front"](spark, SF)) < 20_000
