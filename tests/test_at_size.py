@@ -122,3 +122,7 @@ def test_small_files_are_listed_in_tasks(spark, tmp_path):
     found = readers.read_run_artifacts(spark, f"file://{tmp_path}/runs")
     assert not found.inputFiles() and sorted((r.trial, r.key, r.value) for r in found.collect()) == [("1", "psnr", 20.5), ("2", "psnr", 20.5)]
     assert readers.files_below(spark, str(tmp_path / "none"), "*", "*.txt").count() == 0
+
+
+def test_sequences_are_read_without_a_list_of_files(spark):
+    assert not registry.QUERIES["s2_kitti_sequences"](spark, SF).inputFiles()
