@@ -301,4 +301,4 @@ def k10(spark, sf_dir):
     path, s = new_path(spark, "scalars"), spark.read.parquet(f"{sf_dir}/supplier.parquet")
     rows = s.selectExpr("concat('tracking_', s_suppkey) AS name", "s_acctbal / 7 AS value").unionByName(s.selectExpr("'slowdown_factor' AS name", "6.87e0 AS value").distinct()).unionByName(s.agg(F.lit("point_count").alias("name"), F.count("*").cast("double").alias("value")))
     writers.write_run_scalars(rows, path)
-    return spark.read.text(path).select("name", "value")
+    return readers.read_run_scalars(spark, path)

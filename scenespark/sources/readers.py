@@ -321,6 +321,12 @@ def read_run_artifacts(spark: SparkSession, root: str) -> DataFrame:
     return lines.select("dataset", "camera", "trial", "scene", "file", "kind", "line", key.alias("key"), F.expr(r"try_cast(regexp_extract(text, '([-0-9.eE+]+)\\s*$', 1) as double)").alias("value")).filter("value is not null")
 
 
+def read_run_scalars(spark: SparkSession, root: str) -> DataFrame:
+    """name, value of what ``writers.write_run_scalars`` wrote."""
+    lines = numbered_lines(spark, files_below(spark, root, "name=*", "*"))
+    return lines.select(F.try_url_decode(F.replace(F.regexp_extract("path", r"/name=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B"))).alias("name"), "value")
+
+
 RUN = ["dataset", "camera", "trial", "scene"]
 
 

@@ -126,3 +126,12 @@ def test_small_files_are_listed_in_tasks(spark, tmp_path):
 
 def test_sequences_are_read_without_a_list_of_files(spark):
     assert not registry.QUERIES["s2_kitti_sequences"](spark, SF).inputFiles()
+
+
+def test_scalars_of_any_name_come_back(spark, tmp_path):
+    names = ["slowdown_factor", "a b+c/d=%41", "x_count", "é"]
+    path = f"file://{tmp_path}/scalars"
+    for value in (1.25, 2.5):
+        writers.write_run_scalars(spark.createDataFrame([(n, value) for n in names], "name string, value double"), path)
+    back = readers.read_run_scalars(spark, path)
+    assert {r.name: r.value for r in back.collect()} == {"slowdown_factor": "2.500000", "a b+c/d=%41": "2.5000", "x_count": "3", "é": "2.5000"} and not back.inputFiles()
